@@ -136,6 +136,21 @@ def cells_in_polygons(cells: DataFrame, row: str, column: str, grid: Grid, polyg
     return near.filter(test).drop(rings, "r0", "r1", "c0", "c1")
 
 
+def windows_meeting_polygons(windows: DataFrame, polygons: DataFrame, grid: Grid, rings: str = "rings",
+                             tile: int = 64) -> DataFrame:
+    """Window-polygon pairs whose bounding windows share a cell, each pair once.
+
+    Both sides are keyed by tiles; a pair sharing several tiles is kept in its first one.
+    """
+    w = _tiles(windows, ("r0", "r1", "c0", "c1"), tile)
+    boxes = polygon_windows(polygons, rings, grid).withColumnsRenamed({"r0": "_r0", "r1": "_r1", "c0": "_c0", "c1": "_c1"})
+    p = _tiles(boxes, ("_r0", "_r1", "_c0", "_c1"), tile)
+    first = lambda a, b, key: F.col(key) == F.floor(F.greatest(a, b) / tile)
+    meet = (F.col("r0") < F.col("_r1")) & (F.col("_r0") < F.col("r1")) & (F.col("c0") < F.col("_c1")) & (F.col("_c0") < F.col("c1"))
+    return w.join(p, ["_tr", "_tc"]).filter(meet & first("r0", "_r0", "_tr") & first("c0", "_c0", "_tc")).drop(
+        "_tr", "_tc", "_r0", "_r1", "_c0", "_c1")
+
+
 def cells_in_groups(cells: DataFrame, key: list[str], row: str, column: str, grid: Grid,
                     polygons: DataFrame, group: str, rings: str = "rings") -> DataFrame:
     """Union of a group's polygons over cells: in the union if in any member."""
@@ -161,7 +176,8 @@ def segment_midpoints(segs: DataFrame, lon: str = "lon", lat: str = "lat") -> Da
 
 def segment_points(segs: DataFrame, step_m: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Split each segment into equal parts no longer than ``step_m``; one midpoint per part."""
-    n = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("seg_km") * 1000.0 / float(step_m)))
+    metres = F.round(F.col("seg_km") * 1000.0, 6)  # rounding noise must not add a part
+    n = F.greatest(F.lit(1).cast("bigint"), F.ceil(metres / float(step_m)))
     parts = segs.withColumn("_n", n).withColumn(
         "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))
     )
