@@ -170,8 +170,13 @@ def ring_edges(ring: Column) -> Column:
     )
 
 
-def point_in_rings(rings: Column, x, y) -> Column:
-    """Even-odd test of a point against all rings of a polygon (holes included)."""
+def polygon_edges(rings: Column) -> Column:
+    """All edges of a polygon, holes included, as one array."""
+    return F.flatten(F.transform(rings, ring_edges))
+
+
+def point_in_edges(edges: Column, x, y) -> Column:
+    """Even-odd test of a point against the edges of a polygon."""
     x, y = col(x), col(y)
 
     def flips(e: Column) -> Column:
@@ -179,9 +184,11 @@ def point_in_rings(rings: Column, x, y) -> Column:
         at = e["x1"] + (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"])
         return F.when(spans & (x < at), 1).otherwise(0)
 
-    edges = F.flatten(F.transform(rings, ring_edges))
-    crossings = F.aggregate(edges, F.lit(0), lambda acc, e: acc + flips(e))
-    return crossings % 2 == 1
+    return F.aggregate(edges, F.lit(0), lambda acc, e: acc + flips(e)) % 2 == 1
+
+
+def point_in_rings(rings: Column, x, y) -> Column:
+    return point_in_edges(polygon_edges(rings), x, y)
 
 
 def edge_area_in_box(x1, y1, x2, y2, w, s, e, n) -> Column:
@@ -204,11 +211,14 @@ def edge_area_in_box(x1, y1, x2, y2, w, s, e, n) -> Column:
     return F.when((x1 != x2) & (b > a), F.signum(x2 - x1) * area).otherwise(F.lit(0.0))
 
 
-def rings_area_in_box(rings: Column, w, s, e, n) -> Column:
+def edges_area_in_box(edges: Column, w, s, e, n) -> Column:
     """Planar area of polygon and box; outer rings and holes must run in opposite senses."""
-    edges = F.flatten(F.transform(rings, ring_edges))
     total = F.aggregate(
         edges, F.lit(0.0),
         lambda acc, d: acc + edge_area_in_box(d["x1"], d["y1"], d["x2"], d["y2"], w, s, e, n),
     )
     return F.abs(total)
+
+
+def rings_area_in_box(rings: Column, w, s, e, n) -> Column:
+    return edges_area_in_box(polygon_edges(rings), w, s, e, n)

@@ -1,7 +1,7 @@
 """Grouped-binomial logit fitted by Newton steps on summed normal equations.
 
 A fit is a row of coefficients; many fits (bootstrap replicates, left-out blocks) share each
-pass over the cells. Tasks turn Arrow batches into X'WX and X'Wz sums, Spark adds those up, and
+pass over the cells. Tasks turn Arrow batches into X'WX and score sums, Spark adds those up, and
 the driver solves p x p systems only.
 """
 
@@ -93,6 +93,16 @@ def design_multi(df: DataFrame, region: str, regions: list, landcover: str, grou
     return z.select(*keep, pz.alias("pop_z"), bz.alias("built_z"), F.array(*cols).alias("x")), terms
 
 
+def identified_groups(df: DataFrame, landcover: str, groups: list[str], baseline: str = "other") -> list[str]:
+    """Land-cover groups that occur; without baseline rows the first one takes its place.
+
+    All groups and the intercept together would be collinear if no row is in the baseline.
+    """
+    found = {r[0] for r in df.select(landcover).distinct().collect()}  # a handful of class names
+    present = [g for g in groups if g in found]
+    return present if baseline in found else present[1:]
+
+
 def _matrix(batch: pa.RecordBatch, name: str, p: int) -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
 
@@ -118,7 +128,7 @@ def _multiplicity(batch: pa.RecordBatch, mode: str, first: int, fits: int) -> np
 
 
 def _sums(rows: DataFrame, betas: np.ndarray, mode: str, first: int) -> np.ndarray:
-    """One pass: per fit X'WX (p*p), X'Wz (p) and the log-likelihood."""
+    """One pass: per fit X'WX (p*p), the score X'(y - t*prob) (p) and the log-likelihood."""
     fits, p = betas.shape
     width = p * p + p + 1
 
@@ -134,11 +144,9 @@ def _sums(rows: DataFrame, betas: np.ndarray, mode: str, first: int) -> np.ndarr
             eta = x @ betas.T
             prob = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
             var = np.clip(t * prob * (1.0 - prob), 1e-12, None)
-            z = eta + (y - t * prob) / var
-            wv = m * var
             outer = (x[:, :, None] * x[:, None, :]).reshape(len(x), p * p)
-            acc[:, : p * p] += wv.T @ outer
-            acc[:, p * p : -1] += (wv * z).T @ x
+            acc[:, : p * p] += (m * var).T @ outer
+            acc[:, p * p : -1] += (m * (y - t * prob)).T @ x
             ll = y * np.log(np.clip(prob, 1e-15, 1.0)) + (t - y) * np.log(np.clip(1.0 - prob, 1e-15, 1.0))
             acc[:, -1] += (m * ll).sum(axis=0)
         yield pa.RecordBatch.from_arrays(
@@ -193,9 +201,10 @@ def fit_binomial(rows: DataFrame, p: int, fits: int = 1, mode: str = "all", ridg
                 break
             sums = _sums(rows, beta[span], mode, first)[todo - first]
             h = sums[:, : p * p].reshape(-1, p, p) + pen
-            new = np.stack([_solve_one(a, b) for a, b in zip(h, sums[:, p * p : -1])])
-            delta = np.abs(new - beta[todo]).max(axis=1)
-            beta[todo], n_iter[todo] = new, it
+            score = sums[:, p * p : -1] - beta[todo] @ pen
+            step = np.stack([_solve_one(a, b) for a, b in zip(h, score)])
+            delta = np.abs(step).max(axis=1)
+            beta[todo], n_iter[todo] = beta[todo] + step, it
             converged[todo] = delta < tol
         last = _sums(rows, beta[span], mode, first)
         cov[span] = [_invert(a) for a in last[:, : p * p].reshape(-1, p, p) + pen]

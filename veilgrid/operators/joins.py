@@ -95,8 +95,8 @@ def native_pixel_totals(src: DataFrame, sgrid: Grid, value: str, targets: DataFr
 def _tiles(df: DataFrame, bounds: tuple[str, str, str, str], tile: int) -> DataFrame:
     """Repeat each window once per tile of cells it touches (bounds are half-open indices)."""
     r0, r1, c0, c1 = (F.col(b) for b in bounds)
-    span = lambda a, b: F.explode(F.sequence(F.floor(a / tile), F.floor((b - 1) / tile)))
-    return df.filter((r1 > r0) & (c1 > c0)).withColumn("_tr", span(r0, r1)).withColumn("_tc", span(c0, c1))
+    span = lambda a, b: F.explode(F.when(b > a, F.sequence(F.floor(a / tile), F.floor((b - 1) / tile))))
+    return df.withColumn("_tr", span(r0, r1)).withColumn("_tc", span(c0, c1))
 
 
 def cells_in_windows(cells: DataFrame, row: str, column: str, windows: DataFrame,
@@ -114,13 +114,17 @@ def cells_in_windows(cells: DataFrame, row: str, column: str, windows: DataFrame
 
 
 def polygon_windows(polygons: DataFrame, rings: str, grid: Grid) -> DataFrame:
-    """Add the clamped index window of each polygon's bounding box."""
-    xs = F.transform(F.flatten(F.col(rings)), lambda p: p["x"])
-    ys = F.transform(F.flatten(F.col(rings)), lambda p: p["y"])
-    w = polygons.withColumn("_w", F.array_min(xs)).withColumn("_e", F.array_max(xs))
-    w = w.withColumn("_s", F.array_min(ys)).withColumn("_n", F.array_max(ys))
+    """Replace the rings by their edge list and add the clamped window of the bounding box.
+
+    Edges are listed once per polygon here, not once per candidate cell after the join.
+    """
+    keep = [c for c in polygons.columns if c != rings]
+    e = polygons.select(*keep, geo.polygon_edges(F.col(rings)).alias("edges"))
+    over = lambda f, k: f(F.transform("edges", lambda d: d[k]))
+    e = e.withColumns({"_w": over(F.array_min, "x1"), "_e": over(F.array_max, "x1"),
+                       "_s": over(F.array_min, "y1"), "_n": over(F.array_max, "y1")})
     bounds = geo.index_window(grid, "_w", "_s", "_e", "_n")
-    return w.select(*polygons.columns, *[b.alias(n) for b, n in zip(bounds, ("r0", "r1", "c0", "c1"))])
+    return e.select(*keep, "edges", *[b.alias(n) for b, n in zip(bounds, ("r0", "r1", "c0", "c1"))])
 
 
 def cells_in_polygons(cells: DataFrame, row: str, column: str, grid: Grid, polygons: DataFrame,
@@ -130,10 +134,12 @@ def cells_in_polygons(cells: DataFrame, row: str, column: str, grid: Grid, polyg
     With ``mark`` all cells of the bounding window are kept and the test is a flag column.
     """
     near = cells_in_windows(cells, row, column, polygon_windows(polygons, rings, grid), tile=tile)
-    test = geo.point_in_rings(F.col(rings), geo.center_lon(grid, column), geo.center_lat(grid, row))
+    boxed = F.col(row).between(F.col("r0"), F.col("r1") - 1) & F.col(column).between(F.col("c0"), F.col("c1") - 1)
+    # CASE keeps the costly test behind the bounds, in whatever order conditions are merged
+    test = F.when(boxed, geo.point_in_edges(F.col("edges"), geo.center_lon(grid, column), geo.center_lat(grid, row))).otherwise(False)
     if mark:
-        return near.withColumn(mark, test).drop(rings)
-    return near.filter(test).drop(rings, "r0", "r1", "c0", "c1")
+        return near.withColumn(mark, test).drop("edges")
+    return near.filter(test).drop("edges", "r0", "r1", "c0", "c1")
 
 
 def windows_meeting_polygons(windows: DataFrame, polygons: DataFrame, grid: Grid, rings: str = "rings",

@@ -113,6 +113,24 @@ def wls_leave_one_out(df: DataFrame, key: str, terms: list[str], y: str, weight:
     })
 
 
+def _gram(raw: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """X'WX, X'Wy and the plain sums of x and x*x, summed over tasks; p x p numbers come back."""
+    p = len(names)
+    width = p * p + 3 * p
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc = np.zeros(width)
+        for pdf in batches:
+            x = pdf[names].to_numpy(dtype=float)
+            xw = x * pdf["_w"].to_numpy(dtype=float)[:, None]
+            acc += np.concatenate([(xw.T @ x).ravel(), xw.T @ pdf["_y"].to_numpy(dtype=float), x.sum(axis=0), (x * x).sum(axis=0)])
+        yield pd.DataFrame({"position": np.arange(width), "value": acc})
+
+    sums = raw.mapInPandas(partial, "position int, value double").groupBy("position").agg(F.sum("value").alias("value"))
+    flat = sums.orderBy("position").toPandas()["value"].to_numpy()
+    return flat[: p * p].reshape(p, p), flat[p * p : p * p + p], flat[p * p + p : -p], flat[-p:]
+
+
 def standardized_leave_one_out(df: DataFrame, key: str, terms: list[str], y: str, weight: Column,
                                ridge: float = 1e-3) -> DataFrame:
     """Leave-one-out where each fold standardises its predictors and imputes by its own mean.
@@ -129,29 +147,25 @@ def standardized_leave_one_out(df: DataFrame, key: str, terms: list[str], y: str
     q = len(terms)
     names = ["_one", *[f"_x{i}" for i in range(q)], *[f"_d{i}" for i in range(q)]]
     p = len(names)
-    plain = [F.sum(F.col(f"_{k}{i}")).alias(f"_s{k}{i}") for i in range(q) for k in "xd"]
-    plain += [F.sum(F.col(f"_x{i}") * F.col(f"_x{i}")).alias(f"_sq{i}") for i in range(q)]
-    totals = raw.agg(*_moment_aggs(names, F.col("_w"), F.col("_y")), *plain)
-    rows = attach(raw, totals, [])
+    m_all, g_all, s_all, sq_all = _gram(raw, names)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if pdf.empty:
                 continue
             n = len(pdf)
-            m, g = _unpack(pdf, p)
             x = pdf[names].to_numpy(dtype=float)
             w, obs = pdf["_w"].to_numpy(dtype=float), pdf["_y"].to_numpy(dtype=float)
-            m = m - w[:, None, None] * x[:, :, None] * x[:, None, :]
-            g = g - (w * obs)[:, None] * x
+            m = m_all - w[:, None, None] * x[:, :, None] * x[:, None, :]
+            g = g_all - (w * obs)[:, None] * x
             change = np.zeros((n, p, q + 1))
             change[:, 0, 0] = 1.0
             for i in range(q):
                 x0, d = x[:, 1 + i], x[:, 1 + q + i]
-                count = pdf[f"_sd{i}"].to_numpy(float) - d
+                count = s_all[1 + q + i] - d
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    mean = (pdf[f"_sx{i}"].to_numpy(float) - x0) / count
-                    var = (pdf[f"_sq{i}"].to_numpy(float) - x0 * x0) / count - mean * mean
+                    mean = (s_all[1 + i] - x0) / count
+                    var = (sq_all[1 + i] - x0 * x0) / count - mean * mean
                 mean = np.where(np.isfinite(mean), mean, 0.0)
                 spread = np.isfinite(var) & (var > 1e-13 * mean * mean)
                 sd = np.sqrt(np.where(spread, var, 1.0))
@@ -163,7 +177,7 @@ def standardized_leave_one_out(df: DataFrame, key: str, terms: list[str], y: str
             yield pd.DataFrame({key: pdf[key], "observed_log_or": obs, "predicted_log_or": np.einsum("nk,nk->n", z, beta)})
 
     kind = df.schema[key].dataType.simpleString()
-    out = rows.mapInPandas(fold, f"{key} {kind}, observed_log_or double, predicted_log_or double")
+    out = raw.mapInPandas(fold, f"{key} {kind}, observed_log_or double, predicted_log_or double")
     return out.withColumn("abs_log_error", F.abs(F.col("predicted_log_or") - F.col("observed_log_or")))
 
 

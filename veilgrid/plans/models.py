@@ -36,11 +36,12 @@ def design_lead(spark, d):
 _GROUPS = list(labels.LANDCOVER_CODES)
 
 
-def multi_design(spark, d, strong_landcover: bool = False):
+def multi_design(spark, d, strong_landcover: bool = False, identified: bool = True):
     cells = V.model_cells(spark, d).withColumn("block_row", block_row("cell_row", 16)).withColumn("block_col", block_row("cell_col", 16))
     regions = sorted(r[0] for r in V.table(spark, d, "region").select("r_regionkey").collect())  # levels of the model
+    groups = B.identified_groups(V.grid(spark, d).select(labels.landcover_group("landcover_code").alias("g")), "g", _GROUPS) if identified else _GROUPS
     design, terms = B.design_multi(
-        cells, "region_id", regions, "landcover_group", _GROUPS, "strong", "population", "builtup_m2",
+        cells, "region_id", regions, "landcover_group", groups, "strong", "population", "builtup_m2",
         ["cell_id", "failure_count", "n_pairs", "block_row", "block_col"], strong_landcover)
     return design, terms, regions
 
@@ -58,7 +59,7 @@ def _multi_sql() -> tuple[str, str]:
 
 @query("design_multi", _multi_sql()[0], "fx_model", _multi_sql()[1])
 def design_multi(spark, d):
-    design, terms, _ = multi_design(spark, d, True)
+    design, terms, _ = multi_design(spark, d, True, False)
     return design.select("cell_id", *[F.col("x")[i].alias(f"x{i}") for i in range(len(terms))])
 
 
@@ -70,11 +71,11 @@ def _coefs(spark, beta, cov, terms):
 @query("irls_binomial", rnd="beta se z odds_ratio odds_ratio_ci_low odds_ratio_ci_high log_likelihood:3")
 def irls_binomial(spark, d):
     """The single-region model on observation counts, and on the majority flag."""
-    design = lead_design(spark, d)
+    rows = B.prepare(lead_design(spark, d), "n_obs", "n_pairs", ["majority"])
+    binary = rows.select("x", (~F.col("majority")).cast("double").alias("y"), F.lit(1.0).alias("t"))
     out = []
-    for name, y, t in (("binomial", "n_obs", "n_pairs"), ("binary", "_fail", "_one")):
-        rows = B.prepare(design.withColumn("_fail", (~F.col("majority")).cast("double")).withColumn("_one", F.lit(1.0)), y, t)
-        fit = B.fit_binomial(rows, len(B.LEAD_TERMS))
+    for name, data in (("binomial", rows), ("binary", binary)):
+        fit = B.fit_binomial(data, len(B.LEAD_TERMS))
         table = _coefs(spark, fit.beta[0], fit.cov[0], B.LEAD_TERMS)
         out.append(table.withColumns({"model": F.lit(name), "converged": F.lit(bool(fit.converged[0])), "log_likelihood": F.lit(float(fit.log_likelihood[0]))}))
     return ordering.union_all(out)

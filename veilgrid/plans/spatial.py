@@ -116,7 +116,7 @@ def argmax_overlap(spark, d):
     w = zone_windows(spark, d).withColumn("w", geo.west(TALL, "c0")).withColumn("e", geo.west(TALL, "c1"))
     w = w.withColumn("n", geo.north(TALL, "r0")).withColumn("s", geo.north(TALL, "r1"))
     near = joins.windows_meeting_polygons(w, polygons(spark, d), TALL)
-    share = near.withColumn("area", geo.rings_area_in_box(F.col("rings"), "w", "s", "e", "n"))
+    share = near.withColumn("area", geo.edges_area_in_box(F.col("edges"), "w", "s", "e", "n"))
     sums = share.groupBy("zone_id", "group_id").agg(F.sum("area").alias("area")).filter("area > 0")
     return exposure.argmax_by(sums, ["zone_id"], "group_id", "area", "group_id").withColumn("area", F.round("area", 9))
 

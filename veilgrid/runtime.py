@@ -22,6 +22,8 @@ def session(app: str = "veilgrid", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.showConsoleProgress": "false",
+        # call-site capture costs a JVM round trip for every column expression
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
