@@ -41,8 +41,8 @@ def data():
 
 def rows(spark, data, extra=None):
     x, y, t, block = data
-    f = pd.DataFrame({"x": list(x), "y": y, "t": t, "block": block})
-    return spark.createDataFrame(f).repartition(3)
+    data = [(a.tolist(), float(b), float(c), int(d)) for a, b, c, d in zip(x, y, t, block)]
+    return spark.createDataFrame(data, "x array<double>, y double, t double, block int").repartition(3)
 
 
 def test_fit(spark, data):

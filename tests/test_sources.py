@@ -35,7 +35,7 @@ def test_unsupported_and_missing_columns(spark):
 
 
 def test_bom(spark, tmp_path):
-    (tmp_path / "b.csv").write_bytes("﻿name,value\na,1\n".encode())
+    (tmp_path / "b.csv").write_bytes("\ufeffname,value\na,1\n".encode())
     got = readers.read_csv(spark, str(tmp_path / "b.csv"))
     assert got.columns == ["name", "value"] and got.first().name == "a"
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import Z95, expit
-from ..runtime import cut, small_side
+from ..runtime import cut, small_side, spread
 from .ordering import bounded_quantiles, zscore
 from .resample import block_draws
 
@@ -220,9 +220,9 @@ def coefficient_rows(beta: np.ndarray, cov: np.ndarray, terms: list[str]) -> lis
 def prepare(design: DataFrame, successes: str, trials: str, extra: list[Column] | None = None) -> DataFrame:
     """Model rows with a positive number of trials, frozen for the iterations."""
     ok = F.col(trials).isNotNull() & (F.col(trials) > 0)
-    return cut(design.filter(ok).select(
+    return cut(spread(design.filter(ok).select(
         "x", F.col(successes).cast("double").alias("y"), F.col(trials).cast("double").alias("t"), *(extra or [])
-    ))
+    )))
 
 
 def sandwich(rows: DataFrame, cluster: list[str], beta: np.ndarray, bread: np.ndarray) -> np.ndarray:
@@ -302,6 +302,7 @@ def with_draws(rows: DataFrame, block: list[str], strata: list[str], reps: int,
     per_block = cut(numbered.select(*strata, *block, "idx").join(chosen, [*strata, "idx"], "left").select(
         *strata, *block, F.coalesce("m", F.array().cast("array<int>")).alias("m")
     ))
+    # a row of the lookup holds about ``reps`` numbers, so it counts for more than one
     return cut(rows.join(small_side(per_block, per_block.count() * max(1, reps // 8)), [*strata, *block]))
 
 

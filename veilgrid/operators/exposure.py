@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.numeric import finite, haldane_or, ratio0, ratio_null, wmean, wsum
-from ..runtime import attach, explode_specs, with_scalars
+from ..runtime import attach, cut, explode_specs, with_scalars
 from .observe import coherent
 from .ordering import exact_quantiles, exact_quantiles_of
 
@@ -54,30 +54,37 @@ def hidden_exposure_summary(df: DataFrame, group: list[str], n_pairs: int, thres
 def _account(df: DataFrame, group: list[str], n_pairs: int, threshold: float, velocity: str = "vlm_mm_yr",
              population: str = "population", builtup: str = "builtup_m2", pop_cover: str = "cover_fraction",
              built_cover: str = "cover_fraction") -> DataFrame:
-    base, strong = F.col("base"), F.col("strong")
+    # every figure depends on a cell only through its flags, so cells are first summed to one row
+    # per combination of flags: nine sums over the data, the rest on some dozens of rows
+    weights = {"p": population, "b": builtup}
+    flags = ["base", "strong", "nonstrong", "any_obs", "majority", "stable75", "low25", "obs_fraction"]
+    cover = {"mean_pop_cover_fraction": pop_cover, "mean_built_cover_fraction": built_cover}
+    cube = df.groupBy(*group, *flags).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(finite(velocity)).alias("_valid"), F.sum(velocity).alias("_v"),
+        *[F.sum(w).alias(f"_{k}") for k, w in weights.items()],
+        *[f(c).alias(f"_{t}_{n}") for n, c in cover.items() for t, f in (("sum", F.sum), ("n", F.count))],
+    )
+    base, strong, nonstrong, majority = (F.col(c) for c in ("base", "strong", "nonstrong", "majority"))
+    cells = lambda mask: F.coalesce(F.sum(F.when(mask, F.col("_n"))), F.lit(0))
     aggs = [
-        F.count_if(finite(velocity)).alias("valid_vlm_cells"),
-        F.count_if(base).alias("covered_vlm_cells"),
-        F.count_if(strong).alias("strong_sub_5mm_cells"),
-        F.avg(F.when(strong, F.col(velocity))).alias("strong_sub_5mm_mean_vlm_mm_yr"),
-        F.avg(F.when(strong, F.col("obs_fraction"))).alias("strong_sub_5mm_mean_observability"),
-        F.count_if(strong & F.col("low25")).alias("_n_low25"),
-        *[F.count_if(strong & mask()).alias(f"_n_{h}") for h, mask in HIDDEN.items()],
-        *contingency(),
+        F.sum("_valid").alias("valid_vlm_cells"), cells(base).alias("covered_vlm_cells"), cells(strong).alias("strong_sub_5mm_cells"),
+        ratio_null(F.sum(F.when(strong, F.col("_v"))), F.sum(F.when(strong, F.col("_n")))).alias("strong_sub_5mm_mean_vlm_mm_yr"),
+        ratio_null(F.sum(F.when(strong, F.col("obs_fraction") * F.col("_n"))), F.sum(F.when(strong, F.col("_n")))).alias("strong_sub_5mm_mean_observability"),
+        cells(strong & F.col("low25")).alias("_n_low25"),
+        *[cells(strong & mask()).alias(f"_n_{h}") for h, mask in HIDDEN.items()],
+        cells(strong & ~majority).alias("a"), cells(strong & majority).alias("b"),
+        cells(nonstrong & ~majority).alias("c"), cells(nonstrong & majority).alias("d"),
     ]
-    for key, weight in (("p", population), ("b", builtup)):
-        w = F.col(weight)
+    for key in weights:
+        w = F.col(f"_{key}")
         aggs += [
             wsum(w, base).alias(f"_{key}_total"), wsum(w, strong).alias(f"_{key}_strong"),
             wsum(w * F.col("obs_fraction"), base).alias(f"_{key}_obs"),
             *[wsum(w, strong & mask()).alias(f"_{key}_strong_{h}") for h, mask in HIDDEN.items()],
             *[wsum(w, base & mask()).alias(f"_{key}_{c}") for c, mask in CLASSES.items()],
         ]
-    aggs += [
-        F.avg(F.when(base, F.col(pop_cover))).alias("mean_pop_cover_fraction"),
-        F.avg(F.when(base, F.col(built_cover))).alias("mean_built_cover_fraction"),
-    ]
-    t = df.groupBy(*group).agg(*aggs)
+    aggs += [ratio_null(F.sum(F.when(base, F.col(f"_sum_{n}"))), F.sum(F.when(base, F.col(f"_n_{n}")))).alias(n) for n in cover]
+    t = cube.groupBy(*group).agg(*aggs)
     km2 = lambda c: F.col(c) / M2_PER_KM2
     share = lambda c: ratio0(c, "strong_sub_5mm_cells")
     cols = [
@@ -122,18 +129,19 @@ def threshold_closure(points: DataFrame, thresholds: list[float], velocity: str
                       group: list[str] | None = None, control: float = 0.5) -> DataFrame:
     """Strong versus control points at each threshold: counts, shares, medians.
 
-    Thresholds are a short fixed list, so rows are repeated only into the aggregates; medians
-    are exact and distributed.
+    Thresholds are a short fixed list, so rows are repeated only into the aggregates. The medians
+    of all strong sets and of the control set, which no threshold changes, share one ranking.
     """
     group = group or []
-    specs = [{"threshold_mm_per_year": abs(float(t))} for t in thresholds]
+    limits = sorted({abs(float(t)) for t in thresholds})
     key = [*group, "threshold_mm_per_year"]
     v = F.col(velocity)
-    control_mask = (v > -control) & (v < control)
-    long = explode_specs(points.select(*group, velocity, *exposures), specs)
+    in_control = (v > -control) & (v < control)
+    rows = points.select(*group, velocity, *exposures)
+    long = explode_specs(rows, [{"threshold_mm_per_year": t} for t in limits])
     strong = v <= -F.col("threshold_mm_per_year")
     aggs = [F.count(F.lit(1)).alias("n_valid_points"), F.count_if(strong).alias("n_strong_points"),
-            F.count_if(control_mask).alias("n_control_points")]
+            F.count_if(in_control).alias("n_control_points")]
     for e in exposures:
         aggs += [wsum(e, strong).alias(f"strong_{e}"), F.coalesce(F.sum(e), F.lit(0.0)).alias(f"_total_{e}")]
     base = long.groupBy(*key).agg(*aggs)
@@ -141,15 +149,16 @@ def threshold_closure(points: DataFrame, thresholds: list[float], velocity: str
     for e in exposures:
         shares += [F.col(f"strong_{e}"), ratio_null(f"strong_{e}", f"_total_{e}").alias(f"strong_{e}_share")]
     base = base.select(*key, "n_valid_points", "n_strong_points", "n_control_points", *shares)
-    # medians: the control set is the same for every threshold, so it is ranked once
     values = [velocity, *exposures]
-    med = {"median": 0.5}
-    strong_med = exact_quantiles_of(long.filter(strong), values, med, key)
-    strong_med = strong_med.withColumnsRenamed({f"{c}_median": f"strong_{c}_median" for c in values})
-    control_med = exact_quantiles_of(points.filter(control_mask), values, med, group)
-    control_med = control_med.withColumnsRenamed({f"{c}_median": f"control_{c}_median" for c in values})
-    out = base.join(strong_med, key, "left")
-    return out.join(control_med, group, "left") if group else with_scalars(out, control_med)
+    # the control set carries the label -1, which is no threshold
+    sets = F.filter(F.array(*[F.when(v <= -t, F.lit(t)) for t in limits], F.when(in_control, F.lit(-1.0))), lambda x: x.isNotNull())
+    med = exact_quantiles_of(rows.withColumn("_set", F.explode(sets)), values, {"median": 0.5}, [*group, "_set"])
+    names = [f"{c}_median" for c in values]
+    is_control = F.col("_set") == -1.0
+    of_strong = med.filter(~is_control).select(*group, F.col("_set").alias("threshold_mm_per_year"), *[F.col(n).alias(f"strong_{n}") for n in names])
+    of_control = med.groupBy(*group).agg(*[F.max(F.when(is_control, F.col(n))).alias(f"control_{n}") for n in names])
+    out = base.join(of_strong, key, "left")
+    return out.join(of_control, group, "left") if group else with_scalars(out, of_control)
 
 
 def closure_summary(points: DataFrame, lon: str, lat: str, velocity: str, exposures: tuple[str, str],
@@ -217,15 +226,20 @@ def region_rollup(df: DataFrame, region: str, block: list[str], failures: str =
 
 def distribution_stats(df: DataFrame, value: str, group: list[str] | None = None,
                        below: tuple[float, ...] = (-5.0, -10.0), nearest: bool = False) -> DataFrame:
-    """Count, extremes, mean, five quantiles and shares below limits, of finite values."""
+    """Count, extremes, mean, five quantiles and shares below limits, of finite values.
+
+    The data is read once, into counts per (group, value); all figures come from those.
+    """
     group = group or []
-    x = F.when(finite(value), F.col(value))
-    base = df.groupBy(*group).agg(
-        F.count(x).alias("finite_count"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.max(x).alias("max"),
-        *[F.avg(F.when(x.isNotNull(), (x < b).cast("double"))).alias(f"fraction_lt_minus_{int(-b)}") for b in below],
+    x, n = F.col(value), F.col("_n")
+    counts = cut(df.filter(finite(value)).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n")))
+    share = lambda b: ratio_null(F.sum(F.when(x < b, n).otherwise(F.lit(0))), F.sum(n)).alias(f"fraction_lt_minus_{int(-b)}")
+    base = counts.groupBy(*group).agg(
+        F.sum(n).alias("finite_count"), F.min(x).alias("min"), ratio_null(F.sum(x * n), F.sum(n)).alias("mean"), F.max(x).alias("max"),
+        *[share(b) for b in below],
     )
     probs = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
-    return attach(base, exact_quantiles(df, value, probs, group, nearest), group, "left")
+    return attach(base, exact_quantiles(counts, value, probs, group, nearest, "_n"), group, "left")
 
 
 def zonal_stats(members: DataFrame, zone: list[str], value: str, window_pixels: Column | None = None,
@@ -233,20 +247,23 @@ def zonal_stats(members: DataFrame, zone: list[str], value: str, window_pixels:
     """Statistics of the cells of each zone.
 
     ``window_pixels`` is the size of the zone's whole window (the denominator of coverage); by
-    default the rows present. ``inside`` restricts the values to a mask flag.
+    default the rows present. ``inside`` restricts the values to a mask flag. The members, a
+    join, are produced once: they are counted per (zone, value, mask) and those counts are kept.
     """
+    x, n = F.col("_x"), F.col("_n")
     mask = F.col(inside) if inside else F.lit(True)
-    x = F.when(mask & finite(value), F.col(value))
-    total = F.count(F.lit(1)) if window_pixels is None else F.max(window_pixels)
-    cols = [total.alias("window_pixels"), F.count(x).alias("finite_pixels"),
-            ratio0(F.count(x), total).alias("coverage_fraction"), F.min(x).alias("min_value"),
-            F.max(x).alias("max_value"), F.avg(x).alias("mean_value"),
-            F.avg(F.when(x.isNotNull(), (x > 0).cast("double"))).alias("positive_fraction")]
+    keyed = members.select(*zone, mask.alias("_in"), F.when(mask & finite(value), F.col(value)).alias("_x"),
+                           (F.lit(None).cast("bigint") if window_pixels is None else window_pixels).alias("_w"))
+    counts = cut(keyed.groupBy(*zone, "_in", "_x").agg(F.count(F.lit(1)).alias("_n"), F.max("_w").alias("_w")))
+    valid = F.coalesce(F.sum(F.when(x.isNotNull(), n)), F.lit(0))
+    total = F.sum(n) if window_pixels is None else F.max("_w")
+    cols = [total.alias("window_pixels"), valid.alias("finite_pixels"), ratio0(valid, total).alias("coverage_fraction"),
+            F.min(x).alias("min_value"), F.max(x).alias("max_value"), ratio_null(F.sum(x * n), valid).alias("mean_value"),
+            ratio_null(F.sum(F.when(x > 0, n).when(x.isNotNull(), F.lit(0))), valid).alias("positive_fraction")]
     if inside:
-        cols.insert(1, F.count_if(mask).alias("mask_pixels"))
-    base = members.groupBy(*zone).agg(*cols)
-    med = exact_quantiles(members.filter(mask), value, {"median_value": 0.5}, zone)
-    return attach(base, med, zone, "left")
+        cols.insert(1, F.coalesce(F.sum(F.when(F.col("_in"), n)), F.lit(0)).alias("mask_pixels"))
+    med = exact_quantiles(counts, "_x", {"median_value": 0.5}, zone, count="_n")
+    return attach(counts.groupBy(*zone).agg(*cols), med, zone, "left")
 
 
 def fold_vs_global(cells: DataFrame, zone: list[str], layers: list[str]) -> DataFrame:

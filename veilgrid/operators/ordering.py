@@ -130,17 +130,17 @@ def _quantile_exprs(value: str, probs: dict[str, float], nearest: bool) -> list[
     return out
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
-                    group: list[str] | None = None, nearest: bool = False) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], group: list[str] | None = None,
+                    nearest: bool = False, count: str | None = None) -> DataFrame:
     """Exact quantiles of a column of any size, one row per group.
 
-    Values are first counted per (group, value), so repeats shrink before any shuffle. Linear
-    interpolation by default; ``nearest`` takes the value at index round-half-even(p*(n-1)).
+    Values are first counted per (group, value), so repeats shrink before any shuffle; rows that
+    already stand for several name their number in ``count``. Linear interpolation by default;
+    ``nearest`` takes the value at index round-half-even(p*(n-1)).
     """
     group = group or []
-    counted = (
-        df.filter(finite(value)).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-    )
+    size = F.count(F.lit(1)) if count is None else F.sum(count)
+    counted = df.filter(finite(value)).groupBy(*group, value).agg(size.alias("_c"))
     ranked = running_total(counted, [value], "_c", group, out="_cum", total="_n")
     return ranked.groupBy(*group).agg(*_quantile_exprs(value, probs, nearest))
 

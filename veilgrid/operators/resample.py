@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import draw_index, draw_uniform, hash32
 from ..functions.geo import block_row
 from ..functions.numeric import haldane_or, ratio0, wsum
-from ..runtime import attach, cut, explode_specs, small_side, with_scalars
+from ..runtime import attach, cut, explode_specs, small_side, spread, with_scalars
 from .ordering import bounded_quantiles, global_rank
 
 STATS = ["strong_cells", "strong_not_majority", "strong_majority", "nonstrong_cells", "nonstrong_not_majority",
@@ -72,7 +72,7 @@ def block_draws(blocks: DataFrame, order: list, group: list[str], reps: int, see
     draws are generated from the block rows themselves, wherever those are.
     """
     numbered = global_rank(blocks, order, group, out="idx", total="n_blocks")
-    draws = numbered.select(*group, F.col("idx").alias("pos"), "n_blocks").withColumn(
+    draws = spread(numbered.select(*group, F.col("idx").alias("pos"), "n_blocks")).withColumn(
         "rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
     )
     key = [F.lit(str(seed)), *[F.col(g) for g in group], F.col("rep"), F.col("pos")]
@@ -207,7 +207,7 @@ def permuted_sums(rows: DataFrame, key: str, label: str, sums: dict[str, Column]
     size = need.agg(F.max("_n").alias("n"), F.count(F.lit(1)).alias("s")).first()
     bits = min(24, max(0, math.ceil(math.log2(max(1, (size["n"] or 1)) / rows_per_window))))
     slim = rows.select(key, stratum, *[c.alias(n) for n, c in sums.items()])
-    shots = slim.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn(
+    shots = spread(slim).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn(
         "_h", hash32(seed, model, F.col("rep"), F.col(key))
     )
     group = ["rep", stratum]

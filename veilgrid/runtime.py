@@ -78,6 +78,15 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner")
     return df.join(stats, keys, how)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores before each of them is multiplied or scanned many times.
+
+    A small table comes out of adaptive coalescing in one or two partitions; what is generated
+    from it would then run in as many tasks.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """Mark ``df`` for broadcast only if its known row count is under the bound."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
