@@ -72,11 +72,12 @@ def block_draws(blocks: DataFrame, order: list, group: list[str], reps: int, see
     draws are generated from the block rows themselves, wherever those are.
     """
     numbered = global_rank(blocks, order, group, out="idx", total="n_blocks")
-    draws = spread(numbered.select(*group, F.col("idx").alias("pos"), "n_blocks")).withColumn(
+    prefix = F.concat_ws("|", F.lit(str(seed)), *[F.col(g).cast("string") for g in group])
+    draws = spread(numbered.select(*group, F.col("idx").alias("pos"), "n_blocks", prefix.alias("_key"))).withColumn(
         "rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
     )
-    key = [F.lit(str(seed)), *[F.col(g) for g in group], F.col("rep"), F.col("pos")]
-    return numbered, draws.select(*group, "rep", (draw_index(F.col("n_blocks"), *key) + 1).alias("idx"))
+    pick = draw_index(F.col("n_blocks"), F.col("_key"), F.col("rep"), F.col("pos")) + 1
+    return numbered, draws.select(*group, "rep", pick.alias("idx"))
 
 
 def bootstrap_blocks(stats: DataFrame, group: list[str], reps: int, seed: int,
@@ -195,40 +196,37 @@ def shifted_blocks(cells: DataFrame, row: str, column: str, sizes: list[int], po
 
 
 def permuted_sums(rows: DataFrame, key: str, label: str, sums: dict[str, Column], reps: int, seed: int,
-                  stratum: str, model: str, rows_per_window: int = 1 << 16) -> DataFrame:
+                  stratum: str, model: str, bits: int | None = None) -> DataFrame:
     """Shuffle a label inside strata and sum columns over the rows that get it: one row per rep.
 
     A shuffle gives the label to the k rows of the stratum with the smallest (hash, key). Only the
-    k-th place needs an order: hashes are cut into buckets, whole buckets below the place are
-    summed with map-side combining, and just the bucket that holds it is sorted. The number of
-    buckets grows with the largest stratum, so that bucket stays near ``rows_per_window`` rows.
+    k-th place needs an order: hashes are cut into 2^bits buckets, whole buckets below the place
+    are summed with map-side combining, and just the bucket that holds it is sorted. By default
+    there are about sqrt(n) buckets of sqrt(n) rows, n being the largest stratum, so neither the
+    bucket table nor a sorted bucket grows with the data itself.
     """
     need = cut(rows.groupBy(stratum).agg(F.count_if(F.col(label)).alias("_k"), F.count(F.lit(1)).alias("_n")))
     size = need.agg(F.max("_n").alias("n"), F.count(F.lit(1)).alias("s")).first()
-    bits = min(24, max(0, math.ceil(math.log2(max(1, (size["n"] or 1)) / rows_per_window))))
+    if bits is None:
+        bits = min(24, max(1, math.ceil(math.log2(max(2, size["n"] or 2)) / 2)))
     slim = rows.select(key, stratum, *[c.alias(n) for n, c in sums.items()])
     shots = spread(slim).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn(
         "_h", hash32(seed, model, F.col("rep"), F.col(key))
     )
     group = ["rep", stratum]
     names = list(sums)
-    sides = []
-    if bits == 0:
-        edge = shots.join(small_side(need.select(stratum, F.col("_k").alias("_take")), size["s"]), stratum)
-    else:
-        shots = shots.withColumn("_b", F.shiftright("_h", 32 - bits))
-        coarse = shots.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"), *[F.sum(n).alias(n) for n in names])
-        w = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
-        coarse = cut(coarse.withColumn("_cum", F.sum("_c").over(w)).join(small_side(need, size["s"]), stratum))
-        sides.append(coarse.filter("_cum <= _k").select("rep", *names))
-        place = coarse.filter("_cum > _k AND _cum - _c < _k").select(
-            *group, "_b", (F.col("_k") - F.col("_cum") + F.col("_c")).alias("_take")
-        )
-        edge = shots.join(small_side(place, place.count()), [*group, "_b"])
+    shots = shots.withColumn("_b", F.shiftright("_h", 32 - bits))
+    coarse = shots.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"), *[F.sum(n).alias(n) for n in names])
+    w = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    coarse = cut(coarse.withColumn("_cum", F.sum("_c").over(w)).join(small_side(need, size["s"]), stratum))
+    whole = coarse.filter("_cum <= _k").select("rep", *names)
+    place = coarse.filter("_cum > _k AND _cum - _c < _k").select(
+        *group, "_b", (F.col("_k") - F.col("_cum") + F.col("_c")).alias("_take")
+    )
+    edge = shots.join(small_side(place, place.count()), [*group, "_b"])
     rank = F.row_number().over(W.partitionBy(*group).orderBy("_h", key))
-    sides.append(edge.withColumn("_r", rank).filter("_r <= _take").select("rep", *names))
-    drawn = reduce(lambda a, b: a.unionByName(b), sides)
-    return drawn.groupBy("rep").agg(*[F.sum(n).alias(n) for n in names])
+    part = edge.withColumn("_r", rank).filter("_r <= _take").select("rep", *names)
+    return whole.unionByName(part).groupBy("rep").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def null_summary(draws: DataFrame, metric: str, observed: DataFrame) -> DataFrame:

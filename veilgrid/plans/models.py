@@ -10,6 +10,7 @@ from ..functions.geo import block_row
 from ..operators import binomial as B
 from ..operators import joins, meta, ordering
 from ..operators import regression as R
+from ..runtime import cut
 from . import views as V
 from .models_shared import evidence
 from .registry import query
@@ -19,8 +20,11 @@ _Z = {"pz": "ln(1e0 + greatest(population, 0e0))", "bz": "ln(1e0 + greatest(buil
 _ZSQL = ", ".join(f"{_STD.format(x=e)} as {n}" for n, e in _Z.items())
 
 
+_MODEL_COLS = ["cell_id", "cell_row", "cell_col", "region_id", "landcover_group", "strong", "majority", "n_obs", "n_pairs", "failure_count", "population", "builtup_m2"]
+
+
 def lead_design(spark, d):
-    cells = V.model_cells(spark, d)
+    cells = cut(V.model_cells(spark, d).select(*_MODEL_COLS))  # read for the scores, then for the features
     carry = ["cell_id", "n_obs", "n_pairs", "majority", "strong_sub_5mm", "block_row", "block_col", "region_id"]
     cells = cells.withColumn("strong_sub_5mm", F.col("strong").cast("int"))
     cells = cells.withColumn("block_row", block_row("cell_row", 16)).withColumn("block_col", block_row("cell_col", 16))
@@ -37,9 +41,10 @@ _GROUPS = list(labels.LANDCOVER_CODES)
 
 
 def multi_design(spark, d, strong_landcover: bool = False, identified: bool = True):
-    cells = V.model_cells(spark, d).withColumn("block_row", block_row("cell_row", 16)).withColumn("block_col", block_row("cell_col", 16))
+    cells = cut(V.model_cells(spark, d).select(*_MODEL_COLS))
+    cells = cells.withColumn("block_row", block_row("cell_row", 16)).withColumn("block_col", block_row("cell_col", 16))
     regions = sorted(r[0] for r in V.table(spark, d, "region").select("r_regionkey").collect())  # levels of the model
-    groups = B.identified_groups(V.grid(spark, d).select(labels.landcover_group("landcover_code").alias("g")), "g", _GROUPS) if identified else _GROUPS
+    groups = B.identified_groups(cells, "landcover_group", _GROUPS) if identified else _GROUPS
     design, terms = B.design_multi(
         cells, "region_id", regions, "landcover_group", groups, "strong", "population", "builtup_m2",
         ["cell_id", "failure_count", "n_pairs", "block_row", "block_col"], strong_landcover)
@@ -258,8 +263,6 @@ def loo_error(spark, d):
 @query("family_ladder", rnd="reference_or reference_ci_low reference_ci_high loo_mae loo_max_abs_error", ints="n_terms")
 def family_ladder(spark, d):
     """Five covariate families compared by leave-one-out error."""
-    from ..runtime import cut
-
     e = evidence(spark, d).select("nation_id", "cropland_fraction", "built_up_fraction", "water_wetland_mangrove_fraction", "dominant_landcover", "station_count", "signal")
     s = V.studies(spark, d).join(e, "nation_id").withColumns({
         "n_cells_log": F.log1p("n_cells"), "strong_cells_log": F.log1p("strong_cells"), "hidden_share": F.col("a") / (F.col("a") + F.col("b")),
