@@ -27,7 +27,7 @@ def test_permuted_sums_exact(spark, bits):
     n = 1500
     f = pd.DataFrame({"id": np.arange(n), "s": np.where(rng.random(n) < 0.7, "hot", rng.choice(list("abc"), n)),
                       "lab": rng.random(n) < 0.3, "w": rng.integers(0, 9, n)})
-    got = resample.permuted_sums(spark.createDataFrame(f), "id", "lab", {"w": F.col("w"), "one": F.lit(1)}, 3, 5, "s", "m", bits)
+    got = resample.permuted_sums(spark.createDataFrame(f).withColumn("m", F.lit("m")), "id", "lab", {"w": F.col("w"), "one": F.lit(1)}, 3, 5, "s", ["m"], bits)
     got = got.toPandas().set_index("rep")
     for rep in range(3):
         f["h"] = [h(5, "m", rep, i) for i in f["id"]]
@@ -101,7 +101,6 @@ def test_monte_carlo_direct(spark):
 
 
 def test_null_summary(spark):
-    draws = spark.createDataFrame([(float(i),) for i in range(19)], "m double")
-    obs = spark.createDataFrame([(100.0,)], "m double")
-    r = resample.null_summary(draws, "m", obs).first()
-    assert r.two_sided_empirical_p == pytest.approx(2 / 20) and r.null_mean == 9
+    draws = spark.createDataFrame([(float(i), 100.0) for i in range(19)], "m double, o double")
+    r = resample.null_summary(draws, "m", "o").first()
+    assert r.two_sided_empirical_p == pytest.approx(2 / 20) and r.null_mean == 9 and r.observed == 100

@@ -196,47 +196,57 @@ def shifted_blocks(cells: DataFrame, row: str, column: str, sizes: list[int], po
 
 
 def permuted_sums(rows: DataFrame, key: str, label: str, sums: dict[str, Column], reps: int, seed: int,
-                  stratum: str, model: str, bits: int | None = None) -> DataFrame:
-    """Shuffle a label inside strata and sum columns over the rows that get it: one row per rep.
-
-    A shuffle gives the label to the k rows of the stratum with the smallest (hash, key). Only the
-    k-th place needs an order: hashes are cut into 2^bits buckets, whole buckets below the place
-    are summed with map-side combining, and just the bucket that holds it is sorted. By default
-    there are about sqrt(n) buckets of sqrt(n) rows, n being the largest stratum, so neither the
-    bucket table nor a sorted bucket grows with the data itself.
+                  stratum: str, by: list[str] | None = None, bits: int | None = None) -> DataFrame:
+    """Shuffle a label inside strata and sum columns over the rows that get it.
+
+    ``by`` names separate null models, each with its own strata and draws; the result has one row
+    per (by, rep). A shuffle gives the label to the k rows of the stratum with the smallest
+    (hash, key). Only the k-th place needs an order: hashes are cut into 2^bits buckets, whole
+    buckets below the place are summed with map-side combining, and just the bucket that holds it
+    is sorted. By default a stratum of n rows has about sqrt(n) buckets of sqrt(n) rows, so no
+    task ever sorts a stratum and the table of buckets stays small.
     """
-    need = cut(rows.groupBy(stratum).agg(F.count_if(F.col(label)).alias("_k"), F.count(F.lit(1)).alias("_n")))
-    size = need.agg(F.max("_n").alias("n"), F.count(F.lit(1)).alias("s")).first()
-    if bits is None:
-        bits = min(24, max(1, math.ceil(math.log2(max(2, size["n"] or 2)) / 2)))
-    slim = rows.select(key, stratum, *[c.alias(n) for n, c in sums.items()])
-    shots = spread(slim).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn(
-        "_h", hash32(seed, model, F.col("rep"), F.col(key))
-    )
-    group = ["rep", stratum]
+    by = by or []
+    strata = [*by, stratum]
+    fine = F.lit(bits) if bits is not None else F.least(F.lit(24), F.greatest(F.lit(1), F.ceil(F.log2(F.col("_n")) / 2)))
+    need = rows.groupBy(*strata).agg(F.count_if(F.col(label)).alias("_k"), F.count(F.lit(1)).alias("_n"))
+    # the numbers given to strata are frozen with the table, so every later read agrees on them
+    need = cut(need.withColumn("_sid", F.monotonically_increasing_id()).withColumn("_bits", fine.cast("int")))
+    count = need.count()
+    keyed = rows.join(small_side(need.select(*strata, "_sid", "_bits"), count), strata)
+    slim = keyed.select(key, *by, "_sid", "_bits", *[c.alias(n) for n, c in sums.items()])
     names = list(sums)
-    shots = shots.withColumn("_b", F.shiftright("_h", 32 - bits))
+    shots = (
+        spread(slim).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+        .withColumn("_h", hash32(seed, *[F.col(b) for b in by], F.col("rep"), F.col(key)))
+        .withColumn("_b", F.expr("shiftright(_h, 32 - _bits)"))
+        .select(key, "_sid", "rep", "_h", "_b", *names)
+    )
+    group = ["rep", "_sid"]
     coarse = shots.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"), *[F.sum(n).alias(n) for n in names])
     w = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    coarse = cut(coarse.withColumn("_cum", F.sum("_c").over(w)).join(small_side(need, size["s"]), stratum))
-    whole = coarse.filter("_cum <= _k").select("rep", *names)
+    coarse = cut(coarse.withColumn("_cum", F.sum("_c").over(w)).join(small_side(need.select("_sid", "_k"), count), "_sid"))
+    whole = coarse.filter("_cum <= _k").groupBy(*group).agg(*[F.sum(n).alias(n) for n in names])
     place = coarse.filter("_cum > _k AND _cum - _c < _k").select(
         *group, "_b", (F.col("_k") - F.col("_cum") + F.col("_c")).alias("_take")
     )
     edge = shots.join(small_side(place, place.count()), [*group, "_b"])
     rank = F.row_number().over(W.partitionBy(*group).orderBy("_h", key))
-    part = edge.withColumn("_r", rank).filter("_r <= _take").select("rep", *names)
-    return whole.unionByName(part).groupBy("rep").agg(*[F.sum(n).alias(n) for n in names])
-
-
-def null_summary(draws: DataFrame, metric: str, observed: DataFrame) -> DataFrame:
-    """Observed value against a null sample: mean, 95 % range, two-sided empirical p."""
-    both = with_scalars(draws, observed.select(F.col(metric).alias("observed")))
-    stats = both.agg(
-        F.max("observed").alias("observed"), F.avg(metric).alias("null_mean"),
-        *bounded_quantiles(metric, {"null_q025": 0.025, "null_q975": 0.975}),
-        F.count_if(F.col(metric) >= F.col("observed")).alias("_ge"),
-        F.count_if(F.col(metric) <= F.col("observed")).alias("_le"), F.count(F.lit(1)).alias("n_reps"),
+    part = edge.withColumn("_r", rank).filter("_r <= _take").select(*group, *names)
+    drawn = whole.unionByName(part).join(small_side(need.select("_sid", *by), count), "_sid")
+    return drawn.groupBy(*by, "rep").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def null_summary(draws: DataFrame, value: str, observed: str, group: list[str] | None = None) -> DataFrame:
+    """Observed value against a null sample: mean, 95 % range, two-sided empirical p.
+
+    One row per draw, each carrying the observed value of its group.
+    """
+    stats = draws.groupBy(*(group or [])).agg(
+        F.max(observed).alias("observed"), F.avg(value).alias("null_mean"),
+        *bounded_quantiles(value, {"null_q025": 0.025, "null_q975": 0.975}),
+        F.count_if(F.col(value) >= F.col(observed)).alias("_ge"),
+        F.count_if(F.col(value) <= F.col(observed)).alias("_le"), F.count(F.lit(1)).alias("n_reps"),
     )
     p = 2.0 * (F.least("_ge", "_le") + 1) / (F.col("n_reps") + 1)
     return stats.withColumn("two_sided_empirical_p", F.least(F.lit(1.0), p)).drop("_ge", "_le")

@@ -140,33 +140,33 @@ def placebo_permutation(spark, d):
     ranked = cut(ranked.withColumn("decile", ordering.ntile_of("_r", "_n", 10)).withColumn("quint", ordering.ntile_of("_r", "_n", 5)))
     text = lambda c: F.col(c).cast("string")
     block = lambda b: F.concat(F.floor(F.col("cell_row") / b).cast("string"), F.lit("_"), F.floor(F.col("cell_col") / b).cast("string"))
-    hid = F.col("hidden").cast("bigint")
+    strong, hidden = F.col("strong"), F.col("hidden")
+    model = lambda name, label, stratum, universe: F.when(universe, F.struct(F.lit(name).alias("null_model"), label.alias("label"), stratum.alias("stratum")))
+    always = F.lit(True)
+    models = F.array(
+        model("strong_label_global", strong, F.lit("all"), always), model("strong_label_spatial_8x8", strong, block(16), always),
+        model("hidden_mask_global", hidden, F.lit("all"), strong), model("hidden_mask_spatial_8x8", hidden, block(16), strong),
+        model("hidden_mask_deformation_decile", hidden, text("decile"), strong),
+        model("hidden_mask_spatial4_deformation5", hidden, F.concat(block(32), F.lit("_"), text("quint")), strong),
+    )
+    rows = ranked.withColumn("m", F.explode(F.filter(models, lambda x: x.isNotNull()))).select("cell_id", "hidden", "population", "builtup_m2", "m.*")
+    hid = hidden.cast("bigint")
+    sums = {"hid": hid, "pop": F.col("population"), "built": F.col("builtup_m2")}
+    draws = resample.permuted_sums(rows, "cell_id", "label", sums, _REPS, SEED, "stratum", ["null_model"])
+    both = strong & hidden
     tot = ranked.agg(
-        F.count(F.lit(1)).alias("nb"), F.count_if("strong").alias("ns"), F.sum(hid).alias("nh"), F.count_if(F.col("strong") & F.col("hidden")).alias("sh"),
-        F.sum(F.when(F.col("strong") & F.col("hidden"), F.col("population"))).alias("sp"), F.sum(F.when(F.col("strong") & F.col("hidden"), F.col("builtup_m2"))).alias("sb"))
+        F.count(F.lit(1)).alias("nb"), F.count_if(strong).alias("ns"), F.sum(hid).alias("nh"), F.count_if(both).alias("sh"),
+        F.sum(F.when(both, F.col("population"))).alias("sp"), F.sum(F.when(both, F.col("builtup_m2"))).alias("sb"))
     ns, nh, nb = F.col("ns"), F.col("nh"), F.col("nb")
     odds = lambda h: F.round(haldane_or(h, ns - h, nh - h, nb - ns - (nh - h)), 9)
-    observed = tot.select(
-        odds(F.col("sh")).alias("strong_notmajority_or"), F.round("sp", 4).alias("hidden_population_in_strong"),
-        F.round(F.col("sb") / 1e6, 6).alias("hidden_builtup_in_strong_km2"))
-    models = [
-        ("strong_label_global", "strong", F.lit("all")), ("strong_label_spatial_8x8", "strong", block(16)), ("hidden_mask_global", "hidden", F.lit("all")),
-        ("hidden_mask_spatial_8x8", "hidden", block(16)), ("hidden_mask_deformation_decile", "hidden", text("decile")),
-        ("hidden_mask_spatial4_deformation5", "hidden", F.concat(block(32), F.lit("_"), text("quint")))]
-    out = []
-    for model, label, stratum in models:
-        rows = ranked if label == "strong" else ranked.filter("strong")
-        rows = rows.withColumn("stratum", stratum)
-        if label == "strong":
-            draws = resample.permuted_sums(rows, "cell_id", label, {"hid": hid}, _REPS, SEED, "stratum", model)
-            draws = with_scalars(draws, tot).select(odds(F.col("hid")).alias("strong_notmajority_or"))
-        else:
-            sums = {"pop": F.col("population"), "built": F.col("builtup_m2")}
-            draws = resample.permuted_sums(rows, "cell_id", label, sums, _REPS, SEED, "stratum", model)
-            draws = draws.select(F.round("pop", 4).alias("hidden_population_in_strong"), F.round(F.col("built") / 1e6, 6).alias("hidden_builtup_in_strong_km2"))
-        for metric in draws.columns:
-            out.append(resample.null_summary(draws, metric, observed).withColumn("null_model", F.lit(model)).withColumn("metric", F.lit(metric)))
-    return ordering.union_all(out)
+    entry = lambda name, value, observed: F.struct(F.lit(name).alias("metric"), value.alias("value"), observed.alias("seen"))
+    of_label = F.array(entry("strong_notmajority_or", odds(F.col("hid")), odds(F.col("sh"))))
+    of_mask = F.array(
+        entry("hidden_population_in_strong", F.round("pop", 4), F.round("sp", 4)),
+        entry("hidden_builtup_in_strong_km2", F.round(F.col("built") / 1e6, 6), F.round(F.col("sb") / 1e6, 6)))
+    metrics = F.when(F.col("null_model").startswith("strong_label"), of_label).otherwise(of_mask)
+    long = with_scalars(draws, tot).select("null_model", F.explode(metrics).alias("e")).select("null_model", "e.*")
+    return resample.null_summary(long, "value", "seen", ["null_model", "metric"])
 
 
 _MC = 2000
