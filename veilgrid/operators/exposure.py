@@ -183,14 +183,17 @@ def closure_summary(points: DataFrame, lon: str, lat: str, velocity: str, exposu
 def landcover_rollup(df: DataFrame, region: str = "region", land: str = "landcover_group",
                      failures: str = "failure_count", trials: str = "n_pairs") -> DataFrame:
     """Per region and land cover, and per land cover over all regions (``ALL``)."""
-    strong = F.col("strong")
-    aggs = [
-        F.count(F.lit(1)).alias("cells"), F.avg(strong.cast("double")).alias("strong_share"),
-        ratio_null(F.sum(failures), F.sum(trials)).alias("failure_rate"),
-        ratio_null(F.sum(F.when(strong, F.col(failures))), F.sum(F.when(strong, F.col(trials)))).alias("strong_failure_rate"),
-        ratio_null(F.sum(F.when(~strong, F.col(failures))), F.sum(F.when(~strong, F.col(trials)))).alias("nonstrong_failure_rate"),
-    ]
-    g = df.groupingSets([[region, land], [land]], region, land).agg(*aggs, F.grouping(region).alias("_all"))
+    s, f, t = F.col("strong"), F.col(failures), F.col(trials)
+    # sums per (region, land cover) first, so only those few rows are repeated for the grand total
+    sums = df.groupBy(region, land).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(s).alias("ns"), F.sum(f).alias("f"), F.sum(t).alias("t"),
+        F.sum(F.when(s, f)).alias("fs"), F.sum(F.when(s, t)).alias("ts"), F.sum(F.when(~s, f)).alias("fn"), F.sum(F.when(~s, t)).alias("tn"),
+    )
+    rate = lambda a, b: ratio_null(F.sum(a), F.sum(b))
+    g = sums.groupingSets([[region, land], [land]], region, land).agg(
+        F.sum("n").alias("cells"), rate("ns", "n").alias("strong_share"), rate("f", "t").alias("failure_rate"),
+        rate("fs", "ts").alias("strong_failure_rate"), rate("fn", "tn").alias("nonstrong_failure_rate"), F.grouping(region).alias("_all"),
+    )
     g = g.withColumn(region, F.when(F.col("_all") == 1, "ALL").otherwise(F.col(region).cast("string")))
     # one row per (region, land cover): the window is over a handful of rows per region
     frac = F.col("cells") / F.sum("cells").over(W.partitionBy(region))

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
-from ..runtime import attach, cut, small_side
+from ..runtime import attach_to_rows, cut, small_side
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
@@ -188,7 +188,7 @@ def zscore(df: DataFrame, values: list[str], group: list[str] | None = None,
     aggs = [f(F.when(finite(v), F.col(v))).alias(f"_{n}_{v}") for v in values
             for n, f in (("m", F.avg), ("s", F.stddev_pop))]
     stats = base.groupBy(*group).agg(*aggs)
-    wide = attach(df, stats, group)
+    wide = attach_to_rows(df, stats, group)
     out = []
     for v in values:
         sd = F.when(F.coalesce(F.col(f"_s_{v}"), F.lit(0.0)) == 0, 1.0).otherwise(F.col(f"_s_{v}"))

@@ -176,16 +176,13 @@ def shifted_blocks(cells: DataFrame, row: str, column: str, sizes: list[int], po
     """Hidden shares under several block sizes and two origins (unshifted, shifted by half)."""
     specs = [{"block_size": b, "origin_shift": s} for b in sizes for s in (0, b // 2)]
     strong = cells.filter(F.col("base") & F.col("strong")).select(row, column, "majority", population, builtup)
-    unit = strong.groupBy(row, column).agg(
-        F.count(F.lit(1)).alias("cells"), F.count_if(~F.col("majority")).alias("hid"),
-        wsum(population, F.lit(True)).alias("pop"), wsum(population, ~F.col("majority")).alias("pop_h"),
-        wsum(builtup, F.lit(True)).alias("built"), wsum(builtup, ~F.col("majority")).alias("built_h"),
-    )
-    long = explode_specs(unit, specs)
+    long = explode_specs(strong, specs)
     at = lambda c: F.floor((F.col(c) + F.col("origin_shift")) / F.col("block_size"))
-    sums = ["cells", "hid", "pop", "pop_h", "built", "built_h"]
+    hidden = ~F.col("majority")
     blocks = long.groupBy("block_size", "origin_shift", at(row).alias("_br"), at(column).alias("_bc")).agg(
-        *[F.sum(s).alias(s) for s in sums]
+        F.count(F.lit(1)).alias("cells"), F.count_if(hidden).alias("hid"),
+        F.sum(population).alias("pop"), wsum(population, hidden).alias("pop_h"),
+        F.sum(builtup).alias("built"), wsum(builtup, hidden).alias("built_h"),
     )
     return blocks.groupBy("block_size", "origin_shift").agg(
         F.count(F.lit(1)).alias("n_blocks"), F.sum("cells").alias("strong_cells"), F.sum("hid").alias("hidden_cells"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..functions.numeric import haldane_or, ratio0, wmean, wsum
 from ..operators import binomial, exposure, joins, meta, observe, ordering, resample
-from ..runtime import with_scalars
+from ..runtime import attach_to_rows
 from . import views as V
 from .registry import query
 
@@ -368,7 +368,7 @@ def subnational_spread(spark, d):
     s = V.table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal").join(n, "s_nationkey")
     first = ordering.first_by(s, ["region_id"], [F.col("s_suppkey")], ["s_suppkey", "s_acctbal"]).withColumnsRenamed(
         {"s_suppkey": "_first", "s_acctbal": "national_value"})
-    rest = s.join(first, "region_id").filter(F.col("s_suppkey") != F.col("_first"))
+    rest = attach_to_rows(s, first, ["region_id"]).filter(F.col("s_suppkey") != F.col("_first"))
     agg = rest.groupBy("region_id").agg(F.count(F.lit(1)).alias("subnational_count"), F.min("s_acctbal").alias("lo"), F.max("s_acctbal").alias("hi"))
     med = ordering.exact_quantiles(rest, "s_acctbal", {"mid": 0.5}, ["region_id"])
     out = first.join(agg, "region_id", "left").join(med, "region_id", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, numeric
 from ..operators import exposure, meta, ordering
-from ..runtime import attach, with_scalars
+from ..runtime import attach_to_rows
 from . import views as V
 from .registry import query
 
@@ -81,7 +81,7 @@ def group_share(spark, d):
 def loo_totals(spark, d):
     f = V.flags(spark, d).select("cell_id", "region_id", "population")
     t = f.groupBy("region_id").agg(F.sum("population").alias("tp"), F.count(F.lit(1)).alias("tn"))
-    return attach(f, t, ["region_id"]).select(
+    return attach_to_rows(f, t, ["region_id"]).select(
         "cell_id", (F.col("tp") - F.coalesce("population", F.lit(0.0))).alias("population_without"), (F.col("tn") - 1).alias("cells_without"))
 
 

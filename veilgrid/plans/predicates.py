@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..functions import numeric as N
 from ..operators import exposure, observe
-from ..runtime import attach
+from ..runtime import attach_to_rows
 from ..sources import readers
 from . import views as V
 from .registry import query
@@ -125,7 +125,7 @@ def category_codes(spark, d):
 
     part = V.table(spark, d, "part").select("p_partkey", "p_brand")
     codes = global_rank(part.select("p_brand").distinct(), ["p_brand"], out="code")
-    return part.join(codes.withColumn("code", F.col("code") - 1), "p_brand")
+    return attach_to_rows(part, codes.withColumn("code", F.col("code") - 1), ["p_brand"])
 
 
 @query("landcover_group", "select cell_id, coalesce(landcover_group, 'other') as landcover_group from fx_grid g left join fx_land l on l.landcover_code = g.landcover_code", "fx_grid fx_land")

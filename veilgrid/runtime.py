@@ -82,9 +82,10 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal rows over all cores before each of them is multiplied or scanned many times.
 
     A small table comes out of adaptive coalescing in one or two partitions; what is generated
-    from it would then run in as many tasks.
+    from it would then run in as many tasks. Large tables keep the number of shuffle partitions.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -92,6 +93,18 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def attach_to_rows(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``attach`` for a large ``df``: the statistics are frozen and counted first.
+
+    If they are few they are broadcast, so the rows are not shuffled onto a handful of group keys;
+    otherwise the join shuffles.
+    """
+    if not keys:
+        return with_scalars(df, stats)
+    frozen = cut(stats)
+    return df.join(small_side(frozen, frozen.count()), keys, how)
+
+
 def explode_specs(df: DataFrame, specs: list[dict], prefix: str = "") -> DataFrame:
     """Repeat each row once per spec (a fixed, short list) without a join."""
     names = list(specs[0])
