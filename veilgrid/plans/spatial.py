@@ -112,7 +112,7 @@ def zonal_polygon_stats(spark, d):
 
 @query("argmax_overlap")
 def argmax_overlap(spark, d):
-    """For each zone window the polygon group with the largest shared area; checked in the tests."""
+    """For each zone window the polygon group with the largest shared area; its parts are tested."""
     w = zone_windows(spark, d).withColumn("w", geo.west(TALL, "c0")).withColumn("e", geo.west(TALL, "c1"))
     w = w.withColumn("n", geo.north(TALL, "r0")).withColumn("s", geo.north(TALL, "r1"))
     near = joins.windows_meeting_polygons(w, polygons(spark, d), TALL)
