@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blockknn, bpe
+from . import blockknn, bpe, imatch, langid, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,44 @@ def file_bytes(path: str) -> bytes:
         return f.read()
 
 
+OP2_SQL = r"""
+with docs as (select doc_id, coalesce(text, '') as text from documents),
+texts as (select doc_id, text, length(text)::bigint as n,
+                 coalesce(lead(text) over (order by doc_id, text), first_value(text) over (order by doc_id, text)) as nxt,
+                 coalesce(lead(doc_id) over (order by doc_id, text), first_value(doc_id) over (order by doc_id, text)) as nid from docs),
+edited as (select doc_id, left(text, (n - n // 4)::bigint) || left(nxt, (n // 4)::bigint) as text from texts),
+forms as (select doc_id, false as e, text from docs union all select doc_id, true, text from edited),
+term as (select distinct doc_id, e, ('0x' || substr(md5(w), 1, 12))::bigint as t
+         from (select doc_id, e, unnest(string_split_regex(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as w from forms) where w <> ''),
+lex as (select t >> 28 as slot from (select distinct doc_id, t >> 28 << 28 as t from term where not e) group by 1
+        having count(*) * 1000 >= (select count(*) from docs) and count(*) * 5 <= (select count(*) from docs)),
+subset as (select i, [0, 3, 8, 15][i // 8 + 1] as low, [7, 31, 127, 511][i // 8 + 1] as mask from range(32) r(i)),
+inlex as (select * from term where t >> 28 in (select slot from lex)),
+part as (select doc_id, e, i, substr(md5(string_agg(t::varchar, ',' order by t)), 1, 12) as h
+         from inlex join subset on ((t >> low) & mask) = i % 8 group by all),
+anyterm as (select distinct doc_id, e, 1 as one from inlex),
+plain as (select f.doc_id, f.e, substr(md5(coalesce(string_agg(t.t::varchar, ',' order by t.t), '')), 1, 12) as h
+          from forms f left join anyterm a using (doc_id, e) left join term t using (doc_id, e) where a.one is null group by all),
+cell as (select f.doc_id, f.e, s.i, coalesce(p.h, case when s.i = 31 then q.h end, '-') as h
+         from forms f cross join subset s left join part p on p.doc_id = f.doc_id and p.e = f.e and p.i = s.i
+         left join plain q on q.doc_id = f.doc_id and q.e = f.e),
+print as (select doc_id, e, string_agg(h, ':' order by i) as p, list(h order by i) as hs from cell group by all),
+pairs as (select t.doc_id, t.n, a.p as fingerprint, b.p as edited_fingerprint, a.hs as x, b.hs as y, c.hs as z, d.text as edited
+          from texts t join print a on a.doc_id = t.doc_id and not a.e join print b on b.doc_id = t.doc_id and b.e
+          join print c on c.doc_id = t.nid and not c.e join edited d on d.doc_id = t.doc_id),
+counts as (select *, len(list_filter(range(1, 33), lambda i: x[i] <> '-' or y[i] <> '-')) as ny, len(list_filter(range(1, 33), lambda i: x[i] <> '-' and x[i] = y[i])) as ey,
+                  len(list_filter(range(1, 33), lambda i: x[i] <> '-' or z[i] <> '-')) as nz, len(list_filter(range(1, 33), lambda i: x[i] <> '-' and x[i] = z[i])) as ez from pairs)
+select doc_id, n as n_chars, sha256(edited) as edited_sha256, fingerprint, edited_fingerprint,
+       case when ny = 0 then 1e0 else ey::double / ny end as near_edited, case when nz = 0 then 1e0 else ez::double / nz end as near_next from counts
+"""
+
+
+@register("op2_imatch", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of every text and of its edited form."""
+    return imatch.fingerprint_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @register(
     "op4_block_matrix_knn",
     """
@@ -55,6 +93,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blockknn.nearest(rows.where(F.col("id") % 20 == 0), rows, 20)
 
 
+@register("op6_subword_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text; learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = langid.crc_of_id("doc_id") % 3 == 1
+    found = langid.identify(docs, "doc_id", "text", "lang", ["doc_id"], ~held)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@register("op9_bm25_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", file_bytes(TOKENIZER).decode(), public_tokenizers.PATTERN)
+
+
 @register("op10_bpe_transducer")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding and decoding of every document's whole text, as digests."""
