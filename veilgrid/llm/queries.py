@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blockknn, bpe, imatch, langid, packing
+from . import blockknn, bpe, imatch, langid, licenses, neardup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,6 +93,25 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blockknn.nearest(rows.where(F.col("id") % 20 == 0), rows, 20)
 
 
+@register(
+    "op5_tensored_minhash",
+    r"""
+    with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+    s as (select distinct doc_id, unnest(case when len(ws) = 0 then []::varchar[] when len(ws) < 5 then [array_to_string(ws, ' ')]
+                                         else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as g from w),
+    n as (select doc_id, count(*) as n from s group by 1),
+    p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b using (g) where a.doc_id <> b.doc_id group by all),
+    e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 75 * (a.n + b.n - c)),
+    r(doc_id, reach) as (select doc_id, doc_id from documents union select r.doc_id, e.y from r join e on e.x = r.reach),
+    m as (select doc_id, min(reach) as component_id from r group by 1)
+    select m.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, component_id = m.doc_id as kept from m left join n using (doc_id)
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return neardup.link(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @register("op6_subword_language")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text; learned from the rows that are not held out."""
@@ -102,6 +121,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+@register("op7_diagonal_licenses")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License places and labels of every whole text."""
+    return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @register("op9_bm25_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
