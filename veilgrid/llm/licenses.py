@@ -50,6 +50,8 @@ SHORT, LONG = 2, 3
 NEAR = 3
 #: Share of a template's runs that a span must cover for its label.
 COVER = 0.6
+#: Templates of at most so many runs must be covered whole.
+FEW = 5
 
 
 def _runs(texts: Texts, lo: int, hi: int) -> dict[str, pa.Array]:
@@ -117,7 +119,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, phrases: dict[str, str] |
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > NEAR).cast("int"), F.lit(0))
     spans = votes("t").withColumn("new", new).withColumn("span", F.sum("new").over(order))
     spans = spans.groupBy("row_", "no", "span", "runs").agg(F.sum("votes").alias("votes")).withColumn("cover", F.least(F.lit(1.0), F.col("votes") / F.col("runs")))
-    spans = spans.withColumn("label", F.when(F.col("cover") >= COVER, label(templates)))
+    spans = spans.withColumn("label", F.when((F.col("cover") >= COVER) & ((F.col("runs") > FEW) | (F.col("votes") >= F.col("runs"))), label(templates)))
     tagged = spans.groupBy("row_").agg(F.max("cover").alias("cover"), F.collect_set("label").alias("more_set"))
     out = texts.join(based, "row_", "left").join(tagged, "row_", "left")
     none = F.array().cast("array<string>")
