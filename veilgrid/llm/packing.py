@@ -10,8 +10,7 @@ rest of it seeds the next window, so only the last window of a partition is shor
 
 from __future__ import annotations
 
-import math
-import os
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -22,8 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import scratch
-from .bpe import Pieces, Splitter
-from .scan import Texts, mix
+from .scan import mix
 
 #: Tokens of one shard of the inverted index.
 SHARD_TOKENS = 1 << 19
@@ -33,23 +31,29 @@ _CUT = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, i
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def byte_symbols() -> dict[str, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next from 256."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class TokenCutter:
-    """Ids of whole texts from a tokenizer file; pieces already met come from a bounded table."""
+    """Ids of whole texts by the vocabulary of a byte-level tokenizer file; special strings are ordinary text."""
 
     def __init__(self, content: str, pattern: str, end_id: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tiktoken  # the same ids as the file's own library, without its records of offsets
 
-        self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = Splitter(pattern, pattern)
-        self.pieces = Pieces(lambda piece: self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        self.end = np.array([end_id], "<u4").tobytes()
+        data, symbols = json.loads(content), byte_symbols()
+        special = {t["content"] for t in data["added_tokens"]}
+        ranks = {bytes(symbols[c] for c in t): i for t, i in data["model"]["vocab"].items() if t not in special}
+        self.encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.end = np.array([end_id], np.uint32)
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
-            return np.frombuffer(self.end, "<u4")
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.split(text))) + self.end, "<u4")
+            return self.end
+        return np.concatenate([np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()), np.uint32), self.end])
 
 
 def crc(ids: np.ndarray) -> int:
