@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import BLOCK_BYTES, Texts, Words, byte_table, map_blocks, nested
+from .scan import Texts, Words, byte_table, map_blocks
 
 #: Documents sampled for the fit, as expected number; at most twice as many are taken.
 SAMPLE = 6000
@@ -76,7 +76,9 @@ def _features(texts: Texts, lo: int, hi: int) -> dict[str, pa.Array]:
     row, bucket = np.divmod(key, BUCKETS)
     counts = np.bincount(row, minlength=hi - lo)
     share = n / np.maximum(1, np.bincount(row, weights=n, minlength=hi - lo))[row]
-    return {"buckets": nested(pa.array(bucket.astype(np.int32)), counts), "shares": nested(pa.array(share.astype(np.float32)), counts)}
+    ends = np.cumsum(counts)
+    packed = lambda x, kind: pa.array([p.astype(kind).tobytes() for p in np.split(x, ends[:-1])], pa.binary())
+    return {"buckets": packed(bucket, "<i4"), "shares": packed(share, "<f4")}
 
 
 @dataclass
@@ -158,12 +160,12 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int
         chosen = F.when(F.col("lang_") == r["lang_"], F.lit(sample / len(counts) / r["count"])).otherwise(chosen)
     draw = F.pmod(F.xxhash64("id_", "text_"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = known.where(draw < chosen).limit(2 * sample)
-    rows = map_blocks(picked, "text_", ["lang_", "id_"], "buckets array<int>, shares array<float>", _features).where(F.size("buckets") > 0)
-    got = sorted(rows.collect(), key=lambda r: (str(r["id_"]), r["lang_"]))  # sparse vectors of the sample
+    rows = map_blocks(picked, "text_", ["lang_", "id_"], "buckets binary, shares binary", _features).where(F.octet_length("buckets") > 0)
+    got = sorted(rows.toLocalIterator(), key=lambda r: (str(r["id_"]), r["lang_"]))  # sparse vectors of the sample
     if not got:
         return None
     number = {name: i for i, name in enumerate(languages)}
-    x = [(np.array(r["buckets"], np.int32), np.array(r["shares"], np.float32)) for r in got]
+    x = [(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["shares"], "<f4")) for r in got]
     order = np.random.default_rng(3).permutation(len(got))
     return train([x[i] for i in order], np.array([number[got[i]["lang_"]] for i in order]), languages)
 
