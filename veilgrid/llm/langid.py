@@ -174,7 +174,7 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def predict(docs: DataFrame, text_col: str, keep: list[str], model: Model | None) -> DataFrame:
+def predict(docs: DataFrame, text_col: str, keep: list[str], model: Model | None, with_text: bool = False) -> DataFrame:
     """``keep`` with ``lang_pred``, ``score`` (calibrated probability) and ``accepted``.
 
     Null texts and texts without letters are ``und`` with score 0 and not accepted; so is every text if
@@ -205,9 +205,9 @@ def predict(docs: DataFrame, text_col: str, keep: list[str], model: Model | None
             "score": pa.array(np.where(seen, top, 0.0)), "accepted": pa.array(seen & (top >= m.threshold)),
         }
 
-    return map_blocks(docs, text_col, keep, "lang_pred string, score double, accepted boolean", run)
+    return map_blocks(docs, text_col, keep, "lang_pred string, score double, accepted boolean", run, with_text=with_text)
 
 
-def identify(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: list[str], learn_from: Column | None = None) -> DataFrame:
+def identify(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: list[str], learn_from: Column | None = None, with_text: bool = False) -> DataFrame:
     """Fit on the rows of ``docs`` that ``learn_from`` allows and predict all of them."""
-    return predict(docs, text_col, keep, fit(docs if learn_from is None else docs.where(learn_from), id_col, text_col, lang_col))
+    return predict(docs, text_col, keep, fit(docs if learn_from is None else docs.where(learn_from), id_col, text_col, lang_col), with_text)

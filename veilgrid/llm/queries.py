@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blockknn, bpe, imatch, langid, licenses, neardup, packing
+from . import blockknn, bpe, imatch, langid, licenses, neardup, packing, roles, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,12 @@ def file_bytes(path: str) -> bytes:
         return f.read()
 
 
+@register("op1_collinear_repeats")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand, near enough, in an earlier document."""
+    return substrings.repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 OP2_SQL = r"""
 with docs as (select doc_id, coalesce(text, '') as text from documents),
 texts as (select doc_id, text, length(text)::bigint as n,
@@ -75,6 +81,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@register("op3_role_repair")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair and rendering of every conversation, by turn."""
+    return roles.format_chats(table(spark, sf_dir, "conversations"))
+
+
 @register(
     "op4_block_matrix_knn",
     """
@@ -127,6 +139,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@register("op8_noisy_channel_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text; learned from the labels of rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = langid.crc_of_id("doc_id") % 5 == 0
+    found = toxicity.score(docs, table(spark, sf_dir, "labels"), "doc_id", "text", ["doc_id"], ~held)
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @register("op9_bm25_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""

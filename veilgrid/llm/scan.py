@@ -157,12 +157,12 @@ def nested(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
 
 
 def map_blocks(
-    df: DataFrame, text: str, keep: list[str], schema: str, fn: Callable[[Texts, int, int], dict[str, pa.Array]], rows: str | None = None, limit: int = BLOCK_BYTES,
+    df: DataFrame, text: str, keep: list[str], schema: str, fn: Callable[[Texts, int, int], dict[str, pa.Array]], rows: str | None = None, limit: int = BLOCK_BYTES, with_text: bool = False,
 ) -> DataFrame:
     """Apply ``fn`` to blocks of ``text``; its arrays have a value for each row of the block.
 
     With ``rows`` it gives any number of rows instead, and the array under that name says which
-    row of the block each comes from. ``schema`` lists the columns that ``fn`` adds. Only ``keep``
+    row of the block each comes from. ``with_text`` hands the text on as well. ``schema`` lists the columns that ``fn`` adds. Only ``keep``
     and ``text`` are read, so other columns of ``df`` never clash.
     """
 
@@ -171,13 +171,14 @@ def map_blocks(
             texts = Texts(batch.column(len(keep)))
             for lo, hi in texts.blocks(limit):
                 got = fn(texts, lo, hi)
-                kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
+                kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(names))]
                 if rows is not None:
                     at = pa.array(got.pop(rows))
                     kept = [c.take(at) for c in kept]
-                out = pa.RecordBatch.from_arrays([*kept, *got.values()], names=[*keep, *got])
+                out = pa.RecordBatch.from_arrays([*kept, *got.values()], names=[*names, *got])
                 for i in range(0, out.num_rows, 1 << 16):
                     yield out.slice(i, 1 << 16)
 
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    names = [*keep, text] if with_text else keep
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
     return df.select(*keep, text).mapInArrow(run, f"{kinds}, {schema}" if kinds else schema)

@@ -27,7 +27,7 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "*": "aeiou", "#": "aeiou",
 }
 #: Channel costs in nats: a look-alike, a dropped repetition, a symbol that stands for nothing.
-LOOK_COST, REPEAT_COST, DROP_COST = 1.0, 0.5, 3.0
+LOOK_COST, REPEAT_COST, DROP_COST = 1.0, 0.5, 8.0
 
 #: Model alphabet: 0 is the word's end, 1-26 letters, the rest by the last byte of longer characters.
 ALPHABET = 64
@@ -44,12 +44,14 @@ HEAVIEST = 3
 _PLAIN = byte_table(bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 _LOOK = "".join(map(re.escape, LOOKALIKES))
 _LETTER = r"[^\W\d_]"
-#: A token with a look-alike between or beside letters, a letter three times in a row, or single letters spaced out.
+#: Places that make their token suspect: a look-alike before a letter, a letter three times in a row, single letters spaced out.
 SUSPECT = re.compile(
-    rf"(?<!\S)(?=\S*{_LETTER})\S*(?:{_LETTER}[{_LOOK}]+{_LETTER}|(?<!\S)[{_LOOK}]+{_LETTER})\S*"
-    rf"|\S*({_LETTER})\1\1\S*"
-    rf"|(?<![^\s])(?:{_LETTER}[\s.\-_*]{{1,2}}){{2,}}{_LETTER}(?!\S)"
+    rf"[{_LOOK}]{_LETTER}|({_LETTER})\1\1|(?<!\S){_LETTER}(?:[\s.\-_*]{{1,2}}{_LETTER}){{2,}}(?!\S)"
 )
+#: Longer tokens are decoded in parts of this length.
+PART = 64
+_LOOK_BYTES = np.zeros(256, bool)
+_LOOK_BYTES[[ord(c) for c in LOOKALIKES if ord(c) < 128]] = True
 
 
 def symbol(c: str) -> int:
@@ -137,18 +139,45 @@ def lattice_of(token: str) -> list[list[tuple[str, float]]]:
     return lattice
 
 
+def suspect_rows(w: Words, raw: np.ndarray) -> np.ndarray:
+    """Rows that may hold a suspect place, by their bytes."""
+    b, n = w.bytes, len(w.bytes)
+    at = [np.flatnonzero(_LOOK_BYTES[raw[: n - 1]] & (b[1:] != 0))] if n > 1 else []
+    if n > 2:
+        at.append(np.flatnonzero((b[2:] != 0) & (b[2:] == b[1:-1]) & (b[1:-1] == b[:-2])))
+    lone = np.flatnonzero(w.ends - w.starts <= 2)
+    near = lone[2:][(lone[2:] - lone[:-2] == 2) & (w.starts[lone[2:]] - w.ends[lone[:-2]] <= 6)] if len(lone) > 2 else lone[:0]
+    at.append(w.starts[near])
+    return np.unique(np.searchsorted(w.offs, np.concatenate(at), "right") - 1)
+
+
+def suspects(text: str) -> Iterator[str]:
+    """Suspect tokens of a text, whole, each once; spaced letters are one token."""
+    done = 0
+    for m in SUSPECT.finditer(text):
+        if m.start() < done:
+            continue
+        start, done = m.start(), m.end()
+        while start and not text[start - 1].isspace():
+            start -= 1
+        while done < len(text) and not text[done].isspace():
+            done += 1
+        yield text[start:done]
+
+
 def restored(text: str, model: CharModel, known: dict[str, str]) -> list[str]:
     """Words restored from the suspect tokens of a text; ``known`` keeps decoded tokens."""
     out = []
-    for m in SUSPECT.finditer(text):
-        token = m[0]
-        word = known.get(token)
-        if word is None:
-            if len(known) > 1 << 16:
-                known.clear()
-            word = known[token] = model.decode(token.strip(".,;:?\"'!"))
-        if word:
-            out.append(word)
+    for token in suspects(text):
+        token = token.strip(".,;:?\"'!")
+        for part in (token[i : i + PART] for i in range(0, len(token), PART)):
+            word = known.get(part)
+            if word is None:
+                if len(known) > 1 << 16:
+                    known.clear()
+                word = known[part] = model.decode(part)
+            if word:
+                out.append(word)
     return out
 
 
@@ -163,7 +192,7 @@ def features(texts: Texts, lo: int, hi: int, model: CharModel, known: dict[str,
         hashes.append(w.part(w.starts[long], w.starts[long] + n) ^ np.uint64(n))
     words, of = [], []
     offs = texts.offsets
-    for i in range(lo, hi):
+    for i in (suspect_rows(w, texts.data[offs[lo] : offs[hi]]) + lo).tolist():
         for word in restored(texts.data[offs[i] : offs[i + 1]].tobytes().decode(), model, known):
             words.append(word)
             of.append(i - lo)
@@ -275,6 +304,7 @@ def learn(docs: DataFrame, labelled: DataFrame, text: str) -> Scorer:
     neg = np.zeros(len(hashes))
     neg[np.searchsorted(hashes, other["feature"].to_numpy(np.int64).view(np.uint64))] = other["n"].to_numpy(float)
     weights = np.log((pos + PRIOR) / (n1 + 2 * PRIOR)) - np.log((neg + PRIOR) / (n0 + 2 * PRIOR))
+    weights -= np.sqrt(1 / (pos + PRIOR) + 1 / (neg + PRIOR))  # a standard error below: rare features count less
     keep = weights >= LEAST_WEIGHT
     scorer = Scorer(model, hashes[keep], weights[keep], none.slope)
     # the logistic sees one row for each rounded triple of weights, with its number of documents
@@ -284,7 +314,7 @@ def learn(docs: DataFrame, labelled: DataFrame, text: str) -> Scorer:
     return scorer
 
 
-def weigh(docs: DataFrame, text: str, keep: list[str], scorer: Scorer) -> DataFrame:
+def weigh(docs: DataFrame, text: str, keep: list[str], scorer: Scorer, with_text: bool = False) -> DataFrame:
     """``keep`` with the heaviest weights of each row and its ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     known: dict[str, str] = {}
@@ -293,7 +323,7 @@ def weigh(docs: DataFrame, text: str, keep: list[str], scorer: Scorer) -> DataFr
         x = shared.value.heaviest(texts, lo, hi, known)
         return {"heaviest": nested(pa.array(x.ravel()), np.full(hi - lo, HEAVIEST)), "score": pa.array(shared.value.scores(np.round(x)))}
 
-    return map_blocks(docs, text, keep, "heaviest array<double>, score double", run)
+    return map_blocks(docs, text, keep, "heaviest array<double>, score double", run, with_text=with_text)
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -302,7 +332,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str) ->
     return docs.select(F.col(id_col).alias("id_"), text).join(known, "id_").select(text, "toxic")
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, keep: list[str], learn_from=None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, keep: list[str], learn_from=None, with_text: bool = False) -> DataFrame:
     """``keep`` and ``score`` for every row; learned from the rows of ``docs`` that ``learn_from`` allows and that have a label.
 
     Null and empty texts have the score of a text without features. Without labels of both kinds every text has
@@ -310,4 +340,4 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, keep:
     """
     allowed = docs if learn_from is None else docs.where(learn_from)
     rows = stored(labelled_rows(allowed, labels, id_col, text_col), "labelled")
-    return weigh(docs, text_col, keep, learn(docs, rows, text_col)).drop("heaviest")
+    return weigh(docs, text_col, keep, learn(docs, rows, text_col), with_text).drop("heaviest")
