@@ -2,9 +2,10 @@
 
 Two small collections of minhash groups are kept, and every pair of a left and a right group keys one
 table: GROUPS**2 tables from 2 * GROUPS groups of ROWS minhashes. Texts with equal shingle sets form one class.
-Classes that meet in a table are compared through the table's least and greatest class first; where a bucket
-still holds several components, its members outside the largest one are compared with all the others, so that a
-group of thousands of copies never yields all its pairs. Links are confirmed on whole shingle sets.
+Classes that meet in a table are compared with the table's least class first; where a bucket still holds several
+components, its members outside the largest one are compared with all the others, in blocks of sets that
+give only links, so that a group of thousands of copies never yields all its pairs. Links are confirmed on
+whole shingle sets.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ GROUPS, ROWS = 10, 2
 HASHES = 2 * GROUPS * ROWS
 #: Equal minhashes that a pair needs before its sets are compared; at the threshold 30 are expected, and fewer than 18 have a chance of about 1e-5.
 LEAST_EQUAL = 18
+#: Sets of a block in the comparison of what the first round left apart.
+BLOCK = 512
 
 _U = np.uint64
 _XOR, _ODD = seeded(101, HASHES), seeded(202, HASHES) | _U(1)
@@ -80,6 +83,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def sets_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, grams) of the named classes."""
+    return stored(map_blocks(texts.join(classes, "cls", "left_semi"), "text_", ["cls"], "grams array<long>", _grams), "sets")
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs of classes (a, b) whose sets reach the threshold, compared on all shingles."""
     sketch = classes.select("cls", "mins", "n_shingles")
@@ -87,13 +95,48 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     equal = F.aggregate(F.zip_with("mins_a", "mins_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
     likely = pairs.join(side("a"), "a").join(side("b"), "b").where((equal >= LEAST_EQUAL) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")))
     likely = stored(likely.select("a", "b", "n_a", "n_b"), "likely")
-    needed = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    grams = stored(map_blocks(texts.join(needed, "cls", "left_semi"), "text_", ["cls"], "grams array<long>", _grams), "sets")
+    grams = sets_of(texts, likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct())
     both = likely.join(grams.select(F.col("cls").alias("a"), F.col("grams").alias("g_a")), "a").join(grams.select(F.col("cls").alias("b"), F.col("grams").alias("g_b")), "b")
     common = F.size(F.array_intersect("g_a", "g_b"))
     return both.where(100 * common >= PERCENT * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
+def _block_links(others: pa.Table, members: pa.Table) -> pa.Table:
+    """Links between two blocks of sets, found through an index of the second block's shingles."""
+    a, b = others.column("cls").to_numpy(), members.column("cls_").to_numpy()
+    links: list[tuple[int, int]] = []
+    if len(a) and len(b):
+        lists = members.column("grams_").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        gram, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(b)), size)
+        order = np.argsort(gram, kind="stable")
+        gram, owner = gram[order], owner[order]
+        for cls, own in zip(a.tolist(), others.column("grams").combine_chunks()):
+            own = own.values.to_numpy()
+            lo, hi = np.searchsorted(gram, own, "left"), np.searchsorted(gram, own, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(b))
+            near = np.flatnonzero(100 * common >= PERCENT * (len(own) + size - common))
+            links += [(cls, int(x)) for x in b[near] if x != cls]
+    cols = list(zip(*links)) or [()] * 2
+    return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+
+def block_links(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the classes outside and all classes of each group; ``mixed`` has (main, cls, outside) once each.
+
+    Blocks are dealt by a hash of the class; their number follows the group's counted classes.
+    """
+    sizes = mixed.groupBy("main").agg(F.ceil(F.sum(F.col("outside").cast("int")) / BLOCK).cast("int").alias("n_out"), F.ceil(F.count("*") / BLOCK).cast("int").alias("n_all"))
+    dealt = mixed.join(sizes, "main").join(sets_of(texts, mixed.select("cls").distinct()), "cls")
+    block = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.where("outside").select("main", block("n_out").alias("i"), every("n_all").alias("j"), "cls", "grams")
+    right = dealt.select(F.col("main").alias("main_"), every("n_out").alias("i_"), block("n_all").alias("j_"), F.col("cls").alias("cls_"), F.col("grams").alias("grams_"))
+    return left.groupBy("main", "i", "j").cogroup(right.groupBy("main_", "i_", "j_")).applyInArrow(_block_links, "a long, b long")
+
+
 def link(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row: components of near-duplicate texts.
 
@@ -114,22 +157,18 @@ def link(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         f"slice(mins, {GROUPS * ROWS} + (t % {GROUPS}) * {ROWS} + 1, {ROWS}))))"
     )
     spread = classes.select(spots.alias("spot"), "cls").repartition("spot")
-    heads = spread.groupBy("spot").agg(F.min("cls").alias("head"), F.max("cls").alias("tail"), F.count("*").alias("n")).where("head <> tail")
-    members = stored(spread.join(heads, "spot").select("spot", "cls", "head", "tail", "n"), "members")
-    stars = members.select(F.col("cls").alias("b"), F.explode(F.array("head", "tail")).alias("a")).where("a <> b")
-    ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = stored(confirmed(ordered(stars), classes, texts), "links")
+    heads = spread.groupBy("spot").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1")
+    members = stored(spread.join(heads, "spot").select("spot", "cls", "head", "n"), "members")
+    stars = members.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
+    links = stored(confirmed(stars, classes, texts), "links")
 
     found = components(links)
     rooted = members.where("n > 2").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     sizes = found.groupBy("root").count()
-    rooted = stored(rooted.join(sizes, "root", "left").select("spot", "cls", "head", "tail", "root", F.coalesce("count", F.lit(0)).alias("size")), "rooted")
+    rooted = stored(rooted.join(sizes, "root", "left").select("spot", "cls", "head", "root", F.coalesce("count", F.lit(0)).alias("size")), "rooted")
     main = rooted.groupBy("spot").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("spot", "main")
-    mixed = rooted.join(main, "spot").where("cls <> head and cls <> tail")
-    others = mixed.where("root <> main").select("spot", F.col("cls").alias("b"), F.col("root").alias("root_b"))
-    left = others.join(mixed.select("spot", F.col("cls").alias("a"), F.col("root").alias("root_a"), "main"), "spot")
-    left = left.where("root_a <> root_b and (root_a = main or a < b)").select("a", "b")
-    more = confirmed(ordered(left), classes, texts)
+    mixed = rooted.join(main, "spot").groupBy("main", "cls").agg(F.max(F.col("root") != F.col("main")).alias("outside"))
+    more = block_links(stored(mixed, "mixed"), texts)
     found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     roots = classes.select(*sets, "cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").select(*sets, F.coalesce("root", "cls").alias("component_id"))
