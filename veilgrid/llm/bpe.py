@@ -309,7 +309,7 @@ def _mapped(df: DataFrame, column: str, keep: list[str], name: str, make) -> Dat
         for batch in batches:
             cells = batch.column(len(keep))
             weights = np.diff(Texts(cells).offsets) if pa.types.is_string(cells.type) else np.full(len(cells), 4096)
-            cuts = np.unique(np.searchsorted(np.cumsum(weights), np.arange(0, weights.sum() + 1, 4 << 20), "right")).tolist() + [len(cells)]
+            cuts = [0, *np.unique(np.searchsorted(np.cumsum(weights), np.arange(4 << 20, weights.sum(), 4 << 20), "right")).tolist(), len(cells)]
             for lo, hi in zip(cuts, cuts[1:]):
                 if hi > lo:
                     out = pa.array([one(x.as_py()) for x in cells.slice(lo, hi - lo)], pa.binary())
