@@ -169,3 +169,16 @@ def test_fallback_prefers_plain_name(spark):
     look = spark.createDataFrame([("a", 1.0), ("p:a", 2.0), ("p:b", 3.0)], "name string, v double")
     got = {r.k: r.v for r in joins.fallback_lookup(df, look, "k", "name", "v", "p:", -1.0).collect()}
     assert got == {"a": 1.0, "b": 3.0, "c": -1.0}
+
+
+def test_values_that_are_not_finite_are_missing(spark):
+    from pyspark.sql import functions as F
+
+    from veilgrid.functions import geo, labels, numeric
+
+    grid = geo.Grid(tie_lon=100.0, tie_lat=15.0, px=0.01, py=0.01, width=10, height=10)
+    df = spark.createDataFrame([(float("nan"), 1.0), (float("inf"), 2.0), (14.995, float("nan"))], "x double, w double")
+    rows = df.select(geo.row_index(grid, "x").alias("r"), labels.signal_class("x", "x", "x").alias("s")).collect()
+    assert [r["r"] for r in rows] == [None, None, 0]
+    assert [r["s"] for r in rows] == ["missing", "missing", "strong_positive"]
+    assert df.select(numeric.wsum("w", F.lit(True)).alias("t")).first()["t"] == 3.0

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import col
+from .numeric import finite, col
 
 EARTH_RADIUS_M = 6_371_000.0
 EARTH_RADIUS_KM = 6371.0
@@ -82,27 +82,27 @@ def overlap_area_m2(t: Grid, t_row, t_col, s: Grid, s_row, s_col) -> Column:
 
 
 def row_index(g: Grid, lat) -> Column:
-    """Row holding a latitude, NULL outside a grid of known height."""
-    r = F.floor((_d(g.tie_lat) - col(lat)) / _d(g.py))
+    """Row holding a latitude, NULL outside a grid of known height and for a latitude that is not finite."""
+    r = F.when(finite(lat), F.floor((_d(g.tie_lat) - col(lat)) / _d(g.py)))
     return r if g.height is None else F.when((r >= 0) & (r < g.height), r)
 
 
 def col_index(g: Grid, lon) -> Column:
-    c = F.floor((col(lon) - _d(g.tie_lon)) / _d(g.px))
+    c = F.when(finite(lon), F.floor((col(lon) - _d(g.tie_lon)) / _d(g.px)))
     return c if g.width is None else F.when((c >= 0) & (c < g.width), c)
 
 
 def index_window(g: Grid, w, s, e, n) -> list[Column]:
     """(row_start, row_stop, col_start, col_stop) of a bbox, clamped to the grid.
 
-    All four are NULL when the clamped window is empty.
+    All four are NULL when the clamped window is empty or a side is not finite.
     """
     clamp = lambda x, top: F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(top).cast("bigint"), x))
     r0 = clamp(F.floor((_d(g.tie_lat) - col(n)) / _d(g.py)), g.height)
     r1 = clamp(F.ceil((_d(g.tie_lat) - col(s)) / _d(g.py)), g.height)
     c0 = clamp(F.floor((col(w) - _d(g.tie_lon)) / _d(g.px)), g.width)
     c1 = clamp(F.ceil((col(e) - _d(g.tie_lon)) / _d(g.px)), g.width)
-    ok = (r1 > r0) & (c1 > c0)
+    ok = finite(w) & finite(s) & finite(e) & finite(n) & (r1 > r0) & (c1 > c0)
     return [F.when(ok, x) for x in (r0, r1, c0, c1)]
 
 

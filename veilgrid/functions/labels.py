@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import col
+from .numeric import finite, col
 
 # Land-cover class codes of each group.
 LANDCOVER_CODES = {
@@ -69,9 +69,9 @@ def landcover_group(code: Column | str) -> Column:
 
 
 def signal_class(odds, lo, hi) -> Column:
-    """Direction of an odds ratio judged by its interval."""
+    """Direction of an odds ratio judged by its interval; values that are not finite count as missing."""
     odds, lo, hi = col(odds), col(lo), col(hi)
-    missing = odds.isNull() | lo.isNull() | hi.isNull()
+    missing = ~(finite(odds) & finite(lo) & finite(hi))
     return (
         F.when(missing, "missing")
         .when((lo > 1) & (odds >= 3), "strong_positive")

@@ -87,8 +87,8 @@ def se_from_ci(lo: Column | str, hi: Column | str) -> Column:
 
 
 def wsum(weight: Column | str, mask: Column) -> Column:
-    """Masked sum that is 0, not NULL, when nothing matches."""
-    return F.coalesce(F.sum(F.when(mask, col(weight))), F.lit(0.0))
+    """Masked sum of the finite weights; 0, not NULL, when nothing matches."""
+    return F.coalesce(F.sum(F.when(mask & finite(weight), col(weight))), F.lit(0.0))
 
 
 def wmean(value: Column | str, weight: Column | str) -> Column:
