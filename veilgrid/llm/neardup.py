@@ -102,9 +102,20 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
 
 
 def _block_links(others: pa.Table, members: pa.Table) -> pa.Table:
-    """Links between two blocks of sets, found through an index of the second block's shingles."""
+    """Links between two blocks of sets, found through an index of the second block's shingles.
+
+    Of the links found those are returned that connect something new, at most one for each set.
+    """
     a, b = others.column("cls").to_numpy(), members.column("cls_").to_numpy()
     links: list[tuple[int, int]] = []
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
     if len(a) and len(b):
         lists = members.column("grams_").combine_chunks()
         size = np.diff(lists.offsets.to_numpy())
@@ -118,7 +129,11 @@ def _block_links(others: pa.Table, members: pa.Table) -> pa.Table:
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             common = np.bincount(owner[at], minlength=len(b))
             near = np.flatnonzero(100 * common >= PERCENT * (len(own) + size - common))
-            links += [(cls, int(x)) for x in b[near] if x != cls]
+            for x in b[near].tolist():
+                one, two = top(cls), top(x)
+                if one != two:
+                    above[one] = two
+                    links.append((cls, x))
     cols = list(zip(*links)) or [()] * 2
     return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
@@ -156,9 +171,10 @@ def link(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         f"explode(transform(sequence(0, {GROUPS * GROUPS - 1}), t -> xxhash64(t, slice(mins, (t div {GROUPS}) * {ROWS} + 1, {ROWS}), "
         f"slice(mins, {GROUPS * ROWS} + (t % {GROUPS}) * {ROWS} + 1, {ROWS}))))"
     )
-    spread = classes.select(spots.alias("spot"), "cls").repartition("spot")
-    heads = spread.groupBy("spot").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1")
-    members = stored(spread.join(heads, "spot").select("spot", "cls", "head", "n"), "members")
+    # combined before the shuffle, and written, so that the join can split a large bucket
+    keyed = classes.select(spots.alias("spot"), "cls")
+    heads = stored(keyed.groupBy("spot").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1"), "heads")
+    members = stored(keyed.join(heads, "spot").select("spot", "cls", "head", "n"), "members")
     stars = members.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
     links = stored(confirmed(stars, classes, texts), "links")
 
@@ -167,7 +183,7 @@ def link(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sizes = found.groupBy("root").count()
     rooted = stored(rooted.join(sizes, "root", "left").select("spot", "cls", "head", "root", F.coalesce("count", F.lit(0)).alias("size")), "rooted")
     main = rooted.groupBy("spot").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("spot", "main")
-    mixed = rooted.join(main, "spot").groupBy("main", "cls").agg(F.max(F.col("root") != F.col("main")).alias("outside"))
+    mixed = rooted.join(stored(main, "mains"), "spot").groupBy("main", "cls").agg(F.max(F.col("root") != F.col("main")).alias("outside"))
     more = block_links(stored(mixed, "mixed"), texts)
     found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
