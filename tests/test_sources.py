@@ -114,3 +114,17 @@ def test_text_edges(spark):
     assert cells == [["1.5", "2.5"], ["7", "2.5"]]
     tags = spark.range(1).select(text.transport_category(F.create_map(F.lit("highway"), F.lit(""))), text.transport_category(F.create_map(F.lit("railway"), F.lit(""))))
     assert list(tags.first()) == [None, "railway"]
+
+
+def test_typed_csv_is_read_by_name(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("﻿b,a,c\n7,1,x\nbad,2,y\n")
+    got = readers.read_csv(spark, str(tmp_path / "n.csv"), "a int, b int")
+    assert [tuple(r) for r in got.orderBy("a").collect()] == [(1, 7), (2, None)]
+    with pytest.raises(ValueError, match="no column d"):
+        readers.read_csv(spark, str(tmp_path / "n.csv"), "a int, d int")
+
+
+def test_ledger_ties_go_by_the_other_columns(spark):
+    runs = spark.createDataFrame([(1.0, "b"), (1.0, "a"), (0.5, "c")], "o double, stack string")
+    got = sorted((r.run_id, r.stack) for r in sinks.ledger_rows(runs, 1, "o").collect())
+    assert got == [("freeze-0001", "c"), ("freeze-0002", "a"), ("freeze-0003", "b")]

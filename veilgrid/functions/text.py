@@ -114,6 +114,11 @@ def preferred_probe(text, marker: str = "cum_filt.h5") -> Column:
     return F.coalesce(F.get(marked, F.lit(0)), F.get(rows, F.lit(0)))
 
 
+def first_probe(text) -> Column:
+    """First probe record, whatever its member."""
+    return F.get(F.from_json(col(text), PROBE_SCHEMA), F.lit(0))
+
+
 HITS_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType()),
     T.StructField("aoi_id", T.StringType()),

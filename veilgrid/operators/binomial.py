@@ -127,8 +127,9 @@ def _multiplicity(batch: pa.RecordBatch, mode: str, first: int, fits: int) -> np
     return 1.0
 
 
-def _sums(rows: DataFrame, betas: np.ndarray, mode: str, first: int) -> np.ndarray:
-    """One pass: per fit X'WX (p*p), the score X'(y - t*prob) (p) and the log-likelihood."""
+def _sums(rows: DataFrame, betas: np.ndarray, mode: str, first: int, of: np.ndarray) -> np.ndarray:
+    """One pass over the fits ``of``: X'WX (p*p), the score X'(y - t*prob) (p) and the log-likelihood."""
+    at, reach = of - first, int(of[-1]) - first + 1
     fits, p = betas.shape
     width = p * p + p + 1
 
@@ -140,7 +141,8 @@ def _sums(rows: DataFrame, betas: np.ndarray, mode: str, first: int) -> np.ndarr
             x = _matrix(batch, "x", p)
             y = batch.column("y").to_numpy(zero_copy_only=False)[:, None].astype(float)
             t = batch.column("t").to_numpy(zero_copy_only=False)[:, None].astype(float)
-            m = _multiplicity(batch, mode, first, fits)
+            m = _multiplicity(batch, mode, first, reach)
+            m = m[:, at] if isinstance(m, np.ndarray) else m
             eta = x @ betas.T
             prob = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
             var = np.clip(t * prob * (1.0 - prob), 1e-12, None)
@@ -187,7 +189,8 @@ def fit_binomial(rows: DataFrame, p: int, fits: int = 1, mode: str = "all", ridg
     """Fit ``fits`` models to rows (x array, y successes, t trials, and m for resampling).
 
     ``mode``: 'all' uses every row once, 'draws' reads m as the replicates that drew the row,
-    'omit' leaves the row out of fit m. Fits that have converged stop taking part.
+    'omit' leaves the row out of fit m. Fits that have converged stop taking part, and so
+    do those that are no longer finite: they stay unconverged, with a covariance and likelihood of 0.
     """
     beta = np.tile(start if start is not None else np.zeros(p), (fits, 1)).astype(float)
     converged, n_iter = np.zeros(fits, bool), np.zeros(fits, int)
@@ -196,19 +199,21 @@ def fit_binomial(rows: DataFrame, p: int, fits: int = 1, mode: str = "all", ridg
     for first in range(0, fits, _FITS_PER_PASS):
         span = np.arange(first, min(fits, first + _FITS_PER_PASS))
         for it in range(1, max_iter + 1):
-            todo = span[~converged[span]]
+            todo = span[~converged[span] & np.isfinite(beta[span]).all(axis=1)]
             if not len(todo):
                 break
-            sums = _sums(rows, beta[span], mode, first)[todo - first]
+            sums = _sums(rows, beta[todo], mode, first, todo)
             h = sums[:, : p * p].reshape(-1, p, p) + pen
             score = sums[:, p * p : -1] - beta[todo] @ pen
             step = np.stack([_solve_one(a, b) for a, b in zip(h, score)])
             delta = np.abs(step).max(axis=1)
             beta[todo], n_iter[todo] = beta[todo] + step, it
             converged[todo] = delta < tol
-        last = _sums(rows, beta[span], mode, first)
-        cov[span] = [_invert(a) for a in last[:, : p * p].reshape(-1, p, p) + pen]
-        ll[span] = last[:, -1]
+        good = span[np.isfinite(beta[span]).all(axis=1)]
+        if len(good):
+            last = _sums(rows, beta[good], mode, first, good)
+            cov[good] = [_invert(a) for a in last[:, : p * p].reshape(-1, p, p) + pen]
+            ll[good] = last[:, -1]
     return Fit(beta, cov, converged, n_iter, ll)
 
 

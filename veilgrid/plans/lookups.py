@@ -119,10 +119,11 @@ def set_overlap(spark, d):
 
 @query("dedupe_ordered", """select text, min(doc_id) as doc_id, arg_min(source, doc_id) as source, count(*) as copies from documents group by text""")
 def dedupe_ordered(spark, d):
-    """First occurrence of each whole text; groups of copies combine before the shuffle."""
+    """First occurrence of each whole text; digests are grouped, and only the first texts are fetched."""
     docs = V.table(spark, d, "documents")
-    return docs.groupBy("text").agg(
+    first = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(
         F.min("doc_id").alias("doc_id"), F.min_by("source", "doc_id").alias("source"), F.count(F.lit(1)).alias("copies"))
+    return first.drop("digest").join(docs.select("doc_id", "text"), "doc_id")
 
 
 @query("region_evidence", EVIDENCE_SQL, EVIDENCE_VIEWS, "adjusted_or boot_q025 boot_q975 bias_or_minus_one_proxy dominant_landcover_fraction cropland_fraction built_up_fraction "

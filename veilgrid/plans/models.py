@@ -130,7 +130,7 @@ def marginal_effects(spark, d):
     return _effects(spark, "strong_subsidence_at_mean_exposure", B.marginal_weights(regions, terms), fit.beta[0], cov)
 
 
-_GLM_REPS = 50
+_LEAD_REPS, _STRATA_REPS = 200, 1000
 
 
 @query("bootstrap_glm", rnd="odds_ratio_boot_mean odds_ratio_boot_q025 odds_ratio_boot_q50 odds_ratio_boot_q975")
@@ -139,7 +139,7 @@ def bootstrap_glm(spark, d):
     rows = B.prepare(lead_design(spark, d), "n_obs", "n_pairs", ["block_row", "block_col"])
     p = len(B.LEAD_TERMS)
     base = B.fit_binomial(rows, p)
-    fit = B.bootstrap_fits(rows, p, ["block_row", "block_col"], [], _GLM_REPS, 20260709, start=base.beta[0])
+    fit = B.bootstrap_fits(rows, p, ["block_row", "block_col"], [], _LEAD_REPS, 20260709, start=base.beta[0])
     ok = fit.converged & np.isfinite(fit.beta).all(axis=1)
     return B.summarize_draws(spark, {t: np.exp(fit.beta[:, i]) for i, t in enumerate(B.LEAD_TERMS) if i}, ok)
 
@@ -148,7 +148,7 @@ def bootstrap_glm(spark, d):
 def bootstrap_glm_stratified(spark, d):
     """Blocks resampled inside each region; the marginal strong effects of the regions."""
     rows, terms, regions, base = _multi_fit(spark, d)
-    fit = B.bootstrap_fits(rows, len(terms), ["block_row", "block_col"], ["region_id"], _GLM_REPS, 20260709, start=base.beta[0])
+    fit = B.bootstrap_fits(rows, len(terms), ["block_row", "block_col"], ["region_id"], _STRATA_REPS, 20260709, start=base.beta[0])
     ok = fit.converged & np.isfinite(fit.beta).all(axis=1)
     weights = B.marginal_weights(regions, terms)
     draws = {str(k): np.exp(fit.beta @ w) for k, w in weights.items()}

@@ -56,13 +56,13 @@ _SWEEP = """s as (select * from (values (0.2e0), (0.3e0), (0.4e0)) t(threshold),
 
 
 @query("robustness_sweep", f"""with {_SWEEP}, b as (select threshold, strong_threshold, block_size, block_row, block_col, {_BLOCK} from f group by all),
-       {_bootstrap_sql('threshold, strong_threshold, block_size', 100).replace('select *, 100 as n_bootstrap', 'select *, 100 as n_bootstrap, 7 as n_pairs')}""",
+       {_bootstrap_sql('threshold, strong_threshold, block_size', 400).replace('select *, 400 as n_bootstrap', 'select *, 400 as n_bootstrap, 7 as n_pairs')}""",
        "fx_flags", _BOOT_RND, "block_size n_bootstrap n_pairs")
 def robustness_sweep(spark, d):
-    """27 specifications with 100 replicates each."""
+    """27 specifications with 400 replicates each."""
     counts = {"n_obs": 0.3, "n_obs_20": 0.2, "n_obs_40": 0.4}
     cells = V.flags(spark, d, region=False, thresholds=counts)
-    return resample.robustness_sweep(cells, {t: n for n, t in counts.items()}, [3.0, 5.0, 10.0], [5, 10, 20], V.N_PAIRS, 100, SEED, "cell_row", "cell_col")
+    return resample.robustness_sweep(cells, {t: n for n, t in counts.items()}, [3.0, 5.0, 10.0], [5, 10, 20], V.N_PAIRS, 400, SEED, "cell_row", "cell_col")
 
 
 _DEF, _FRAC, _MIN = [3.0, 4.0, 5.0, 6.0, 7.0, 10.0], [0.25, 0.33, 0.5, 0.67, 0.75], [1, 2, 4, 6]
@@ -169,7 +169,7 @@ def placebo_permutation(spark, d):
     return resample.null_summary(long, "value", "seen", ["null_model", "metric"])
 
 
-_MC = 2000
+_MC = 5000
 
 
 @query("monte_carlo_scenarios", f"""with u as (select i, cast('0x' || substr(md5(concat_ws('|', '{SEED}', 'threshold', cast(i as varchar))), 1, 8) as bigint) / 4294967296e0 as a,
@@ -181,7 +181,7 @@ _MC = 2000
        l as (unpivot (select i, pop as hidden_population, built as hidden_builtup_km2 from r) on hidden_population, hidden_builtup_km2 into name metric value v)
        select metric, quantile_cont(v, 0.05e0) as p05, quantile_cont(v, 0.5e0) as p50, quantile_cont(v, 0.95e0) as p95 from l group by metric""", "fx_flags", "p05:4 p50:4 p95:4")
 def monte_carlo_scenarios(spark, d):
-    """2,000 scenarios of threshold, support and exposure scale."""
+    """5,000 scenarios of threshold, support and exposure scale."""
     mc = resample.monte_carlo(V.flags(spark, d, region=False), _MC, SEED, V.N_PAIRS, (3.0, 8.0), (2, 5), (0.8, 1.2))
     long = mc.unpivot("iteration", ["hidden_population", "hidden_builtup_km2"], "metric", "v")
     return long.groupBy("metric").agg(*ordering.bounded_quantiles("v", {"p05": 0.05, "p50": 0.5, "p95": 0.95}))

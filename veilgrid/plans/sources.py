@@ -145,7 +145,7 @@ def src_archive_inventory(spark, d):
 @query("src_file_hash")
 def src_file_hash(spark, d):
     """Hashes of the table files themselves; the list holds a repeat on purpose."""
-    names = ["region", "nation", "supplier", "customer", "orders", "part", "lineitem", "region"]
+    names = [*V.SCHEMAS, "embeddings", "benchmark", "conversations", "region"]
     out = readers.file_hashes(spark, [f"{d}/{n}.parquet" for n in names])
     return out.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "bytes", "sha256")
 
@@ -175,7 +175,7 @@ def sink_ledger_append(spark, d):
     return spark.read.parquet(path).drop("timestamp_utc")
 
 
-@query("sink_sample", "select point_id, lon, lat, velocity_mm_yr from fx_points order by velocity_mm_yr, point_id limit 500", "fx_points", "lon lat velocity_mm_yr")
+@query("sink_sample", "select point_id, lon, lat, velocity_mm_yr from fx_points order by velocity_mm_yr, point_id limit 200000", "fx_points", "lon lat velocity_mm_yr")
 def sink_sample(spark, d):
     p = V.points(spark, d).select("point_id", "lon", "lat", "velocity_mm_yr")
-    return sinks.sample_rows(p, ["velocity_mm_yr", "point_id"], 500)
+    return sinks.sample_rows(p, ["velocity_mm_yr", "point_id"])

@@ -52,19 +52,19 @@ def pair_year(spark, d):
 @query("json_fields", """with e as (select event_id, value, cast(json_extract(props, '$.k') as bigint) as k from events)
        select event_id, k, coalesce(cast(json_extract_string(case when k % 2 = 0 then '{"a": 1}' else '{}' end, '$.a') as bigint), -1) as with_default,
          case when k % 3 = 0 then 'run/cum_filt.h5' else 'run/raw.h5' end as member, case when k % 3 = 0 then -value else value end as median,
-         case when k % 3 = 0 then k + 1 else k end as n_time_steps from e""", rnd="median")
+         k as n_time_steps from e""", rnd="median")
 def json_fields(spark, d):
-    """Nested fields with defaults, and the preferred element of an array of records."""
+    """Nested fields with defaults, and the preferred element of an array of records; time steps come from the first."""
     k = F.from_json("props", "k bigint")["k"]
     rec = lambda member, steps, med: F.struct(
         F.lit(member).alias("h5_member"), steps.alias("n_time_steps"), F.struct(med.alias("median")).alias("velocity_stats"))
     e = V.table(spark, d, "events").select("event_id", "value", k.alias("k"))
     raw, filt = rec("run/raw.h5", F.col("k"), F.col("value")), rec("run/cum_filt.h5", F.col("k") + 1, -F.col("value"))
     doc = F.to_json(F.when(F.col("k") % 3 == 0, F.array(raw, filt)).otherwise(F.array(raw)))
-    e = e.withColumn("p", X.preferred_probe(doc))
+    e = e.withColumn("p", X.preferred_probe(doc)).withColumn("q", X.first_probe(doc))
     flag = F.from_json(F.when(F.col("k") % 2 == 0, '{"a": 1}').otherwise("{}"), "a bigint")["a"]
     return e.select("event_id", "k", F.coalesce(flag, F.lit(-1)).alias("with_default"), F.col("p.h5_member").alias("member"),
-                    F.col("p.velocity_stats.median").alias("median"), F.col("p.n_time_steps").alias("n_time_steps"))
+                    F.col("p.velocity_stats.median").alias("median"), F.col("q.n_time_steps").alias("n_time_steps"))
 
 
 @query("json_flatten_hits", """with e as (select *, case when event_id % 9 = 0 then '' else concat('q', event_id) end as query_id from events where event_type <> 'error'),

@@ -13,21 +13,21 @@ BROADCAST_ROWS = 500_000
 
 
 def session(app: str = "veilgrid", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators expect; the cluster's own settings win."""
+    """A session with the settings the operators expect; SQL settings of the cluster or of ``conf`` win."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    defaults = {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.session.timeZone": "UTC",
-        "spark.ui.showConsoleProgress": "false",
-        # call-site capture costs a JVM round trip for every column expression
-        "spark.python.sql.dataFrameDebugging.enabled": "false",
-    }
-    for key, value in {**defaults, **conf}.items():
+    # call-site capture costs a JVM round trip for every column expression
+    fixed = {"spark.ui.showConsoleProgress": "false", "spark.python.sql.dataFrameDebugging.enabled": "false"}
+    for key, value in {**fixed, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    defaults = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC"}
+    given = spark.sparkContext.getConf()
+    for key, value in defaults.items():
+        if key not in conf and not given.contains(key):
+            spark.conf.set(key, value)
+    return spark
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -27,12 +27,21 @@ OPTIONAL_ALIASES = {
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header; a byte-order mark is dropped. Without a schema all columns are text."""
-    if schema is not None:
-        return spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+    """CSV with a header; a byte-order mark is dropped. Without a schema all columns are text.
+
+    A schema picks columns by header name, in its own order; text that does not fit a type is NULL, and
+    a name the header lacks is an error.
+    """
     df = spark.read.option("header", True).csv(path)
     first = df.columns[0]
-    return df.withColumnRenamed(first, first.lstrip("\ufeff").strip('"'))
+    df = df.withColumnRenamed(first, first.lstrip("\ufeff").strip('"'))
+    if schema is None:
+        return df
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    missing = [f.name for f in fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {path}; the header has {', '.join(df.columns)}")
+    return df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
 
 
 def read_json_document(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -61,7 +70,7 @@ def find_column(columns: list[str], aliases: list[str], label: str, required: bo
     partial = (original for a in aliases for n, original in known.items() if a in n)
     found = next(exact, None) or next(partial, None)
     if found is None and required:
-        raise ValueError(f"no {label} column among {', '.join(columns[:80])}; accepted names: {', '.join(aliases)}")
+        raise ValueError(f"no {label} column among {', '.join(columns)}; accepted names: {', '.join(aliases)}")
     return found
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import global_rank
+
 
 def project(df: DataFrame, fields: list[str]) -> DataFrame:
     """Exactly the listed fields: extras are dropped, missing ones are NULL."""
@@ -24,16 +26,11 @@ def write_raster(df: DataFrame, path: str, row: str = "row", column: str = "col"
 
 
 def ledger_rows(runs: DataFrame, start: int, order: str, stamp=None) -> DataFrame:
-    """New ledger rows with ids freeze-0001... in the given order (a handful per run)."""
-    from pyspark.sql import Window as W
-
-    number = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order)) + (start - 1)
+    """New ledger rows with ids freeze-0001... by the order column; ties go by the other columns."""
+    ranked = global_rank(runs, [order, *[c for c in runs.columns if c != order]], out="_number")
     at = F.current_timestamp() if stamp is None else F.lit(stamp).cast("timestamp")
-    return runs.withColumn("run_id", F.format_string("freeze-%04d", number)).withColumn("timestamp_utc", at)
-
-
-def append_ledger(ledger: DataFrame, rows: DataFrame) -> DataFrame:
-    return ledger.unionByName(rows, allowMissingColumns=True)
+    number = F.col("_number") + (start - 1)
+    return ranked.withColumn("run_id", F.format_string("freeze-%04d", number)).withColumn("timestamp_utc", at).drop("_number")
 
 
 def sample_rows(df: DataFrame, order: list, n: int = 200_000) -> DataFrame:
