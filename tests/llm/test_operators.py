@@ -240,3 +240,18 @@ def test_empty_tables(spark):
     usable = blockknn.usable(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding")
     frames.append(blockknn.nearest(usable, usable, 3))
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def test_chains_are_disjoint_and_follow_order():
+    rng = random.Random(9)
+    found = sorted({(rng.randrange(400), rng.randrange(400), rng.randrange(6, 30)) for _ in range(200)})
+    paths = substrings.chain(found)
+    used = [i for p in paths for i in p]
+    assert sorted(used) == list(range(len(found)))
+    for p in paths:
+        for i, j in zip(p, p[1:]):
+            assert found[i][0] < found[j][0] and found[i][1] + found[i][2] <= found[j][1] + substrings.K
+    line = [(i, i, 10) for i in range(0, 200, 20)]
+    assert substrings.chain(line) == [list(range(10))]
+    many = [(20 * i, 5, 8) for i in range(4000)]  # one line again and again: no chain joins two of them
+    assert len(substrings.chain(many)) == 4000
