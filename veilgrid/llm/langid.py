@@ -106,13 +106,11 @@ def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: list
     held = np.arange(n) % 5 == 4 if n >= 50 else np.zeros(n, bool)
     fit = np.flatnonzero(~held)
 
-    def gathered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lengths = np.array([len(x[i][0]) for i in rows])
-        return np.repeat(np.arange(len(rows)), lengths), np.concatenate([x[i][0] for i in rows]), np.concatenate([x[i][1] for i in rows])
-
-    def hidden(owner, bucket, share, size):
-        out = np.zeros((size, WIDTH), np.float32)
-        np.add.at(out, owner, emb[bucket] * share[:, None])
+    def shares(rows: np.ndarray) -> np.ndarray:
+        """Share of every bucket in each of a batch's texts; a text names a bucket once."""
+        out = np.zeros((len(rows), BUCKETS), np.float32)
+        for line, i in zip(out, rows):
+            line[x[i][0]] = x[i][1]
         return out
 
     steps, step = EPOCHS * max(1, -(-len(fit) // BATCH)), 0
@@ -120,8 +118,8 @@ def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: list
         for rows in np.array_split(rng.permutation(fit), max(1, -(-len(fit) // BATCH))):
             rate = RATE * (1 - step / steps)
             step += 1
-            owner, bucket, share = gathered(rows)
-            h = hidden(owner, bucket, share, len(rows))
+            batch = shares(rows)
+            h = batch @ emb
             z = h @ layer + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -130,10 +128,10 @@ def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: list
             layer -= rate / len(rows) * (h.T @ p)
             bias -= rate / len(rows) * p.sum(axis=0)
             # rows of the table are touched by few documents of a batch, each with its own small share
-            np.add.at(emb, bucket, -rate * 8 * share[:, None] * down[owner])
+            emb -= rate * 8 * (batch.T @ down)
     model = Model(languages, emb @ layer, bias, 1.0, 0.0)
     check = np.flatnonzero(held) if held.any() else fit
-    logits = np.concatenate([hidden(*gathered(rows), len(rows)) @ layer + bias for rows in np.array_split(check, -(-len(check) // 256))])
+    logits = np.concatenate([shares(rows) @ emb @ layer + bias for rows in np.array_split(check, -(-len(check) // 256))])
 
     def loss(t: float) -> float:
         model.temperature = t
