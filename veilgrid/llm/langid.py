@@ -23,6 +23,7 @@ from .scan import Texts, Words, byte_table, map_blocks
 SAMPLE = 6000
 #: Languages at most: the most frequent labels.
 LANGUAGES = 256
+#: Buckets fit 16 bits: the sample is held as such.
 BUCKETS, WIDTH = 1 << 15, 16
 GRAMS = (1, 2, 3, 4)
 EPOCHS, BATCH, RATE = 12, 64, 0.5
@@ -78,7 +79,7 @@ def _features(texts: Texts, lo: int, hi: int) -> dict[str, pa.Array]:
     share = n / np.maximum(1, np.bincount(row, weights=n, minlength=hi - lo))[row]
     ends = np.cumsum(counts)
     packed = lambda x, kind: pa.array([p.astype(kind).tobytes() for p in np.split(x, ends[:-1])], pa.binary())
-    return {"buckets": packed(bucket, "<i4"), "shares": packed(share, "<f4")}
+    return {"buckets": packed(bucket, "<u2"), "shares": packed(share, "<f4")}
 
 
 @dataclass
@@ -131,7 +132,7 @@ def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: list
             emb -= rate * 8 * (batch.T @ down)
     model = Model(languages, emb @ layer, bias, 1.0, 0.0)
     check = np.flatnonzero(held) if held.any() else fit
-    logits = np.concatenate([shares(rows) @ emb @ layer + bias for rows in np.array_split(check, -(-len(check) // 256))])
+    logits = np.concatenate([shares(rows) @ emb @ layer + bias for rows in np.array_split(check, -(-len(check) // BATCH))])
 
     def loss(t: float) -> float:
         model.temperature = t
@@ -163,7 +164,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int
     if not got:
         return None
     number = {name: i for i, name in enumerate(languages)}
-    x = [(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["shares"], "<f4")) for r in got]
+    x = [(np.frombuffer(r["buckets"], "<u2"), np.frombuffer(r["shares"], "<f4")) for r in got]
     order = np.random.default_rng(3).permutation(len(got))
     return train([x[i] for i in order], np.array([number[got[i]["lang_"]] for i in order]), languages)
 
