@@ -255,3 +255,28 @@ def test_chains_are_disjoint_and_follow_order():
     assert substrings.chain(line) == [list(range(10))]
     many = [(20 * i, 5, 8) for i in range(4000)]  # one line again and again: no chain joins two of them
     assert len(substrings.chain(many)) == 4000
+
+
+def edited(words, rng):
+    """The words with one put in after every 12 to 20."""
+    out = []
+    while words:
+        n = rng.randrange(12, 21)
+        out, words = [*out, *words[:n], f"in{rng.randrange(10**6)}"], words[n:]
+    return out
+
+
+def test_fuzzy_passage_after_an_exact_one():
+    found = [(0, 0, 60), *((160 + 15 * i, 160 + 14 * i, 12) for i in range(5))]
+    assert sorted(substrings.chain(found)) == [[0], [1, 2, 3, 4, 5]]
+    fork = [(0, 0, 30), (40, 40, 30), (46, 31, 8), (60, 44, 8)]  # the last two follow the first less well than the second does
+    assert sorted(substrings.chain(fork)) == [[0, 1], [2, 3]]
+
+
+def test_fuzzy_passage_after_an_exact_one_is_reported(spark):
+    rng = random.Random(10)
+    exact, fuzzy = [f"e{i}" for i in range(60)], [f"f{i}" for i in range(90)]
+    gap = [prose(rng, 100, 10**6) for _ in range(2)]
+    texts = [" ".join([*exact, gap[0], *fuzzy]), " ".join([*exact, gap[1], *edited(fuzzy, rng)])]
+    got = sorted((r["from_word"], r["to_word"]) for r in substrings.repeats(docs(spark, texts), "doc_id", "text").collect())
+    assert len(got) == 2 and got[0] == (0, 60) and got[1][0] <= 166 and got[1][1] >= 250
