@@ -280,3 +280,33 @@ def test_fuzzy_passage_after_an_exact_one_is_reported(spark):
     texts = [" ".join([*exact, gap[0], *fuzzy]), " ".join([*exact, gap[1], *edited(fuzzy, rng)])]
     got = sorted((r["from_word"], r["to_word"]) for r in substrings.repeats(docs(spark, texts), "doc_id", "text").collect())
     assert len(got) == 2 and got[0] == (0, 60) and got[1][0] <= 166 and got[1][1] >= 250
+
+
+def test_parts_of_a_chain_with_too_few_equal_words(spark):
+    rng = random.Random(11)
+    own = lambda n: prose(rng, n, 10**6)
+    a, b, c, d = ([f"{x}{i}" for i in range(n)] for x, n in (("a", 55), ("b", 55), ("c", 60), ("d", 30)))
+    long = [[f"l{k}_{i}" for i in range(60)] for k in range(4)]
+    pairs = [
+        ([*a, own(50), *b], [*a, own(50), *b], [(0, 55), (105, 160)]),
+        ([*c, own(40), *d], [*c, own(40), *d], [(0, 60)]),
+        (sum(([*p, own(50)] for p in long), []), sum(([*p, own(50)] for p in long), []), [(110 * k, 110 * k + 60) for k in range(4)]),
+    ]
+    texts = [" ".join(p[0]) for p in pairs] + [" ".join(p[1]) for p in pairs]
+    got = substrings.repeats(docs(spark, texts), "doc_id", "text").collect()
+    for i, (_, _, want) in enumerate(pairs):
+        mine = sorted((r["from_word"], r["to_word"], r["equal_words"]) for r in got if r["doc_id"] == 3 + i)
+        assert mine == [(x, y, y - x) for x, y in want]
+
+
+def test_parts_are_the_longest_by_brute_force():
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        a = np.arange(400, dtype="<u4")
+        b = a.copy()
+        for x in rng.integers(0, 400, 6):
+            b[x : x + rng.integers(5, 60)] += 1000
+        same = np.concatenate([[0], np.cumsum(a == b)])
+        best = max((j - i for i in range(400) for j in range(i + 25, 401) if a[i] == b[i] and a[j - 1] == b[j - 1] and same[j] - same[i] >= 0.8 * (j - i)), default=0)
+        got = substrings.parts(a, b, [(0, 0, 400)])
+        assert max((j - i for i, j, _ in got), default=0) == best and all(n == same[j] - same[i] for i, j, n in got)
