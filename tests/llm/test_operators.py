@@ -310,3 +310,16 @@ def test_parts_are_the_longest_by_brute_force():
         best = max((j - i for i in range(400) for j in range(i + 25, 401) if a[i] == b[i] and a[j - 1] == b[j - 1] and same[j] - same[i] >= 0.8 * (j - i)), default=0)
         got = substrings.parts(a, b, [(0, 0, 400)])
         assert max((j - i for i, j, _ in got), default=0) == best and all(n == same[j] - same[i] for i, j, n in got)
+
+
+def test_passage_whose_pieces_stand_in_earlier_texts(spark):
+    rng = random.Random(13)
+    own = lambda: prose(rng, 40, 10**6)
+    for edit in (False, True):
+        whole = [f"q{i}" for i in range(80)]
+        texts = [" ".join([own(), *whole[a:b], own()]) for a, b in ((0, 24), (19, 42), (38, 61), (57, 80))]
+        fuzzy = edited(whole, rng) if edit else whole
+        texts += [" ".join([own(), *fuzzy, own()]), " ".join([own(), *(edited(fuzzy, rng) if edit else whole), own()])]
+        got = substrings.repeats(docs(spark, texts), "doc_id", "text").collect()
+        assert [(r["doc_id"], r["source_ids"]) for r in got if 4 in r["source_ids"]] == [(5, [4])]
+        assert max(r["to_word"] - r["from_word"] for r in got) >= 70
