@@ -323,3 +323,22 @@ def test_passage_whose_pieces_stand_in_earlier_texts(spark):
         got = substrings.repeats(docs(spark, texts), "doc_id", "text").collect()
         assert [(r["doc_id"], r["source_ids"]) for r in got if 4 in r["source_ids"]] == [(5, [4])]
         assert max(r["to_word"] - r["from_word"] for r in got) >= 70
+
+
+def test_toxic_words_behind_trailing_doubled_and_spaced_disguise():
+    rng = random.Random(14)
+    counts = np.zeros(toxicity.ALPHABET**3, np.int64)
+    for word in ["you", "idiot", "ass", "kill", "shit", "stone", "tide", "moral", "fool"] * 50:
+        code = [0, 0, *map(toxicity.symbol, word), 0]
+        for a, b, c in zip(code, code[1:], code[2:]):
+            counts[(a * toxicity.ALPHABET + b) * toxicity.ALPHABET + c] += 1
+    model = toxicity.CharModel(counts)
+    cases = {"a$$": "ass", "ki11": "kill", "sh1+": "shit", "@$$": "ass", "f00l": "fool", "i d 1 o t": "idiot", "y o u i d i o t": "idiot", "$hi+!": "shit",
+             " ".join("stone" * 20 + "idiot"): "idiot"}
+    for disguise, word in cases.items():
+        text = f"{prose(rng, 5)} , {disguise}\nMORAL (tide) 1234 moral!"
+        assert word in toxicity.restored(text, model, {}), disguise
+        texts = toxicity.Texts(toxicity.pa.array([text, "moral, tide"]))
+        rows, hashes = toxicity.features(texts, 0, 2, model, {})
+        assert rows[hashes == toxicity.hash_words([word])[0]].tolist().count(0) >= 1
+    assert toxicity.restored("12 345 moral. 1 2 3 4", model, {}) == []

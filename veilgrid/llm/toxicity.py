@@ -44,10 +44,13 @@ HEAVIEST = 3
 _PLAIN = byte_table(bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 _LOOK = "".join(map(re.escape, LOOKALIKES))
 _LETTER = r"[^\W\d_]"
-#: Places that make their token suspect: a look-alike before a letter, a letter three times in a row, single letters spaced out.
-SUSPECT = re.compile(
-    rf"[{_LOOK}]{_LETTER}|({_LETTER})\1\1|(?<!\S){_LETTER}(?:[\s.\-_*]{{1,2}}{_LETTER}){{2,}}(?!\S)"
-)
+_UNIT = rf"(?:{_LETTER}|[{_LOOK.replace(re.escape('*'), '')}])"
+#: Letters or look-alikes spaced out, and places that may make their token suspect: a look-alike, a letter three times in a row.
+SPACED_OUT = re.compile(rf"(?<!\S){_UNIT}(?:[\s.\-_*]{{1,2}}{_UNIT}){{2,}}(?!\S)")
+SUSPECT = re.compile(rf"[{_LOOK}]|({_LETTER})\1\1")
+LETTER = re.compile(_LETTER)
+#: Marks around a token that are no part of it; an exclamation mark at its end may be one.
+MARKS = ".,;:?\"'"
 #: Longer tokens are decoded in parts of this length.
 PART = 64
 _LOOK_BYTES = np.zeros(256, bool)
@@ -101,13 +104,19 @@ class CharModel:
         p3 = (c3 + 5 * p2[None]) / (c3.sum(axis=2, keepdims=True) + 5)
         self.cost = (-np.log(p3)).astype(np.float32)
 
-    def decode(self, token: str) -> str:
-        """The likeliest word of a token's lattice."""
-        lattice = lattice_of(token)
+    def decode(self, token: str, spaced: bool = False, doubled: bool = False) -> str:
+        """The likeliest word of a token's lattice; of spaced letters the likeliest words, with a blank between.
+
+        With ``doubled`` look-alikes that stand twice are read twice.
+        """
         cost = self.cost
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in lattice:
-            nxt: dict[tuple[int, int], tuple[float, str]] = {}
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for k, options in enumerate(lattice_of(token, doubled)):
+            if spaced and k:  # a word may end between any two letters
+                (a, b), (c, text) = min(best.items(), key=lambda s: s[1][0] + float(cost[s[0][0], s[0][1], 0]))
+                if (a, b) != (0, 0):
+                    best[0, 0] = (c + float(cost[a, b, 0]), (text, " "))
+            nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (c, text) in best.items():
                 for chars, channel in options:
                     x, y, total = a, b, c + channel
@@ -116,21 +125,25 @@ class CharModel:
                         total += float(cost[x, y, s])
                         x, y = y, s
                     if (x, y) not in nxt or total < nxt[x, y][0]:
-                        nxt[x, y] = (total, text + chars)
+                        nxt[x, y] = (total, (text, chars))
             best = nxt
-        return min((c + float(cost[a, b, 0]), text) for (a, b), (c, text) in best.items())[1]
+        text = min(((c + float(cost[a, b, 0]), text) for (a, b), (c, text) in best.items()), key=lambda s: s[0])[1]
+        out = []
+        while text:
+            text, chars = text
+            out.append(chars)
+        return "".join(out[::-1])
 
 
-def lattice_of(token: str) -> list[list[tuple[str, float]]]:
-    """Options (characters, channel cost) of each place; runs of one character are one place."""
+def lattice_of(token: str, doubled: bool = False) -> list[list[tuple[str, float]]]:
+    """Options (characters, channel cost) of each place; runs of one character are one place. With ``doubled`` two look-alikes are two letters."""
     lattice: list[list[tuple[str, float]]] = []
     for m in re.finditer(r"(.)\1*", re.sub(r"\s+", "", token.lower()), re.S):
         c, n = m[1], len(m[0])
         if c in LOOKALIKES:
-            options = [(x, LOOK_COST) for x in LOOKALIKES[c]]
-            if n > 1:
-                options += [(x * 2, LOOK_COST) for x in LOOKALIKES[c] if x not in "aeiou"]
-            options.append(("", DROP_COST))
+            twice = [(x + y, LOOK_COST) for x in LOOKALIKES[c] for y in LOOKALIKES[c]] if n > 1 and len(LOOKALIKES[c]) <= 2 else []
+            options = [] if doubled and twice else [(x, LOOK_COST) for x in LOOKALIKES[c]]
+            options += [*twice, ("", DROP_COST)]
         elif c.isalpha():
             options = [(c, REPEAT_COST * (n > 1))] + ([(c * 2, REPEAT_COST * (n > 2))] if n > 1 else [])
         else:
@@ -142,8 +155,10 @@ def lattice_of(token: str) -> list[list[tuple[str, float]]]:
 def suspect_rows(w: Words, raw: np.ndarray) -> np.ndarray:
     """Rows that may hold a suspect place, by their bytes."""
     b, n = w.bytes, len(w.bytes)
-    at = [np.flatnonzero(_LOOK_BYTES[raw[: n - 1]] & (b[1:] != 0))] if n > 1 else []
+    at = [np.flatnonzero(_LOOK_BYTES[raw])]
     if n > 2:
+        at.append(np.flatnonzero((raw[:-1] == 0xC2) & (raw[1:] == 0xA3)))
+        at.append(np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] == 0x82) & (raw[2:] == 0xAC)))
         at.append(np.flatnonzero((b[2:] != 0) & (b[2:] == b[1:-1]) & (b[1:-1] == b[:-2])))
     lone = np.flatnonzero(w.ends - w.starts <= 2)
     near = lone[2:][(lone[2:] - lone[:-2] == 2) & (w.starts[lone[2:]] - w.ends[lone[:-2]] <= 6)] if len(lone) > 2 else lone[:0]
@@ -151,8 +166,20 @@ def suspect_rows(w: Words, raw: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(w.offs, np.concatenate(at), "right") - 1)
 
 
-def suspects(text: str) -> Iterator[str]:
-    """Suspect tokens of a text, whole, each once; spaced letters are one token."""
+def disguised(token: str) -> bool:
+    """Whether a token holds a look-alike and a letter, or look-alikes of two kinds that are not all digits, or a letter three times in a row."""
+    for m in SUSPECT.finditer(token):
+        if m[1]:
+            return True
+        return bool(LETTER.search(token)) or (len(token) > 2 and len(set(token)) > 1 and all(c in LOOKALIKES for c in token) and not token.isdigit())
+    return False
+
+
+def suspects(text: str) -> Iterator[tuple[str, bool]]:
+    """Suspect tokens of a text, whole, each once, and whether they are spaced letters, which are one token."""
+    runs = [m.span() for m in SPACED_OUT.finditer(text) if LETTER.search(m[0])]
+    for start, end in runs:
+        yield text[start:end], True
     done = 0
     for m in SUSPECT.finditer(text):
         if m.start() < done:
@@ -162,26 +189,32 @@ def suspects(text: str) -> Iterator[str]:
             start -= 1
         while done < len(text) and not text[done].isspace():
             done += 1
-        yield text[start:done]
+        yield text[start:done], False
 
 
-def restored(text: str, model: CharModel, known: dict[str, str]) -> list[str]:
+def restored(text: str, model: CharModel, known: dict[tuple[str, bool], list[str]]) -> list[str]:
     """Words restored from the suspect tokens of a text; ``known`` keeps decoded tokens."""
     out = []
-    for token in suspects(text):
-        token = token.strip(".,;:?\"'!")
-        for part in (token[i : i + PART] for i in range(0, len(token), PART)):
-            word = known.get(part)
-            if word is None:
+    for token, spaced in suspects(text):
+        if spaced:
+            parts = [token]
+        else:
+            forms = {token.strip(MARKS + "!"), token.strip(MARKS)}
+            parts = [form[i : i + PART] for form in sorted(forms) if disguised(form) for i in range(0, len(form), PART)]
+        for part in parts:
+            words = known.get((part, spaced))
+            if words is None:
                 if len(known) > 1 << 16:
                     known.clear()
-                word = known[part] = model.decode(part)
-            if word:
-                out.append(word)
+                found = model.decode(part, spaced).split()
+                if not spaced and any(c in LOOKALIKES and c == d for c, d in zip(part, part[1:])):
+                    found += model.decode(part, doubled=True).split()
+                words = known[part, spaced] = list(dict.fromkeys(found))
+            out += words
     return out
 
 
-def features(texts: Texts, lo: int, hi: int, model: CharModel, known: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: Texts, lo: int, hi: int, model: CharModel, known: dict[tuple[str, bool], list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every word of the restored rows and of its beginnings; rows of a feature may repeat."""
     w = Words(texts, lo, hi, _PLAIN)
     rows, hashes = [w.rows], [w.hashes]
@@ -218,7 +251,7 @@ class Scorer:
         order = np.argsort(hashes)
         self.model, self.hashes, self.weights, self.slope = model, hashes[order], weights[order], slope
 
-    def heaviest(self, texts: Texts, lo: int, hi: int, known: dict[str, str]) -> np.ndarray:
+    def heaviest(self, texts: Texts, lo: int, hi: int, known: dict[tuple[str, bool], list[str]]) -> np.ndarray:
         """The HEAVIEST greatest weights among each row's distinct features, 0 where there are fewer."""
         out = np.zeros((hi - lo, HEAVIEST))
         if not len(self.hashes):
@@ -272,7 +305,7 @@ def learn(docs: DataFrame, labelled: DataFrame, text: str) -> Scorer:
         chosen = spark.sparkContext.broadcast(only)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: dict[str, str] = {}
+            known: dict[tuple[str, bool], list[str]] = {}
             for batch in batches:
                 texts, parts = Texts(batch.column(0)), []
                 for lo, hi in texts.blocks():
@@ -317,7 +350,7 @@ def learn(docs: DataFrame, labelled: DataFrame, text: str) -> Scorer:
 def weigh(docs: DataFrame, text: str, keep: list[str], scorer: Scorer, with_text: bool = False) -> DataFrame:
     """``keep`` with the heaviest weights of each row and its ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    known: dict[str, str] = {}
+    known: dict[tuple[str, bool], list[str]] = {}
 
     def run(texts: Texts, lo: int, hi: int) -> dict[str, pa.Array]:
         x = shared.value.heaviest(texts, lo, hi, known)
