@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blockknn, bpe, imatch, langid, licenses, neardup, packing, roles, substrings, toxicity
+from . import blockknn, bpe, imatch, langid, licenses, neardup, packing, prefixtrie, roles, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,3 +164,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+OP11_SQL = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+g as (select conv_id, turn, md5(strlen(role)::varchar || ':' || role || text) as dig, strlen(text)::bigint as bytes from t),
+r as (select *, row_number() over (partition by conv_id order by turn nulls first, dig) as pos from g),
+n as (select conv_id, max(pos) as n from r group by 1),
+c as (select conv_id, n, conv_id - conv_id % 5 as base,
+             xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(conv_id::varchar, ''), lambda ch: ascii(ch)::bigint)),
+                 lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384::bigint)))) % 9 as h from n),
+b as (select c.conv_id, 0 as part, r.pos, r.dig, r.bytes from c join r on r.conv_id = c.base and r.pos <= c.h
+      union all select c.conv_id, 1, r.pos, r.dig, r.bytes from c join r on r.conv_id = c.conv_id and r.pos > c.h),
+l as (select c.conv_id, coalesce(list(b.dig order by part, pos) filter (b.dig is not null), []) as ds, coalesce(list(b.bytes order by part, pos) filter (b.dig is not null), []) as bs
+      from c left join b using (conv_id) group by 1),
+d as (select *, unnest(range(0, len(ds) + 1)) as depth from l),
+pre as (select conv_id, depth, md5(array_to_string(ds[1:depth], ',')) as k, case when depth > 0 then md5(array_to_string(ds[1:depth - 1], ',')) end as up,
+               case when depth > 0 then bs[depth] else 0 end as bytes, len(ds) = depth as done from d),
+node as (select k, depth, any_value(up) as up, min(conv_id) as conv_id, count(*) as n_convs, any_value(bytes) as bytes,
+                coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (done), '') as ends from pre group by k, depth),
+kids as (select up as k, depth - 1 as depth, count(*) as n from node where up is not null group by all),
+own as (select node.*, coalesce(kids.n, 0) as n_children from node left join kids using (k, depth)),
+tree as (select p.k, p.depth, sum((o.n_convs - 1) * o.bytes) as saved, sum((o.n_children = 0)::int) as n_leaves
+         from own o join pre p on p.conv_id = o.conv_id and p.depth <= o.depth group by all)
+select o.conv_id, o.depth::bigint as depth, u.conv_id as parent_conv_id, o.n_convs::bigint as n_convs, o.n_children::bigint as n_children,
+       t.n_leaves::bigint as n_leaves, t.saved::bigint as saved_tokens, sha256(o.ends) as ends_sha256
+from own o join tree t using (k, depth) left join own u on u.k = o.up and u.depth = o.depth - 1
+"""
+
+
+@register("op11_sparse_table_trie", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations with its place in the trie."""
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
