@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blockknn, bpe, imatch, langid, licenses, neardup, packing, prefixtrie, roles, substrings, toxicity
+from . import alignment, blockknn, bpe, imatch, langid, licenses, metricjoin, neardup, packing, prefixtrie, roles, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def register(name: str, sql: str | None = None):
@@ -197,3 +198,29 @@ from own o join tree t using (k, depth) left join own u on u.k = o.up and u.dept
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct prefix of the rebuilt conversations with its place in the trie."""
     return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+ok as (select vec_id, label, e, row_number() over () as k, sqrt(list_inner_product(e, e)) as n from v
+       where vec_id is not null and label is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+p as (select a.k, a.vec_id as x, b.vec_id as y from ok a join ok b on a.label = b.label and a.k <> b.k and len(a.e) = len(b.e)
+      where list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r(vec_id, reach) as (select distinct vec_id, vec_id from v union select r.vec_id, p.y from r join p on p.x = r.reach),
+m as (select vec_id, min(reach) as component_id from r group by 1),
+c as (select k, count(*) as n from p group by 1)
+select v.vec_id, coalesce(c.n, 0)::bigint as n_links, m.component_id, v.vec_id = m.component_id as kept
+from v left join ok on ok.vec_id = v.vec_id left join c on c.k = ok.k left join m on m.vec_id = v.vec_id
+"""
+
+
+@register("op12_pivot_range_join", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of embeddings of one label whose cosine is at least 0.98."""
+    return metricjoin.link(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+@register("op13_perfect_hash_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of the two tokenizers on every whole text, with counts of linked ids over all documents."""
+    return alignment.align(table(spark, sf_dir, "documents"), "doc_id", "text", file_bytes(TOKENIZER).decode(), file_bytes(PIECES))
