@@ -284,7 +284,7 @@ def fold_vs_global(cells: DataFrame, zone: list[str], layers: list[str]) -> Data
 
 
 def network_exposure(points: DataFrame, grid: geo.Grid, cells: DataFrame, cell_key: str, row: str, column: str,
-                     obs: DataFrame, pair: str, category: str = "category", threshold: float = 0.3) -> DataFrame:
+                     obs: DataFrame, pair: str, category: str = "category", threshold: float = 0.3, slack: float = 0.0) -> DataFrame:
     """Kilometres valid / strong / hidden-strong by (pair, category) and in total.
 
     Lengths are summed per (cell, category) before any join, so a busy cell is one row. Only
@@ -302,7 +302,7 @@ def network_exposure(points: DataFrame, grid: geo.Grid, cells: DataFrame, cell_k
     )
     seen = (
         on_cells.filter("strong").groupBy(cell_key, category).agg(F.sum("km").alias("km"))
-        .join(obs.filter(coherent("coherence", threshold)).select(cell_key, pair), cell_key)
+        .join(obs.filter(coherent("coherence", threshold, slack)).select(cell_key, pair), cell_key)
         .withColumn(category, F.explode(F.array(F.col(category), F.lit("transport_total"))))
         .groupBy(pair, category).agg(F.sum("km").alias("_seen"))
     )

@@ -239,7 +239,7 @@ def way_segments(spark, d):
 
 def _network(spark, d):
     return exposure.network_exposure(way_segments(spark, d), V.TARGET, V.flags(spark, d, region=False), "cell_id", "cell_row",
-                                     "cell_col", V.obs(spark, d), "pair_id")
+                                     "cell_col", V.obs(spark, d), "pair_id", slack=V.SLACK)
 
 
 @query("network_exposure", _NET_SQL + "select * from net", _NET_VIEWS,

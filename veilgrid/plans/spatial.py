@@ -68,15 +68,35 @@ def join_native_pixel(spark, d):
     return joins.native_pixel_totals(V.source_grid(spark, d), V.SOURCE, "src_value", cells, V.TARGET, ("cell_row", "cell_col"), ["strong", "majority"])
 
 
-@query("join_observation_stack", """with c as (select g.cell_id, coalesce(n_obs, 0) as n_obs, coalesce(n_seen, 0) as n_seen from fx_grid g left join fx_counts k on k.cell_id = g.cell_id)
+@query("join_observation_stack", """with s as (select g.cell_id, r.raster_id, r.nodata, r.value_scale, r.width, r.height, floor((r.tie_lat - (15e0 - (g.cell_row + 0.5e0) * 0.01e0)) / r.py) as y,
+         floor(((100e0 + (g.cell_col + 0.5e0) * 0.01e0) - r.tie_lon) / r.px) as x from fx_grid g, fx_rasters r),
+       v as (select cell_id, s.raster_id, case when nodata is null or p.value <> nodata then p.value * coalesce(value_scale, 1e0) end as v from s
+         left join fx_pixels p on p.raster_id = s.raster_id and p.row = y and p.col = x where y >= 0 and y < height and x >= 0 and x < width),
+       k as (select cell_id, count(*) as n_inside, count(*) filter (where v >= 0.3e0 - 1e-9) as n_obs from v group by 1),
+       c as (select coalesce(n_obs, 0) as n_obs, coalesce(n_inside, 0) as n_inside from fx_grid left join k using (cell_id))
+       select 'cells' as kind, n_obs as item, count(*) as n, count(*) filter (where n_inside > 0) as n2, sum(n_inside) as n3, 0 as n4 from c group by n_obs
+       union all select 'pairs', r.raster_id, count(v.cell_id), count(v.v), count(*) filter (where v.v >= 0.3e0 - 1e-9), count(*) filter (where v.v < 0 or v.v > 1)
+         from fx_rasters r left join v using (raster_id) group by r.raster_id""", "fx_grid fx_rasters fx_pixels", ints="item n3 n4")
+def join_observation_stack(spark, d):
+    """Cells by number of coherent rasters, with those inside any and the pairs inside; rasters by inside, valued, coherent and impossible cells."""
+    cells = V.grid(spark, d).select("cell_id", geo.center_lon(V.TARGET, "cell_col").alias("lon"), geo.center_lat(V.TARGET, "cell_row").alias("lat"))
+    by_cell, by_raster = observe.raster_stack(cells, "cell_id", "lon", "lat", V.raster_headers(spark, d), V.raster_pixels(spark, d), {"n_obs": V.THRESHOLD}, slack=V.SLACK)
+    a = by_cell.groupBy(F.lit("cells").alias("kind"), F.col("n_obs").alias("item")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("inside_any").alias("n2"), F.sum("n_inside").alias("n3"), F.lit(0).alias("n4"))
+    b = by_raster.select(F.lit("pairs").alias("kind"), F.col("raster_id").cast("bigint").alias("item"), F.col("inside_cells").alias("n"),
+                         F.col("valued_cells").alias("n2"), F.col("n_obs").alias("n3"), F.col("outside_unit").alias("n4"))
+    return a.unionByName(b)
+
+
+@query("join_observation_counts", """with c as (select g.cell_id, coalesce(n_obs, 0) as n_obs, coalesce(n_seen, 0) as n_seen from fx_grid g left join fx_counts k on k.cell_id = g.cell_id)
        select 'cells' as kind, n_obs as item, count(*) as n, count(*) filter (where n_seen > 0) as n2 from c group by n_obs
        union all select 'pairs', pair_id, count(*), count(*) filter (where coherence >= 0.3e0 - 1e-9) from fx_obs group by pair_id""", "fx_grid fx_counts fx_obs", ints="item")
-def join_observation_stack(spark, d):
-    """Cells by number of coherent pairs, and pairs by number of cells."""
+def join_observation_counts(spark, d):
+    """The same counts from a table of one row a cell and pair: cells by number of coherent pairs, and pairs by number of cells."""
     o = V.obs(spark, d)
-    cells = observe.attach_counts(V.grid(spark, d).select("cell_id"), o, "cell_id", {"n_obs": V.THRESHOLD})
+    cells = observe.attach_counts(V.grid(spark, d).select("cell_id"), o, "cell_id", {"n_obs": V.THRESHOLD}, slack=V.SLACK)
     a = cells.groupBy(F.lit("cells").alias("kind"), F.col("n_obs").alias("item")).agg(F.count(F.lit(1)).alias("n"), F.count_if("inside_any").alias("n2"))
-    b = observe.pair_totals(o, "pair_id").select(F.lit("pairs").alias("kind"), F.col("pair_id").cast("bigint").alias("item"), F.col("n_cells").alias("n"), F.col("n_coherent").alias("n2"))
+    b = observe.pair_totals(o, "pair_id", slack=V.SLACK).select(F.lit("pairs").alias("kind"), F.col("pair_id").cast("bigint").alias("item"), F.col("n_cells").alias("n"), F.col("n_coherent").alias("n2"))
     return a.unionByName(b)
 
 

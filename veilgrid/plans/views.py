@@ -16,6 +16,7 @@ TARGET = Grid(100.0, 15.0, 0.01, 0.01, width=128)
 SOURCE = Grid(99.995, 15.005, 0.013, 0.013, width=50)
 N_PAIRS = 7
 THRESHOLD = 0.3
+SLACK = 1e-9  # the coherence of the fixtures is a product, which may fall short of a threshold by rounding
 STRONG = 5.0
 
 
@@ -70,7 +71,7 @@ def cell_measures(spark: SparkSession, d: str, thresholds: dict[str, float]) ->
     return per_pair.groupBy("cell_id").agg(
         F.sum("_q").alias("population"), F.sum("_x").alias("builtup_m2"),
         F.least(F.lit(1.0), F.sum("_n") / 7.0).alias("cover_fraction"),
-        *[F.count_if(observe.coherent("coherence", t)).alias(n) for n, t in thresholds.items()],
+        *[F.count_if(observe.coherent("coherence", t, SLACK)).alias(n) for n, t in thresholds.items()],
         F.count(F.lit(1)).alias("n_seen"),
     )
 
@@ -96,6 +97,25 @@ def flags(spark: SparkSession, d: str, region: bool = True, thresholds: dict[str
     return observe.screen(flagged, "vlm_mm_yr", STRONG, require_exposure)
 
 
+def raster_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Catalogue of the pair rasters: grids of different origins, pixels and extents; the last one lies elsewhere."""
+    p = F.col("raster_id")
+    pairs = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("raster_id")).distinct()
+    size = F.lit(0.008) + F.lit(0.002) * (p % 3)
+    return pairs.select(
+        "raster_id", F.when(p == 7, F.lit(150.0)).otherwise(F.lit(99.9935) + 0.05 * p).alias("tie_lon"), (F.lit(15.0065) - 0.03 * p).alias("tie_lat"),
+        size.alias("px"), (size + 0.001).alias("py"), (F.lit(70) + 10 * p).cast("bigint").alias("width"), (F.lit(40) * p).cast("bigint").alias("height"),
+        F.when(p % 2 == 0, F.lit(0.1)).alias("nodata"), F.when(p == 3, F.lit(10.0)).alias("value_scale"),
+    )
+
+
+def raster_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Sparse pixels of the pair rasters."""
+    return table(spark, d, "lineitem").groupBy(
+        F.col("l_linenumber").alias("raster_id"), F.floor(F.col("l_orderkey") / 97.0).alias("row"), (F.col("l_orderkey") % 97).alias("col")
+    ).agg((F.max("l_discount") * 10.0).alias("value"))
+
+
 def source_grid(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(
         F.col("p_partkey").alias("src_id"), F.floor(F.col("p_partkey") / 50.0).alias("src_row"),
@@ -182,6 +202,13 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
     "fx_src": ([], """
         select p_partkey as src_id, cast(floor(p_partkey / 50e0) as bigint) as src_row, p_partkey % 50 as src_col,
           p_retailprice as src_value from part"""),
+    "fx_rasters": ([], """
+        select p as raster_id, case when p = 7 then 150e0 else 99.9935e0 + 0.05e0 * p end as tie_lon, 15.0065e0 - 0.03e0 * p as tie_lat, 0.008e0 + 0.002e0 * (p % 3) as px,
+          (0.008e0 + 0.002e0 * (p % 3)) + 0.001e0 as py, 70 + 10 * p as width, 40 * p as height, case when p % 2 = 0 then 0.1e0 end as nodata, case when p = 3 then 10e0 end as value_scale
+        from (select distinct l_linenumber as p from lineitem)"""),
+    "fx_pixels": ([], """
+        select l_linenumber as raster_id, cast(floor(l_orderkey / 97e0) as bigint) as row, l_orderkey % 97 as col, max(l_discount) * 10e0 as value
+        from lineitem group by 1, 2, 3"""),
     "fx_points": ([], """
         select event_id as point_id, 100e0 + (event_id % 1000) / 1000e0 as lon, 15e0 - (user_id % 100) / 100e0 as lat,
           5e0 - value / 10e0 as velocity_mm_yr, value as weight, props from events"""),
