@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import haldane_or
-from ..operators import ordering, resample
+from ..operators import ordering, permute, resample
 from ..runtime import with_scalars
 from . import views as V
 from .aggregates import _BLOCK
@@ -94,16 +94,14 @@ def maup_shifted_blocks(spark, d):
     return resample.shifted_blocks(V.flags(spark, d, region=False), "cell_row", "cell_col", [3, 5, 10, 20])
 
 
-_REPS = 40
+_REPS = 5000
 
 
 def _null_sql(model: str, universe: str, label: str, stratum: str, metrics: dict[str, tuple[str, str]]) -> str:
     """SQL of one null model: metric name -> (value of a replicate, observed value)."""
-    rep = f"""(select rep, sum(h_flag) as hid, sum(population) as pop, sum(builtup_m2) / 1e6 as built from (
-         select *, row_number() over (partition by rep, stratum order by h, cell_id) as r from (
-           select u.*, rep, cast('0x' || substr(md5(concat_ws('|', '{SEED}', '{model}', cast(rep as varchar), cast(cell_id as varchar))), 1, 8) as bigint) as h
-           from (select *, {stratum} as stratum, cast(not majority as int) as h_flag from ranked where {universe}) u, (select unnest(range({_REPS})) as rep)))
-         join (select {stratum} as stratum, count(*) filter (where {label}) as k from ranked where {universe} group by 1) using (stratum) where r <= k group by rep)"""
+    rep = permute.shuffled_sums_sql(
+        f"(select *, cast(not majority as int) as h_flag from ranked where {universe})", label, stratum, model,
+        {"hid": "h_flag", "pop": "population", "built": "builtup_m2"}, _REPS, SEED, "cell_id").replace(" as built from x", " / 1e6 as built from x")
     out = []
     for name, (value, observed) in metrics.items():
         out.append(f"""select '{model}' as null_model, '{name}' as metric, any_value(o) as observed, avg(m) as null_mean, quantile_cont(m, 0.025e0) as null_q025, quantile_cont(m, 0.975e0) as null_q975,
@@ -131,7 +129,7 @@ _PLACEBO = f"""with ranked as (select *, ntile(10) over (partition by strong ord
 
 @query("placebo_permutation", _PLACEBO, "fx_flags", "observed null_mean null_q025 null_q975 two_sided_empirical_p")
 def placebo_permutation(spark, d):
-    """Labels or masks shuffled globally and inside strata; the null range of each metric."""
+    """Labels or masks shuffled 5,000 times globally and inside strata; the null range of each metric."""
     from ..runtime import cut
 
     cols = ["cell_id", "cell_row", "cell_col", "vlm_mm_yr", "strong", "majority", "population", "builtup_m2"]
@@ -152,7 +150,8 @@ def placebo_permutation(spark, d):
     rows = ranked.withColumn("m", F.explode(F.filter(models, lambda x: x.isNotNull()))).select("cell_id", "hidden", "population", "builtup_m2", "m.*")
     hid = hidden.cast("bigint")
     sums = {"hid": hid, "pop": F.col("population"), "built": F.col("builtup_m2")}
-    draws = resample.permuted_sums(rows, "cell_id", "label", sums, _REPS, SEED, "stratum", ["null_model"])
+    draws = permute.shuffled_sums(rows, "cell_id", "label", sums, _REPS, SEED, "stratum", ["null_model"])
+    draws = draws.withColumn("hid", F.round("hid").cast("bigint"))
     both = strong & hidden
     tot = ranked.agg(
         F.count(F.lit(1)).alias("nb"), F.count_if(strong).alias("ns"), F.sum(hid).alias("nh"), F.count_if(both).alias("sh"),
