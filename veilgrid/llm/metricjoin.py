@@ -23,10 +23,14 @@ from pyspark.sql import functions as F
 from .components import components
 from .neardup import stored
 
-#: Members of a cell beyond which it is split, pivots of one split, and rows of a tile.
-CELL, PIVOTS, TILE = 2048, 64, 1024
+#: Members of a cell beyond which it is split, pivots of one split at most, and rows of a tile.
+CELL, PIVOTS, TILE = 2048, 64, 4096
 #: A split is final when a cell keeps more than this share of its parent's members.
 SHRINK = 0.7
+#: Rows of a cell, in expectation, on which the replication under fewer or more pivots is estimated.
+SAMPLE = 1024
+#: Rows of a tile multiplied at once.
+STEP = 512
 #: Allowance for rounding in the bounds; links are decided on the cosine itself.
 SLACK = 1e-7
 
@@ -50,34 +54,58 @@ def matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Unit rows of a list column of one dimension; scaled first, so that no square overflows."""
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
-    x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _reach(x: np.ndarray, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest pivot of each vector, and the pivots whose cells it may border on."""
+    square = np.maximum(2 - 2 * (x @ p.T), 0)
+    near = square.argmin(axis=1)
+    own = square[np.arange(len(x)), near][:, None]
+    apart = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))[near]
+    # triangle inequality; and a vector beyond the bisector of two pivots is at least as far as the bisector
+    reach = (np.sqrt(square) <= np.sqrt(own) + 2 * radius + SLACK) & (square - own <= 2 * radius * apart + SLACK)
+    reach[np.arange(len(x)), near] = True
+    return near, reach
+
+
+def _by_cell(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    cell = np.array(batch.column("cell").to_pylist(), object)
+    _, number = np.unique(cell, return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(number[order])) + 1):
+        if len(at):
+            yield cell[at[0]], batch.take(pa.array(at))
+
+
+def _estimate(radius: float):
+    """Rows and replicas of the sampled rows of each cell under 2, 4, 8, ... of its pivots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell, rows in _by_cell(batch):
+                p, x, k = matrix(rows.column("pivots")[0].values), matrix(rows.column("vec")), 2
+                while k <= len(p):
+                    n = int(_reach(x, p[:k], radius)[1].sum())
+                    yield pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([k], pa.int64()), pa.array([len(x)], pa.int64()), pa.array([n], pa.int64())], names=["cell", "k", "n", "replicas"])
+                    k *= 2
+
+    return run
+
+
 def _deal(radius: float):
     """Home and replicated rows of each vector among its cell's pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell = np.array(batch.column("cell").to_pylist(), object)
-            _, number = np.unique(cell, return_inverse=True)
-            order = np.argsort(number, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(number[order])) + 1):
-                if not len(at):
-                    continue
-                rows = batch.take(pa.array(at))
+            for cell, rows in _by_cell(batch):
                 p, x = matrix(rows.column("pivots")[0].values), matrix(rows.column("vec"))
-                square = np.maximum(2 - 2 * (x @ p.T), 0)
-                near = square.argmin(axis=1)
-                own = square[np.arange(len(x)), near][:, None]
-                apart = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))[near]
-                # triangle inequality; and a vector beyond the bisector of two pivots is at least as far as the bisector
-                reach = (np.sqrt(square) <= np.sqrt(own) + 2 * radius + SLACK) & (square - own <= 2 * radius * apart + SLACK)
-                reach[np.arange(len(x)), near] = True
+                near, reach = _reach(x, p, radius)
                 who, pivot = np.nonzero(reach)
                 home = (near[who] == pivot) & rows.column("home").to_numpy(zero_copy_only=False)[who]
-                inner = pa.array([f"{cell[at[0]]}/{k}" for k in range(len(p))]).take(pa.array(pivot))
+                inner = pa.array([f"{cell}/{k}" for k in range(len(p))]).take(pa.array(pivot))
                 out = rows.select(["cls", "weight", "vec", "members"]).take(pa.array(who))
                 yield pa.RecordBatch.from_arrays([inner, pa.array(home), *out.columns], names=["cell", "home", "cls", "weight", "vec", "parent_members"])
 
@@ -109,27 +137,27 @@ def _tile(least: float):
         a, b = homes.column("cls").to_numpy(), members.column("cls_").to_numpy()
         out_a, out_b, out_n = [], [], []
         if len(a) and len(b):
-            near = matrix(homes.column("vec")) @ matrix(members.column("vec_")).T >= least
-            near &= a[:, None] != b[None, :]
-            counts = near @ members.column("weight_").to_numpy().astype(np.float64)
-            some = np.flatnonzero(counts)
-            out_a, out_b, out_n = a[some].tolist(), [None] * len(some), counts[some].astype(np.int64).tolist()
             ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-            sets, pa_, pb = Union(len(ids)), place[: len(a)], place[len(a) :]
+            sets, own, other = Union(len(ids)), place[: len(a)], place[len(a) :]
             root = np.arange(len(ids))
-            for i in some.tolist():
-                # only partners not yet known to be reachable are looked at
-                new = np.unique(root[pb[near[i]]], return_index=True)[1]
-                who = np.flatnonzero(near[i])[new]
-                linked = False
-                for k in who.tolist():
-                    if sets.join(int(pa_[i]), int(pb[k])):
-                        out_a.append(int(a[i]))
-                        out_b.append(int(b[k]))
-                        out_n.append(0)
-                        linked = True
-                if linked:
-                    root = np.array([sets.top(x) for x in root.tolist()]) if len(who) > 8 else root
+            x, y, weight = matrix(homes.column("vec")), matrix(members.column("vec_")).T, members.column("weight_").to_numpy()
+            for at in range(0, len(a), STEP):
+                near = (x[at : at + STEP] @ y >= least) & (own[at : at + STEP, None] != other[None, :])
+                for i in np.flatnonzero(near.any(axis=1)).tolist():
+                    who = np.flatnonzero(near[i])
+                    out_a.append(int(a[at + i]))
+                    out_b.append(None)
+                    out_n.append(int(weight[who].sum()))
+                    # one partner of each set not yet known to be joined
+                    who = who[np.unique(root[other[who]], return_index=True)[1]]
+                    before = len(out_a)
+                    for k in who.tolist():
+                        if sets.join(int(own[at + i]), int(other[k])):
+                            out_a.append(int(a[at + i]))
+                            out_b.append(int(b[k]))
+                            out_n.append(0)
+                    if len(who) > 8 and len(out_a) > before:
+                        root = np.array([sets.top(x) for x in root.tolist()])
         return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_n, pa.int64())], names=["a", "b", "n"])
 
     return run
@@ -142,17 +170,21 @@ def cells(classes: DataFrame, radius: float, cell: int = CELL) -> DataFrame:
     while True:
         sizes = rows.groupBy("cell").agg(F.count("*").alias("members"), F.max("parent_members").alias("parent_members"), F.max("home").alias("home")).where("home")
         wide = (F.col("members") > cell) & (F.col("parent_members").isNull() | (F.col("members") <= SHRINK * F.col("parent_members")))
-        wide = stored(sizes.where(wide).select("cell", "members", F.least(F.lit(PIVOTS), 8 * F.ceil(F.col("members") / cell)).alias("k")), f"wide-{turn}")
+        wide = stored(sizes.where(wide).select("cell", "members"), f"wide-{turn}")
         if wide.isEmpty():
             done.append(rows)
             break
         done.append(rows.join(wide, "cell", "left_anti"))
         open_rows = rows.join(wide, "cell")
-        # a binomial draw of about k pivots a cell; the hash decides, so no rows are sorted or collected
-        draw = F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(1 << 30)) < F.col("k") * (1 << 30) / F.col("members")
-        pivots = stored(open_rows.where(draw).groupBy("cell").agg(F.slice(F.collect_list("vec"), 1, 4 * PIVOTS).alias("pivots")), f"pivots-{turn}")
-        dealt = open_rows.select("cell", "home", "cls", "weight", "vec", "members").join(pivots, "cell")
-        schema = "cell string, home boolean, cls long, weight long, vec array<double>, parent_members long"
+        # binomial draws of about PIVOTS and SAMPLE rows a cell; a hash decides, so no rows are sorted or collected
+        draw = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed), F.lit(turn)), F.lit(1 << 30)) * F.col("members") < F.lit(n * (1 << 30))
+        pivots = stored(open_rows.where(draw(PIVOTS, 1)).groupBy("cell").agg(F.collect_list("vec").alias("pivots")), f"pivots-{turn}")
+        tried = open_rows.where(draw(SAMPLE, 2)).select("cell", "vec").join(pivots, "cell").mapInArrow(_estimate(radius), "cell string, k long, n long, replicas long")
+        # many pivots only if they replicate little: rep**4 <= k keeps the copies of all splits under the cube root of what cells shrink
+        fit = tried.groupBy("cell", "k").agg((F.sum("replicas") / F.sum("n")).alias("rep")).where((F.col("k") == 2) | (F.col("rep") ** 4 <= F.col("k")))
+        chosen = stored(pivots.join(fit.groupBy("cell").agg(F.max("k").cast("int").alias("k")), "cell", "left").select("cell", F.slice("pivots", 1, F.coalesce("k", F.lit(2))).alias("pivots")), f"chosen-{turn}")
+        dealt = open_rows.select("cell", "home", "cls", "weight", "vec", "members").join(chosen, "cell")
+        schema = f"cell string, home boolean, cls long, weight long, vec {rows.schema['vec'].dataType.simpleString()}, parent_members long"
         split = dealt.mapInArrow(_deal(radius), schema)
         # a cell that drew no pivot draws again
         none = rows.join(wide, "cell", "left_semi").join(pivots, "cell", "left_anti")
@@ -184,7 +216,9 @@ def link(vectors: DataFrame, id_col: str, vec_col: str, label_col: str, least: f
     different dimensions do not link. Rows that share an id count by themselves in n_links and as one in what is
     reachable. An empty table gives no rows. Only the three named columns are read.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
+    # single precision is kept as it is, to move half the bytes; all products are in double
+    vec = F.col(vec_col) if vectors.schema[vec_col].dataType.simpleString() in ("array<float>", "array<double>") else F.col(vec_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), vec.alias("vec"))
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
     rows = stored(rows.mapInArrow(_prepare, f"{kinds}, vec_key binary").withColumn("vec_key", F.when(F.col("vec_id").isNotNull(), F.col("vec_key"))), "vectors")
     used = rows.where("vec_key is not null")
