@@ -126,8 +126,9 @@ def expand_bbox(w, s, e, n, pad: float) -> list[Column]:
 
 
 def candidate_rows(s: Grid, lat_lo: Column, lat_hi: Column) -> tuple[Column, Column]:
-    """Inclusive source row range that can touch [lat_lo, lat_hi]."""
+    """Inclusive source row range that can touch [lat_lo, lat_hi]; NULL if a side is not finite."""
     return _clamped(
+        finite(lat_lo) & finite(lat_hi),
         F.floor((_d(s.tie_lat) - lat_hi) / _d(s.py)) - F.lit(1),
         F.ceil((_d(s.tie_lat) - lat_lo) / _d(s.py)) + F.lit(1),
         s.height,
@@ -136,15 +137,24 @@ def candidate_rows(s: Grid, lat_lo: Column, lat_hi: Column) -> tuple[Column, Col
 
 def candidate_cols(s: Grid, lon_lo: Column, lon_hi: Column) -> tuple[Column, Column]:
     return _clamped(
+        finite(lon_lo) & finite(lon_hi),
         F.floor((lon_lo - _d(s.tie_lon)) / _d(s.px)) - F.lit(1),
         F.ceil((lon_hi - _d(s.tie_lon)) / _d(s.px)) + F.lit(1),
         s.width,
     )
 
 
-def _clamped(start: Column, stop: Column, limit: int | None) -> tuple[Column, Column]:
+def _clamped(ok: Column, start: Column, stop: Column, limit: int | None) -> tuple[Column, Column]:
     start = F.greatest(start, F.lit(0).cast("bigint"))
-    return start, stop if limit is None else F.least(stop, F.lit(limit - 1).cast("bigint"))
+    stop = stop if limit is None else F.least(stop, F.lit(limit - 1).cast("bigint"))
+    return F.when(ok, start), F.when(ok, stop)
+
+
+def extent_overlap_m2(t: Grid, t_row, t_col, s: Grid) -> Column:
+    """Area of a target cell inside the whole extent of a source of known width and height."""
+    w, e = F.greatest(west(t, t_col), _d(s.tie_lon)), F.least(east(t, t_col), _d(s.tie_lon) + F.lit(float(s.width)) * _d(s.px))
+    lo, hi = F.greatest(south(t, t_row), _d(s.tie_lat) - F.lit(float(s.height)) * _d(s.py)), F.least(north(t, t_row), _d(s.tie_lat))
+    return F.when((e > w) & (hi > lo), band_area_m2(e - w, hi, lo)).otherwise(F.lit(0.0))
 
 
 def haversine_km(lon1, lat1, lon2, lat2) -> Column:

@@ -91,6 +91,15 @@ def wsum(weight: Column | str, mask: Column) -> Column:
     return F.coalesce(F.sum(F.when(mask & finite(weight), col(weight))), F.lit(0.0))
 
 
+def exposure_sum(weight: Column | str, mask: Column | None = None, nodata: float | None = None) -> Column:
+    """Masked sum of the valid exposures (finite, not negative, not nodata); 0 when nothing matches.
+
+    Missing exposure of any kind counts as 0 and never spoils the rest of the sum.
+    """
+    ok = valid_exposure(weight, nodata)
+    return F.coalesce(F.sum(F.when(ok if mask is None else mask & ok, col(weight))), F.lit(0.0))
+
+
 def wmean(value: Column | str, weight: Column | str) -> Column:
     """Weighted mean over rows with finite value and positive finite weight; NULL if none."""
     ok = finite(value) & finite(weight) & (col(weight) > 0)

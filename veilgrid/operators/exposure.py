@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.numeric import finite, haldane_or, ratio0, ratio_null, wmean, wsum
+from ..functions.numeric import exposure_sum, finite, haldane_or, ratio0, ratio_null, wmean, wsum
 from ..runtime import attach, cut, explode_specs, with_scalars
 from .observe import coherent
 from .ordering import exact_quantiles, exact_quantiles_of
@@ -60,9 +60,10 @@ def _account(df: DataFrame, group: list[str], n_pairs: int, threshold: float, ve
     flags = ["base", "strong", "nonstrong", "any_obs", "majority", "stable75", "low25", "obs_fraction"]
     cover = {"mean_pop_cover_fraction": pop_cover, "mean_built_cover_fraction": built_cover}
     cube = df.groupBy(*group, *flags).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(finite(velocity)).alias("_valid"), F.sum(velocity).alias("_v"),
-        *[F.sum(w).alias(f"_{k}") for k, w in weights.items()],
-        *[f(c).alias(f"_{t}_{n}") for n, c in cover.items() for t, f in (("sum", F.sum), ("n", F.count))],
+        F.count(F.lit(1)).alias("_n"), F.count_if(finite(velocity)).alias("_valid"), F.sum(F.when(finite(velocity), F.col(velocity))).alias("_v"),
+        # values are masked before this first sum: one missing exposure must not take its whole row of flags with it
+        *[exposure_sum(w).alias(f"_{k}") for k, w in weights.items()],
+        *[f(F.when(finite(c), F.col(c))).alias(f"_{t}_{n}") for n, c in cover.items() for t, f in (("sum", F.sum), ("n", F.count))],
     )
     base, strong, nonstrong, majority = (F.col(c) for c in ("base", "strong", "nonstrong", "majority"))
     cells = lambda mask: F.coalesce(F.sum(F.when(mask, F.col("_n"))), F.lit(0))
@@ -113,7 +114,7 @@ def _account(df: DataFrame, group: list[str], n_pairs: int, threshold: float, ve
 
 
 def region_summary(df: DataFrame, group: list[str], n_pairs: int, threshold: float, **names) -> DataFrame:
-    """The multi-region account: missing exposure counts as 0, cells need no exposure.
+    """The multi-region account: missing exposure (NULL, NaN, infinite, negative) counts as 0, cells need no exposure.
 
     Drops the per-class and cover columns of the full account and adds the hidden share of
     nonstrong cells.
@@ -143,7 +144,7 @@ def threshold_closure(points: DataFrame, thresholds: list[float], velocity: str
     aggs = [F.count(F.lit(1)).alias("n_valid_points"), F.count_if(strong).alias("n_strong_points"),
             F.count_if(in_control).alias("n_control_points")]
     for e in exposures:
-        aggs += [wsum(e, strong).alias(f"strong_{e}"), F.coalesce(F.sum(e), F.lit(0.0)).alias(f"_total_{e}")]
+        aggs += [exposure_sum(e, strong).alias(f"strong_{e}"), exposure_sum(e).alias(f"_total_{e}")]
     base = long.groupBy(*key).agg(*aggs)
     shares = [ratio_null("n_strong_points", "n_valid_points").alias("strong_point_fraction")]
     for e in exposures:

@@ -44,14 +44,17 @@ def sample_grid(points: DataFrame, lon: str, lat: str, src: DataFrame, grid: Gri
 
 def overlap_transfer(targets: DataFrame, tgrid: Grid, src: DataFrame, sgrid: Grid, value: str,
                      target: tuple[str, str], source: tuple[str, str] = ("src_row", "src_col"),
-                     out: str = "transferred") -> DataFrame:
+                     out: str = "transferred", mask: Column | None = None) -> DataFrame:
     """Area-weighted transfer: a source value is split over target cells by shared area.
 
     Each source cell lists the target cells it touches, so the pairs are summed per target with
     map-side combining and never joined. ``<out>_cover`` is the covered share of the target's
     area, where invalid source cells count as cover; ``<out>_valid_cover`` leaves them out. A
-    target that nothing covers has a NULL value.
+    target that nothing covers has a NULL value. If the source's width and height are known its cover is what
+    its extent covers, so source cells may be left out of a sparse table; such a target has the value 0. With
+    ``mask`` only the targets it holds for are served: the others have a NULL value and no cover.
     """
+    sized = sgrid.width is not None and sgrid.height is not None
     trow, tcol = target
     s = src.select(F.col(source[0]).alias("_sr"), F.col(source[1]).alias("_sc"), F.col(value).alias("_v"))
     r0, r1 = geo.candidate_rows(tgrid, geo.south(sgrid, "_sr"), geo.north(sgrid, "_sr"))
@@ -71,10 +74,12 @@ def overlap_transfer(targets: DataFrame, tgrid: Grid, src: DataFrame, sgrid: Gri
     )
     joined = targets.join(sums, (F.col(trow) == F.col("_tr")) & (F.col(tcol) == F.col("_tc")), "left")
     area = geo.cell_area_m2(tgrid, trow)
-    return joined.select(
-        *targets.columns, out,
-        F.coalesce(F.col("_cov") / area, F.lit(0.0)).alias(f"{out}_cover"),
-        F.coalesce(F.col("_vcov") / area, F.lit(0.0)).alias(f"{out}_valid_cover"),
+    cover = geo.extent_overlap_m2(tgrid, trow, tcol, sgrid) if sized else F.coalesce(F.col("_cov"), F.lit(0.0))
+    served = F.lit(True) if mask is None else F.coalesce(mask, F.lit(False))
+    return joined.withColumn("_on", served).select(
+        *targets.columns, F.when(F.col("_on") & (cover > 0), F.coalesce(F.col(out), F.lit(0.0))).alias(out),
+        F.when(F.col("_on"), cover / area).otherwise(F.lit(0.0)).alias(f"{out}_cover"),
+        F.when(F.col("_on"), F.coalesce(F.col("_vcov") / area, F.lit(0.0))).otherwise(F.lit(0.0)).alias(f"{out}_valid_cover"),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw_index, draw_uniform, hash32
 from ..functions.geo import block_row
-from ..functions.numeric import haldane_or, ratio0, wsum
+from ..functions.numeric import exposure_sum, haldane_or, ratio0, wsum
 from ..runtime import attach, cut, explode_specs, small_side, spread, with_scalars
 from .ordering import bounded_quantiles, global_rank
 
@@ -33,8 +33,8 @@ def stat_columns(strong: Column, majority: Column, population: str, builtup: str
         F.count_if(strong & majority).alias("strong_majority"), F.count_if(~strong).alias("nonstrong_cells"),
         F.count_if(~strong & ~majority).alias("nonstrong_not_majority"),
         F.count_if(~strong & majority).alias("nonstrong_majority"),
-        wsum(population, strong).alias("strong_pop"), wsum(population, hidden).alias("strong_pop_not_majority"),
-        wsum(builtup, strong).alias("strong_built"), wsum(builtup, hidden).alias("strong_built_not_majority"),
+        exposure_sum(population, strong).alias("strong_pop"), exposure_sum(population, hidden).alias("strong_pop_not_majority"),
+        exposure_sum(builtup, strong).alias("strong_built"), exposure_sum(builtup, hidden).alias("strong_built_not_majority"),
     ]
 
 
@@ -137,8 +137,7 @@ def robustness_sweep(cells: DataFrame, counts: dict[float, str], strong_threshol
 def support_cube(cells: DataFrame, velocity_key: Column, count: str, population: str, builtup: str) -> DataFrame:
     """Cells summed by a discrete velocity key and the number of good observations."""
     return cells.filter("base").groupBy(velocity_key.alias("vkey"), F.col(count).alias("n_obs")).agg(
-        F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum(population), F.lit(0.0)).alias("pop"),
-        F.coalesce(F.sum(builtup), F.lit(0.0)).alias("built"),
+        F.count(F.lit(1)).alias("cells"), exposure_sum(population).alias("pop"), exposure_sum(builtup).alias("built"),
     )
 
 
@@ -181,8 +180,8 @@ def shifted_blocks(cells: DataFrame, row: str, column: str, sizes: list[int], po
     hidden = ~F.col("majority")
     blocks = long.groupBy("block_size", "origin_shift", at(row).alias("_br"), at(column).alias("_bc")).agg(
         F.count(F.lit(1)).alias("cells"), F.count_if(hidden).alias("hid"),
-        F.sum(population).alias("pop"), wsum(population, hidden).alias("pop_h"),
-        F.sum(builtup).alias("built"), wsum(builtup, hidden).alias("built_h"),
+        exposure_sum(population).alias("pop"), exposure_sum(population, hidden).alias("pop_h"),
+        exposure_sum(builtup).alias("built"), exposure_sum(builtup, hidden).alias("built_h"),
     )
     return blocks.groupBy("block_size", "origin_shift").agg(
         F.count(F.lit(1)).alias("n_blocks"), F.sum("cells").alias("strong_cells"), F.sum("hid").alias("hidden_cells"),

@@ -77,8 +77,7 @@ _multi, _multi_rnd = _account_sql("region_id", False)
        from fx_flags) {_multi}""", "fx_flags", _multi_rnd, _INTS)
 def multi_region_summary(spark, d):
     """Per-region account where missing exposure counts as 0."""
-    f = V.flags(spark, d, require_exposure=()).fillna(0.0, ["population", "builtup_m2"])
-    return exposure.region_summary(f, ["region_id"], V.N_PAIRS, V.THRESHOLD)
+    return exposure.region_summary(V.flags(spark, d, require_exposure=()), ["region_id"], V.N_PAIRS, V.THRESHOLD)
 
 
 @query("contingency_or", """select region_id, count(*) filter (where strong and not majority) as a,

@@ -121,9 +121,12 @@ def set_overlap(spark, d):
 def dedupe_ordered(spark, d):
     """First occurrence of each whole text; digests are grouped, and only the first texts are fetched."""
     docs = V.table(spark, d, "documents")
-    first = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(
-        F.min("doc_id").alias("doc_id"), F.min_by("source", "doc_id").alias("source"), F.count(F.lit(1)).alias("copies"))
-    return first.drop("digest").join(docs.select("doc_id", "text"), "doc_id")
+    keyed = docs.withColumn("digest", F.sha2("text", 256))
+    first = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by("source", "doc_id").alias("source"), F.count(F.lit(1)).alias("copies"))
+    # by digest and id, of which a repeated row is one, and NULL meets NULL
+    texts = keyed.select(F.col("digest").alias("_digest"), F.col("doc_id").alias("_id"), "text")
+    found = first.join(texts, F.col("digest").eqNullSafe(F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return found.dropDuplicates(["digest", "doc_id"]).select("text", "doc_id", "source", "copies")
 
 
 @query("region_evidence", EVIDENCE_SQL, EVIDENCE_VIEWS, "adjusted_or boot_q025 boot_q975 bias_or_minus_one_proxy dominant_landcover_fraction cropland_fraction built_up_fraction "
