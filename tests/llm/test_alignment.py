@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from veilgrid.llm import alignment, queries
 from veilgrid.llm.packing import byte_symbols
 
-A_FILE, B_MODEL = queries.file_bytes(queries.TOKENIZER).decode(), queries.file_bytes(queries.PIECES)
+A_FILE, PATTERN, B_MODEL = queries.file_bytes(queries.TOKENIZER).decode(), queries.public_tokenizers.PATTERN, queries.file_bytes(queries.PIECES)
 DOC = "doc_id long, text string, key long, shard long, n_a long, row_ string"
 
 
@@ -57,7 +57,7 @@ def test_alignment_equals_brute_force(spark, pairs):
     words = "the Haus über naïve 12345 <|endoftext|> </s> <0x41> ▁ _x 日本語 🎉 don't  a\tb\nc éé   ﬁ \x00 ́".split(" ")
     texts = ["", None, " ", "  two  spaces ", "\n\n", "a", "x" * 20000, "word " * 4000] + [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(60)]
     df = spark.createDataFrame([(i, t, 0, 0, 0, "x") for i, t in enumerate(texts)], DOC).repartition(4)
-    got = alignment.align(df, "doc_id", "text", A_FILE, B_MODEL, pairs)
+    got = alignment.align(df, "doc_id", "text", A_FILE, PATTERN, B_MODEL, pairs)
     cols = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     want = brute(texts)
     assert sorted(map(tuple, got.select(*cols).collect())) == want
@@ -67,9 +67,9 @@ def test_alignment_equals_brute_force(spark, pairs):
 def test_repeated_and_null_ids_and_empty_table(spark):
     rows = [(1, "same words"), (1, "same words"), (None, "same"), (2, None)]
     df = spark.createDataFrame([(*r, 0, 0, 0, "x") for r in rows], DOC)
-    got = alignment.align(df, "doc_id", "text", A_FILE, B_MODEL).collect()
+    got = alignment.align(df, "doc_id", "text", A_FILE, PATTERN, B_MODEL).collect()
     assert sorted((str(r["doc_id"]), r["n_a"] > 0) for r in got) == [("1", True), ("1", True), ("2", False), ("None", True)]
-    assert alignment.align(spark.createDataFrame([], DOC), "doc_id", "text", A_FILE, B_MODEL).count() == 0
+    assert alignment.align(spark.createDataFrame([], DOC), "doc_id", "text", A_FILE, PATTERN, B_MODEL).count() == 0
 
 
 def test_perfect_hash_is_minimal_and_verified():

@@ -5,19 +5,20 @@ each, so the segments of the merged cuts are the links, and cuts that both share
 
 How many documents hold a pair is counted without a dictionary: the distinct pairs get a minimal perfect hash (levels of
 bit arrays, rank by running popcounts), built shard by shard on executors. Tasks add documents into dense vectors
-indexed by it, and the vectors are summed as a tree, in chunks. A second pass aligns the documents again and looks
-its pairs up; each slot's key is compared, so a pair outside the set is never taken for one inside. The pairs are
+indexed by it, and the vectors are summed as a tree, in chunks. A second pass aligns the documents again, from the ids
+that the first one kept, and looks the pairs up; each slot's key is compared, so a pair outside the set is never taken for one inside. The pairs are
 handled in ranges of bounded size, so what a task holds does not grow with the corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ RANGE = 1 << 22
 SHARD, CHUNK, FAN_IN = 1 << 15, 1 << 15, 16
 #: Slots of a level for each key that is left, and levels at most before keys are listed one by one.
 GAMMA, LEVELS = 2, 40
+#: Bytes of ids aligned at once in the second pass.
+IDS_BYTES = 1 << 20
 
 _U = np.uint64
 
@@ -39,33 +42,32 @@ _U = np.uint64
 class Aligner:
     """Ids, groups and links of texts under a byte-level tokenizer file (A) and a sentence piece model (B)."""
 
-    def __init__(self, a_file: str, b_model: bytes):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
+    def __init__(self, a_file: str, pattern: str, b_model: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_str(a_file)
-        self.a.encode_special_tokens = True
-        symbols = byte_symbols()
-        size = self.a.get_vocab_size()
-        spell = lambda t: bytes(symbols[c] for c in t) if t and all(c in symbols for c in t) else (t or "").encode()
-        self.a_bytes = [spell(self.a.id_to_token(i)) for i in range(size)]
+        import tiktoken  # the ids of the file's own library, which also records offsets and takes four times as long
+
+        data, symbols = json.loads(a_file), byte_symbols()
+        special = {t["content"] for t in data["added_tokens"]}
+        ranks = {bytes(symbols[c] for c in t): i for t, i in data["model"]["vocab"].items() if t not in special}
+        self.a = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        a_bytes = [b""] * (1 + max(ranks.values()))
+        for t, i in ranks.items():
+            a_bytes[i] = t
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_len, self.b_len = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.a_text, self.b_text = (np.array([str(i).encode() for i in range(len(x))], object) for x in (self.a_bytes, self.b_bytes))
+        self.a_len, self.b_len = (np.array([len(t) for t in x], np.int64) for x in (a_bytes, self.b_bytes))
+        self.a_text, self.b_text = (np.array([str(i).encode() for i in range(len(x))], object) for x in (a_bytes, self.b_bytes))
 
     def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of both for each text; empty where the tokens do not spell the text."""
+        """Ids of both for each text; empty where the tokens of B do not spell the text (those of A always do)."""
         some = [i for i, t in enumerate(texts) if t]
         none = np.zeros(0, np.int64)
         a, b = [none] * len(texts), [none] * len(texts)
-        spaced = [" " + texts[i] for i in some]
-        for i, t, x, y in zip(some, spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode([texts[i] for i in some], num_threads=1)):
-            x, raw = x.ids, t.encode()
-            if b"".join(map(self.a_bytes.__getitem__, x)) == raw and b"".join(map(self.b_bytes.__getitem__, y)) == raw:
-                a[i], b[i] = np.array(x, np.int64), np.array(y, np.int64)
+        for i, y in zip(some, self.b.encode([texts[i] for i in some], num_threads=1)):
+            spaced = " " + texts[i]
+            if b"".join(map(self.b_bytes.__getitem__, y)) == spaced.encode():
+                a[i], b[i] = self.a.encode_to_numpy(spaced, disallowed_special=()), np.array(y, np.int64)
         return a, b
 
 
@@ -73,19 +75,23 @@ class Links:
     """Links of a block of documents: the document, A token and B token of each, and the groups."""
 
     def __init__(self, aligner: Aligner, a: list[np.ndarray], b: list[np.ndarray]):
-        self.n_a, self.n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-        self.a, self.b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        self.n_a, self.n_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+        self.a, self.b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
         # one axis of bytes for the whole block: both sides of a document have the same bytes
-        self.a_end, self.b_end = np.cumsum(aligner.a_len[self.a]), np.cumsum(aligner.b_len[self.b])
-        cuts = np.union1d(self.a_end, self.b_end)
-        self.a_at, self.b_at = np.searchsorted(self.a_end, cuts), np.searchsorted(self.b_end, cuts)
-        self.shared = np.intersect1d(self.a_end, self.b_end, assume_unique=False)
-        self.doc = np.repeat(np.arange(len(a)), self.n_a)[self.a_at] if len(cuts) else np.zeros(0, np.int64)
+        a_end, b_end = np.cumsum(aligner.a_len[self.a]), np.cumsum(aligner.b_len[self.b])
+        marks = np.zeros(int(a_end[-1]) + 1 if len(a_end) else 1, np.uint8)
+        marks[a_end] = 1
+        marks[b_end] += 2
+        cuts = np.flatnonzero(marks)
+        ends_a, ends_b, both = (marks[cuts] & 1).astype(np.int64), (marks[cuts] >> 1).astype(np.int64), marks[cuts] == 3
+        self.a_at, self.b_at = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
+        owner = np.repeat(np.arange(len(a)), self.n_a)
+        self.doc = owner[self.a_at]
         self.key = (self.a[self.a_at] << 32) | self.b[self.b_at]
         self.n_links = np.bincount(self.doc, minlength=len(a))
-        ends = np.searchsorted(self.a_end, self.shared)
-        self.group_doc = np.repeat(np.arange(len(a)), self.n_a)[ends] if len(ends) else np.zeros(0, np.int64)
-        self.n_groups = np.bincount(self.group_doc, minlength=len(a))
+        self.n_groups = np.bincount(self.doc[both], minlength=len(a))
+        # tokens of each side up to the end of each group
+        self.a_upto, self.b_upto = self.a_at[both] + 1, self.b_at[both] + 1
 
     def of_documents(self) -> np.ndarray:
         """Keys of the block, once for each document that holds them."""
@@ -97,17 +103,15 @@ class Links:
 
     def digests(self, aligner: Aligner) -> list[str]:
         """SHA-256 of each document's groups as text; '' without tokens."""
-        a_group, b_group = np.searchsorted(self.shared, self.a_end), np.searchsorted(self.shared, self.b_end)
-        k = len(self.shared)
-        a_upto, b_upto = np.cumsum(np.bincount(a_group, minlength=k)), np.cumsum(np.bincount(b_group, minlength=k))
-        b_before = np.concatenate([[0], b_upto[:-1]]) if k else b_upto
-        # tokens and separators of all groups in one order
+        a_size, b_size = np.diff(self.a_upto, prepend=0), np.diff(self.b_upto, prepend=0)
+        # tokens and separators of all groups in one order: a group's A tokens come after all B tokens before it
         out = np.empty(2 * (len(self.a) + len(self.b)), object)
-        a_place, b_place = np.arange(len(self.a)) + b_before[a_group], np.arange(len(self.b)) + a_upto[b_group]
+        a_place = np.arange(len(self.a)) + np.repeat(self.b_upto - b_size, a_size)
+        b_place = np.arange(len(self.b)) + np.repeat(self.a_upto, b_size)
         out[2 * a_place], out[2 * b_place] = aligner.a_text[self.a], aligner.b_text[self.b]
         out[1::2] = b","
-        out[2 * a_place[a_upto - 1] + 1] = b"|"
-        out[2 * b_place[b_upto - 1] + 1] = b";"
+        out[2 * a_place[self.a_upto - 1] + 1] = b"|"
+        out[2 * b_place[self.b_upto - 1] + 1] = b";"
         stop = np.cumsum(2 * (self.n_a + self.n_b))
         return [hashlib.sha256(b"".join(out[s : e - 1].tolist())).hexdigest() if e > s else "" for s, e in zip((stop - 2 * (self.n_a + self.n_b)).tolist(), stop.tolist())]
 
@@ -220,14 +224,18 @@ def summed(vectors: DataFrame, tasks: int) -> DataFrame:
     return vectors
 
 
-def _pairs(make: Callable[[], Aligner]):
-    """Distinct pairs of a block with the number of its documents that hold each; one row a block."""
+def _tokens(make: Callable[[], Aligner]):
+    """First pass: ids of each document; on a block's first row its distinct pairs and how many of its documents hold each."""
 
     def run(texts: Texts, lo: int, hi: int) -> dict[str, pa.Array]:
         aligner = make()
-        keys, n = np.unique(Links(aligner, *aligner.ids(_strings(texts, lo, hi))).of_documents(), return_counts=True)
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(np.int64)))
-        return {"at": np.array([0]), "keys": one(keys), "counts": one(n)}
+        a, b = aligner.ids(_strings(texts, lo, hi))
+        keys, n = np.unique(Links(aligner, a, b).of_documents(), return_counts=True)
+        rest = [None] * (hi - lo - 1)
+        packed = lambda ids: pa.array([x.astype("<u4").tobytes() if x.size and x.max() >> 16 else x.astype("<u2").tobytes() for x in ids], pa.binary())
+        wide = lambda ids: pa.array([bool(x.size and x.max() >> 16) for x in ids])
+        first = lambda x: pa.array([x, *rest], pa.list_(pa.int64()))
+        return {"a": packed(a), "a_wide": wide(a), "b": packed(b), "b_wide": wide(b), "keys": first(keys), "counts": first(n)}
 
     return run
 
@@ -238,23 +246,34 @@ def _strings(texts: Texts, lo: int, hi: int) -> list[str]:
     return [raw[s:e].decode() for s, e in zip(offs, offs[1:])]
 
 
-def _lookup(make: Callable[[], Aligner], hasher, counts, best):
-    """Second pass over a block: what its documents hold, and sums over the pairs of this range."""
+def _lookup(make: Callable[[], Aligner], hasher, counts, best, keep: list[str]):
+    """Second pass: documents are aligned again from their ids, and the pairs of this range looked up."""
 
-    def run(texts: Texts, lo: int, hi: int) -> dict[str, pa.Array]:
+    def of(rows: pa.RecordBatch) -> pa.RecordBatch:
         aligner = make()
-        links = Links(aligner, *aligner.ids(_strings(texts, lo, hi)))
-        n = hi - lo
+        a, b = ([np.frombuffer(x, "<u4" if w else "<u2") for x, w in zip(rows.column(c).to_pylist(), rows.column(f"{c}_wide").to_pylist())] for c in ("a", "b"))
+        links = Links(aligner, a, b)
+        n = rows.num_rows
         distinct, back = np.unique(links.key, return_inverse=True)
         at = hasher.value(distinct)
         count = np.where(at >= 0, counts.value[np.maximum(at, 0)], 0) if len(counts.value) else np.zeros(len(distinct), np.int64)
         top = ((at >= 0) & (count == best.value[distinct >> 32]))[back]
-        return {
-            "n_a": pa.array(links.n_a, pa.int64()), "n_b": pa.array(links.n_b, pa.int64()), "n_groups": pa.array(links.n_groups, pa.int64()), "n_links": pa.array(links.n_links, pa.int64()),
-            "n_best": pa.array(np.bincount(links.doc[top], minlength=n), pa.int64()),
-            "count_sum": pa.array(np.bincount(links.doc, weights=count[back].astype(np.float64), minlength=n).astype(np.int64) if n else np.zeros(0, np.int64)),
-            "groups_sha256": pa.array(links.digests(aligner), pa.string()),
+        total = np.zeros(n, np.int64)
+        np.add.at(total, links.doc, count[back])
+        out = {
+            "n_a": pa.array(links.n_a), "n_b": pa.array(links.n_b), "n_groups": pa.array(links.n_groups, pa.int64()), "n_links": pa.array(links.n_links, pa.int64()),
+            "n_best": pa.array(np.bincount(links.doc[top], minlength=n), pa.int64()), "count_sum": pa.array(total), "groups_sha256": pa.array(links.digests(aligner), pa.string()),
         }
+        return pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], *out.values()], names=[*keep, *out])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.cumsum(pc.binary_length(batch.column("a")).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + IDS_BYTES, "right")))
+                yield of(batch.slice(at, to - at))
+                at = to
 
     return run
 
@@ -268,15 +287,15 @@ def _ready(name: str, files) -> Aligner:
     return _READY[name]
 
 
-def maker(spark: SparkSession, a_file: str, b_model: bytes) -> Callable[[], Aligner]:
+def maker(spark: SparkSession, a_file: str, pattern: str, b_model: bytes) -> Callable[[], Aligner]:
     """An aligner made once in each worker."""
-    files = spark.sparkContext.broadcast((a_file, b_model))
-    name = hashlib.sha256(a_file.encode() + b_model).hexdigest()
+    files = spark.sparkContext.broadcast((a_file, pattern, b_model))
+    name = hashlib.sha256(f"{a_file}\0{pattern}\0".encode() + b_model).hexdigest()
 
     return lambda: _ready(name, files)
 
 
-def align(docs: DataFrame, id_col: str, text_col: str, a_file: str, b_model: bytes, pairs: int = RANGE) -> DataFrame:
+def align(docs: DataFrame, id_col: str, text_col: str, a_file: str, pattern: str, b_model: bytes, pairs: int = RANGE) -> DataFrame:
     """One row for each document: n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     A link's count is the number of documents, of the whole table, that hold its pair of ids. Texts that are null,
@@ -285,8 +304,10 @@ def align(docs: DataFrame, id_col: str, text_col: str, a_file: str, b_model: byt
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text_"))
-    make = maker(spark, a_file, b_model)
-    held = stored(map_blocks(base, "text_", [], "keys array<long>, counts array<long>", _pairs(make), rows="at"), "pairs")
+    make = maker(spark, a_file, pattern, b_model)
+    tokens = map_blocks(base, "text_", ["doc_id"], "a binary, a_wide boolean, b binary, b_wide boolean, keys array<long>, counts array<long>", _tokens(make))
+    tokens = stored(tokens.withColumn("row_", F.monotonically_increasing_id()), "tokens")
+    held = tokens.where("keys is not null").select("keys", "counts")
     distinct = stored(held.select(F.explode("keys").alias("key")).distinct(), "distinct-pairs")
     n = distinct.count()
     ranges = max(1, -(-n // pairs))
@@ -297,8 +318,6 @@ def align(docs: DataFrame, id_col: str, text_col: str, a_file: str, b_model: byt
 
     sharded = distinct.select("key", F.arrow_udf(number, "long")("key").alias("shard"))
     built = stored(sharded.groupBy("shard").applyInArrow(_build_shard, "shard long, sizes array<long>, bits binary, keys binary"), "hash")
-    if ranges > 1:  # several passes must see the same rows
-        base = stored(base.withColumn("row_", F.monotonically_increasing_id()), "documents")
     tasks = spark.sparkContext.defaultParallelism
     highest = np.zeros(len(make().a_len), np.int64)
 
@@ -315,10 +334,11 @@ def align(docs: DataFrame, id_col: str, text_col: str, a_file: str, b_model: byt
             mph.destroy()
     best = spark.sparkContext.broadcast(highest)
     schema = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    keep = [c for c in base.columns if c != "text_"]
+    keep = ["doc_id"] if ranges == 1 else ["row_", "doc_id"]
 
     def looked_up(mph, counts) -> DataFrame:
-        return map_blocks(base, "text_", keep, schema, _lookup(make, mph, counts, best))
+        kept = ", ".join(f"{c} long" for c in keep)
+        return tokens.select(*keep, "a", "a_wide", "b", "b_wide").mapInArrow(_lookup(make, mph, counts, best, keep), f"{kept}, {schema}")
 
     if ranges == 1:
         return looked_up(mph, spark.sparkContext.broadcast(dense(sums[0])))

@@ -223,4 +223,4 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op13_perfect_hash_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment of the two tokenizers on every whole text, with counts of linked ids over all documents."""
-    return alignment.align(table(spark, sf_dir, "documents"), "doc_id", "text", file_bytes(TOKENIZER).decode(), file_bytes(PIECES))
+    return alignment.align(table(spark, sf_dir, "documents"), "doc_id", "text", file_bytes(TOKENIZER).decode(), public_tokenizers.PATTERN, file_bytes(PIECES))
