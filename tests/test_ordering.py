@@ -79,3 +79,33 @@ def test_first_by(spark, frame):
     got = ordering.first_by(spark.createDataFrame(frame), ["g"], [F.col("v"), F.col("id")], ["id", "v"]).toPandas().set_index("g")
     want = frame.sort_values(["v", "id"]).groupby("g").first()
     assert (got["id"].sort_index() == want["id"].sort_index()).all()
+
+
+def test_selection_of_hard_distributions(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    parts = {
+        "wide": 10.0 ** rng.uniform(-300, 300, 3000) * rng.choice([-1, 1], 3000), "ties": np.repeat([1.0, 2.0, 3.0], [1500, 2, 1500]),
+        "one": np.array([4.0]), "two": np.array([1.0, 2.0]), "same": np.full(999, 5.0), "smooth": rng.normal(size=5000),
+    }
+    frame = pd.DataFrame({"g": np.repeat(list(parts), [len(p) for p in parts.values()]), "x": np.concatenate(list(parts.values()))}).sample(frac=1, random_state=1)
+    df = spark.createDataFrame(frame)
+    probs = {"a": 0.0, "b": 0.0005, "c": 0.05, "d": 0.5, "e": 0.97, "f": 1.0}
+
+    def check():
+        got = ordering.exact_quantiles(df, "x", probs, ["g"]).toPandas().set_index("g")
+        for g, p in parts.items():
+            assert list(got.loc[g, list(probs)]) == pytest.approx(list(np.quantile(p, list(probs.values()))), rel=1e-12), g
+        near = ordering.exact_quantiles(df, "x", probs, ["g"], nearest=True).toPandas().set_index("g")
+        for g, p in parts.items():
+            assert list(near.loc[g, list(probs)]) == [np.sort(p)[round(q * (len(p) - 1))] for q in probs.values()], g
+
+    check()
+    # brackets that miss their ranks fall back to the whole range
+    monkeypatch.setattr(ordering, "MARGIN", -400.0)
+    check()
+
+
+def test_selection_of_nothing(spark):
+    none = spark.createDataFrame([], "g string, x double")
+    assert ordering.exact_quantiles(none, "x", {"m": 0.5}).first().m is None
+    assert ordering.exact_quantiles(none, "x", {"m": 0.5}, ["g"]).count() == 0

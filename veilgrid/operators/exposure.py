@@ -232,18 +232,15 @@ def distribution_stats(df: DataFrame, value: str, group: list[str] | None = None
                        below: tuple[float, ...] = (-5.0, -10.0), nearest: bool = False) -> DataFrame:
     """Count, extremes, mean, five quantiles and shares below limits, of finite values.
 
-    The data is read once, into counts per (group, value); all figures come from those.
+    Neither sorts nor stores the values.
     """
     group = group or []
-    x, n = F.col(value), F.col("_n")
-    counts = cut(df.filter(finite(value)).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n")))
-    share = lambda b: ratio_null(F.sum(F.when(x < b, n).otherwise(F.lit(0))), F.sum(n)).alias(f"fraction_lt_minus_{int(-b)}")
-    base = counts.groupBy(*group).agg(
-        F.sum(n).alias("finite_count"), F.min(x).alias("min"), ratio_null(F.sum(x * n), F.sum(n)).alias("mean"), F.max(x).alias("max"),
-        *[share(b) for b in below],
-    )
+    x, rows = F.col(value), df.filter(finite(value))
+    share = lambda b: ratio_null(F.count_if(x < b), F.count(F.lit(1))).alias(f"fraction_lt_minus_{int(-b)}")
+    base = rows.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("finite_count"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.max(x).alias("max"), *[share(b) for b in below])
     probs = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
-    return attach(base, exact_quantiles(counts, value, probs, group, nearest, "_n"), group, "left")
+    return attach(base, exact_quantiles(rows, value, probs, group, nearest), group, "left")
 
 
 def zonal_stats(members: DataFrame, zone: list[str], value: str, window_pixels: Column | None = None,

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
-from ..runtime import attach_to_rows, cut, small_side
+from ..runtime import attach_to_rows, cut, small_side, with_scalars
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
@@ -134,17 +134,65 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], group: l
                     nearest: bool = False, count: str | None = None) -> DataFrame:
     """Exact quantiles of a column of any size, one row per group.
 
-    Values are first counted per (group, value), so repeats shrink before any shuffle; rows that
-    already stand for several name their number in ``count``. Linear interpolation by default;
-    ``nearest`` takes the value at index round-half-even(p*(n-1)).
+    Linear interpolation by default; ``nearest`` takes the value at index round-half-even(p*(n-1)). The rows are
+    not sorted or stored: see ``_selected``. Rows that already stand for several name their number in ``count``;
+    those are counted per (group, value) and ranked.
     """
     group = group or []
-    size = F.count(F.lit(1)) if count is None else F.sum(count)
-    counted = df.filter(finite(value)).groupBy(*group, value).agg(size.alias("_c"))
+    if count is None:
+        return _selected(df, value, probs, group, nearest)
+    counted = df.filter(finite(value)).groupBy(*group, value).agg(F.sum(count).alias("_c"))
     ranked = running_total(counted, [value], "_c", group, out="_cum", total="_n")
     return ranked.groupBy(*group).agg(*_quantile_exprs(value, probs, nearest))
 
 
+#: Accuracy of the sketch that brackets a quantile, and how far the bracket reaches on both sides in units of its error.
+SKETCH, MARGIN = 10_000, 4.0
+
+
+def _selected(df: DataFrame, value: str, probs: dict[str, float], group: list[str], nearest: bool) -> DataFrame:
+    """Exact selection by narrowing: two passes over the rows, both combined before the shuffle.
+
+    A sketch of bounded size brackets each quantile of each group between two values. A second pass counts the rows
+    under a bracket and, one by one, the values inside it, about 2 * MARGIN / SKETCH of the rows; only those are
+    ranked. A bracket that proves not to hold its ranks is replaced by the group's whole range.
+    """
+    rows = df.filter(finite(value)).select(*group, value)
+    reach = MARGIN / SKETCH
+    marks = [min(1.0, max(0.0, p + side)) for p in probs.values() for side in (-reach, reach)]
+    stats = rows.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_least"), F.max(value).alias("_most"), F.percentile_approx(value, marks, SKETCH).alias("_s"))
+    stats = cut(stats.filter("_n > 0"))
+    sides = [(F.col("_least") if a == 0.0 else F.col("_s")[2 * i], F.col("_most") if b == 1.0 else F.col("_s")[2 * i + 1])
+             for i, (a, b) in enumerate(zip(marks[::2], marks[1::2]))]
+    bracket = lambda i, lo, hi: F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"))
+    picked = _picked(rows, value, stats.select(*group, "_n", F.array(*[bracket(i, *s) for i, s in enumerate(sides)]).alias("_b")), list(probs.values()), group, nearest)
+    missed = picked.filter("_missed").select(*group, "_i")
+    if not missed.isEmpty():
+        whole = stats.join(missed, group) if group else with_scalars(missed, stats)
+        whole = whole.groupBy(*group, "_n").agg(F.collect_set(F.struct(F.col("_i").alias("i"), F.col("_least").alias("lo"), F.col("_most").alias("hi"))).alias("_b"))
+        picked = picked.filter("not _missed").unionByName(_picked(rows, value, whole, list(probs.values()), group, nearest))
+    return picked.groupBy(*group).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(probs)])
+
+
+def _picked(rows: DataFrame, value: str, brackets: DataFrame, probs: list[float], group: list[str], nearest: bool) -> DataFrame:
+    """(group, _i, _q, _missed) of each bracket: the quantile, and whether the bracket does not hold its ranks."""
+    x = F.col(value)
+    near = rows.join(small_side(brackets, brackets.count()), group) if group else with_scalars(rows, brackets)
+    # a row counts for the brackets it lies in, by value, and for those it lies under, together
+    entries = F.filter(F.transform("_b", lambda t: F.when(x <= t["hi"], F.struct(t["i"].alias("i"), F.when(x >= t["lo"], x).alias("key")))), lambda e: e.isNotNull())
+    counted = near.select(*group, "_n", F.explode(entries).alias("_e")).groupBy(*group, F.col("_e.i").alias("_i"), "_n", F.col("_e.key").alias("_key")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running_total(counted, [F.col("_key").asc_nulls_first()], "_c", [*group, "_i"], out="_cum")
+    h = (F.col("_n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
+    lo, hi = (F.rint(h), F.rint(h)) if nearest else (F.floor(h), F.ceil(h))
+    at = lambda k: F.min(F.when(F.col("_cum") > k, F.col("_key")))
+    under = F.coalesce(F.sum(F.when(F.col("_key").isNull(), F.col("_c"))), F.lit(0))
+    found = ranked.groupBy(*group, "_i").agg(
+        at(lo).alias("_lo"), at(hi).alias("_hi"), F.max(h - F.floor(h)).alias("_frac"), ((under > F.max(lo)) | (F.max("_cum") <= F.max(hi))).alias("_missed"))
+    q = F.col("_lo") if nearest else F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
+    return cut(found.select(*group, "_i", q.alias("_q"), "_missed"))
+
+
 def exact_quantiles_of(df: DataFrame, values: list[str], probs: dict[str, float],
                        group: list[str] | None = None) -> DataFrame:
     """Exact quantiles of several columns in one pass: columns ``<value>_<prob name>``."""

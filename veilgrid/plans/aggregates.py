@@ -176,13 +176,10 @@ def weighted_or(spark, d):
        quantile_cont(builtup_m2, 0.5e0) as q50, quantile_cont(builtup_m2, 0.975e0) as q975 from fx_cells
        where builtup_m2 is not null group by landcover_code""", "fx_cells", "mean:4 q025:4 q50:4 q975:4", "landcover_code")
 def quantiles_linear(spark, d):
-    """Mean and quantiles from counts per value, so the cells are built once."""
-    from ..runtime import cut
-
-    g = V.flags(spark, d, region=False).filter("builtup_m2 is not null")
-    counts = cut(g.groupBy("landcover_code", "builtup_m2").agg(F.count(F.lit(1)).alias("n")))
-    mean = counts.groupBy("landcover_code").agg((F.sum(F.col("builtup_m2") * F.col("n")) / F.sum("n")).alias("mean"))
-    return mean.join(ordering.exact_quantiles(counts, "builtup_m2", resample.INTERVAL, ["landcover_code"], count="n"), "landcover_code")
+    """Mean and quantiles; the values are neither sorted nor stored."""
+    g = V.flags(spark, d, region=False).filter("builtup_m2 is not null").select("landcover_code", "builtup_m2")
+    mean = g.groupBy("landcover_code").agg(F.avg("builtup_m2").alias("mean"))
+    return mean.join(ordering.exact_quantiles(g, "builtup_m2", resample.INTERVAL, ["landcover_code"]), "landcover_code")
 
 
 def _stats_sql(q: str) -> str:
