@@ -162,6 +162,39 @@ def windows_meeting_polygons(windows: DataFrame, polygons: DataFrame, grid: Grid
         "_tr", "_tc", "_r0", "_r1", "_c0", "_c1")
 
 
+def edge_rows(polygons: DataFrame, rings: str = "rings") -> DataFrame:
+    """One row for each edge (x1, y1, x2, y2) of each polygon, holes included, so that no later step holds a whole polygon."""
+    keep = [c for c in polygons.columns if c != rings]
+    return polygons.select(*keep, F.explode(geo.polygon_edges(F.col(rings))).alias("_e")).select(*keep, "_e.*")
+
+
+def area_in_boxes(edges: DataFrame, key: list[str], box: tuple) -> DataFrame:
+    """Planar area of each polygon inside its box, as a sum over edge rows that carry the box (w, s, e, n).
+
+    Each edge gives its own signed area inside the box; outer rings and holes must run in opposite senses.
+    """
+    share = geo.edge_area_in_box("x1", "y1", "x2", "y2", *box)
+    return edges.groupBy(*key).agg(F.abs(F.sum(share)).alias("area"))
+
+
+def windows_on_polygons(windows: DataFrame, zone: str, polygons: DataFrame, polygon: list[str], grid: Grid,
+                        rings: str = "rings", tile: int = 64) -> DataFrame:
+    """(zone, polygon columns, area) of the window-polygon pairs whose bounding windows share a cell.
+
+    ``windows`` has index bounds r0, r1, c0, c1. Pairs are found on boxes alone; edges join the pairs afterwards, as rows.
+    """
+    edges = edge_rows(polygons.select(*polygon, rings), rings)
+    boxes = edges.groupBy(*polygon).agg(F.min("x1").alias("_w"), F.max("x1").alias("_e"), F.min("y1").alias("_s"), F.max("y1").alias("_n"))
+    bounds = geo.index_window(grid, "_w", "_s", "_e", "_n")
+    boxes = boxes.select(*polygon, *[b.alias(n) for b, n in zip(bounds, ("_r0", "_r1", "_c0", "_c1"))])
+    first = lambda a, b, key: F.col(key) == F.floor(F.greatest(a, b) / tile)
+    meet = (F.col("r0") < F.col("_r1")) & (F.col("_r0") < F.col("r1")) & (F.col("c0") < F.col("_c1")) & (F.col("_c0") < F.col("c1"))
+    pairs = _tiles(windows.select(zone, "r0", "r1", "c0", "c1"), ("r0", "r1", "c0", "c1"), tile).join(_tiles(boxes, ("_r0", "_r1", "_c0", "_c1"), tile), ["_tr", "_tc"])
+    pairs = pairs.filter(meet & first("r0", "_r0", "_tr") & first("c0", "_c0", "_tc")).select(
+        zone, *polygon, geo.west(grid, "c0").alias("w"), geo.north(grid, "r1").alias("s"), geo.west(grid, "c1").alias("e"), geo.north(grid, "r0").alias("n"))
+    return area_in_boxes(pairs.join(edges, polygon), [zone, *polygon], ("w", "s", "e", "n"))
+
+
 def cells_in_groups(cells: DataFrame, key: list[str], row: str, column: str, grid: Grid,
                     polygons: DataFrame, group: str, rings: str = "rings") -> DataFrame:
     """Union of a group's polygons over cells: in the union if in any member."""

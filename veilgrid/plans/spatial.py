@@ -10,7 +10,7 @@ from ..functions.labels import landcover_group
 from ..operators import exposure, joins, observe
 from . import views as V
 from .aggregates import _WINDOWS, _ZONAL, _ZONAL_RND, way_segments, zone_windows
-from .geometry import POLYGON_SQL, polygons
+from .geometry import EDGE_AREA_SQL, POLYGON_SQL, polygons
 from .registry import query
 
 TALL = Grid(100.0, 15.0, 0.01, 0.01, width=128, height=1 << 20)
@@ -130,15 +130,15 @@ def zonal_polygon_stats(spark, d):
     return exposure.zonal_stats(near, ["poly_id"], "builtup_m2", (F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0")), "inside")
 
 
-@query("argmax_overlap")
+@query("argmax_overlap", f"""with {_WINDOWS}, {POLYGON_SQL}, k as (select zone_id, poly_id, group_id, x1, y1, x2, y2, 100e0 + c0 * 0.01e0 as w, 100e0 + c1 * 0.01e0 as e, 15e0 - r1 * 0.01e0 as s, 15e0 - r0 * 0.01e0 as n
+         from w cross join edge), {EDGE_AREA_SQL}, q as (select zone_id, group_id, poly_id, abs(sum(part)) as area from share group by all),
+       g as (select zone_id, group_id, round(sum(area), 9) as area from q group by all)
+       select zone_id, arg_max(group_id, (area, -group_id)) as group_id, max(area) as area from g where area > 1e-8 group by zone_id""", "fx_grid", "area:9")
 def argmax_overlap(spark, d):
-    """For each zone window the polygon group with the largest shared area; its parts are tested."""
-    w = zone_windows(spark, d).withColumn("w", geo.west(TALL, "c0")).withColumn("e", geo.west(TALL, "c1"))
-    w = w.withColumn("n", geo.north(TALL, "r0")).withColumn("s", geo.north(TALL, "r1"))
-    near = joins.windows_meeting_polygons(w, polygons(spark, d), TALL)
-    share = near.withColumn("area", geo.edges_area_in_box(F.col("edges"), "w", "s", "e", "n"))
-    sums = share.groupBy("zone_id", "group_id").agg(F.sum("area").alias("area")).filter("area > 0")
-    return exposure.argmax_by(sums, ["zone_id"], "group_id", "area", "group_id").withColumn("area", F.round("area", 9))
+    """For each zone window the polygon group with the largest shared area (over 1e-8 square degrees); ties to the smallest group."""
+    shared = joins.windows_on_polygons(zone_windows(spark, d), "zone_id", polygons(spark, d), ["poly_id", "group_id"], TALL)
+    sums = shared.groupBy("zone_id", "group_id").agg(F.round(F.sum("area"), 9).alias("area")).filter("area > 1e-8")
+    return exposure.argmax_by(sums, ["zone_id"], "group_id", "area", "group_id")
 
 
 @query("join_segment_cells", """with seg as (select s.way_id, s.seq, s.seg_km, cast(floor((15e0 - (lat + lat2) / 2e0) / 0.01e0) as bigint) as r, cast(floor(((lon + lon2) / 2e0 - 100e0) / 0.01e0) as bigint) as c
