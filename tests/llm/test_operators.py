@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from tokenizers import Tokenizer
 
 from veilgrid.llm import blockknn, bpe, components, imatch, langid, licenses, neardup, packing, queries, roles, substrings, toxicity
 
@@ -143,8 +144,8 @@ def test_toxic_words_behind_disguise(spark):
 def test_packing_covers_every_token_once(spark):
     rng = random.Random(6)
     texts = ODD + [prose(rng, rng.randrange(1, 1500)) for _ in range(40)]
-    own = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
-    ids = [np.array([*own.encode_ordinary(t or ""), 0], "<u4") for t in texts]
+    own = Tokenizer.from_file(queries.TOKENIZER)  # which matches the file's added tokens first
+    ids = [np.array([*own.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for t in texts]
     rows = packing.pack(docs(spark, texts), "doc_id", "text", TOKENIZER, public_tokenizers.PATTERN, shard_tokens=4096).collect()
     seen = [0] * len(texts)
     windows = {}

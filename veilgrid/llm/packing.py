@@ -39,21 +39,21 @@ def byte_symbols() -> dict[str, int]:
 
 
 class TokenCutter:
-    """Ids of whole texts by the vocabulary of a byte-level tokenizer file; special strings are ordinary text."""
+    """Ids of whole texts by a byte-level tokenizer file; its added tokens are matched first, as its own library does."""
 
     def __init__(self, content: str, pattern: str, end_id: int):
         import tiktoken  # the same ids as the file's own library, without its records of offsets
 
         data, symbols = json.loads(content), byte_symbols()
-        special = {t["content"] for t in data["added_tokens"]}
+        special = {t["content"]: t["id"] for t in data["added_tokens"]}
         ranks = {bytes(symbols[c] for c in t): i for t, i in data["model"]["vocab"].items() if t not in special}
-        self.encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.end = np.array([end_id], np.uint32)
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return self.end
-        return np.concatenate([np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()), np.uint32), self.end])
+        return np.concatenate([np.asarray(self.encoding.encode_to_numpy(text, allowed_special="all"), np.uint32), self.end])
 
 
 def crc(ids: np.ndarray) -> int:
