@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.geo import Grid
-from ..functions.numeric import col, valid_value
+from ..functions.numeric import col, finite, valid_value
 from ..functions.text import strip_prefix
 from .ordering import with_next
 
@@ -118,38 +121,77 @@ def cells_in_windows(cells: DataFrame, row: str, column: str, windows: DataFrame
     return keyed.join(_tiles(windows, bounds, tile), ["_tr", "_tc"]).filter(hit).drop("_tr", "_tc")
 
 
+def edge_rows(polygons: DataFrame, rings: str = "rings") -> DataFrame:
+    """One row for each edge (x1, y1, x2, y2) of each polygon, holes included, so that no later step holds a whole polygon."""
+    keep = [c for c in polygons.columns if c != rings]
+    return polygons.select(*keep, F.explode(geo.polygon_edges(F.col(rings))).alias("_e")).select(*keep, "_e.*")
+
+
 def polygon_windows(polygons: DataFrame, rings: str, grid: Grid) -> DataFrame:
-    """Replace the rings by their edge list and add the clamped window of the bounding box.
+    """The polygons without their rings, with the clamped index window of their bounding box."""
+    keep = [c for c in polygons.columns if c != rings]
+    boxes = edge_rows(polygons, rings).groupBy(*keep).agg(F.min("x1").alias("_w"), F.max("x1").alias("_e"), F.min("y1").alias("_s"), F.max("y1").alias("_n"))
+    bounds = geo.index_window(grid, "_w", "_s", "_e", "_n")
+    return boxes.select(*keep, *[b.alias(n) for b, n in zip(bounds, ("r0", "r1", "c0", "c1"))])
+
 
-    Edges are listed once per polygon here, not once per candidate cell after the join.
+def polygon_spans(polygons: DataFrame, rings: str, grid: Grid) -> DataFrame:
+    """Scanline fill: (polygon columns, _r, _lo, _hi), the stretches of longitude inside a polygon at each row's centre.
+
+    Each edge lists the rows whose centre it crosses; sorted along a row, the crossings open and close by turns (even-odd,
+    so holes need no care). A centre is inside if _lo <= lon < _hi. The work is edges times the rows they cross, and no
+    polygon is ever one value. The columns besides the rings name a polygon.
     """
     keep = [c for c in polygons.columns if c != rings]
-    e = polygons.select(*keep, geo.polygon_edges(F.col(rings)).alias("edges"))
-    over = lambda f, k: f(F.transform("edges", lambda d: d[k]))
-    e = e.withColumns({"_w": over(F.array_min, "x1"), "_e": over(F.array_max, "x1"),
-                       "_s": over(F.array_min, "y1"), "_n": over(F.array_max, "y1")})
-    bounds = geo.index_window(grid, "_w", "_s", "_e", "_n")
-    return e.select(*keep, "edges", *[b.alias(n) for b, n in zip(bounds, ("r0", "r1", "c0", "c1"))])
+    place = lambda y: (F.lit(grid.tie_lat) - y) / F.lit(grid.py) - 0.5
+    top = F.greatest(F.lit(0).cast("bigint"), F.floor(place(F.greatest("y1", "y2"))))
+    last = F.ceil(place(F.least("y1", "y2")))
+    last = last if grid.height is None else F.least(last, F.lit(grid.height - 1).cast("bigint"))
+    sound = finite("x1") & finite("x2") & finite("y1") & finite("y2") & (F.col("y1") != F.col("y2"))
+    crossed = edge_rows(polygons, rings).withColumn("_r", F.explode(F.when(sound & (top <= last), F.sequence(top, last)))).withColumn("_lat", geo.center_lat(grid, "_r"))
+    crossed = crossed.filter((F.col("y1") > F.col("_lat")) != (F.col("y2") > F.col("_lat")))
+    at = F.col("x1") + (F.col("x2") - F.col("x1")) * (F.col("_lat") - F.col("y1")) / (F.col("y2") - F.col("y1"))
+    along = W.partitionBy(*keep, "_r").orderBy("_lo")
+    paired = crossed.select(*keep, "_r", at.alias("_lo")).withColumn("_hi", F.lead("_lo").over(along)).withColumn("_k", F.row_number().over(along))
+    return paired.filter((F.col("_k") % 2 == 1) & (F.col("_lo") < F.col("_hi"))).drop("_k")
 
 
 def cells_in_polygons(cells: DataFrame, row: str, column: str, grid: Grid, polygons: DataFrame,
                       rings: str = "rings", tile: int = 64, mark: str | None = None) -> DataFrame:
-    """Cells whose centre lies in a polygon: tile join on the bounding box, then the exact test.
+    """Cells whose centre lies in a polygon, met on the row and a tile of columns of the polygon's spans.
 
     With ``mark`` all cells of the bounding window are kept and the test is a flag column.
     """
-    near = cells_in_windows(cells, row, column, polygon_windows(polygons, rings, grid), tile=tile)
-    boxed = F.col(row).between(F.col("r0"), F.col("r1") - 1) & F.col(column).between(F.col("c0"), F.col("c1") - 1)
-    # CASE keeps the costly test behind the bounds, in whatever order conditions are merged
-    test = F.when(boxed, geo.point_in_edges(F.col("edges"), geo.center_lon(grid, column), geo.center_lat(grid, row))).otherwise(False)
+    keep = [c for c in polygons.columns if c != rings]
+    spans, lon = polygon_spans(polygons, rings, grid), geo.center_lon(grid, column)
     if mark:
-        return near.withColumn(mark, test).drop("edges")
-    return near.filter(test).drop("edges", "r0", "r1", "c0", "c1")
+        near = cells_in_windows(cells, row, column, polygon_windows(polygons, rings, grid), tile=tile)
+        lines = spans.groupBy(*keep, "_r").agg(F.collect_list(F.struct("_lo", "_hi")).alias("_spans"))
+        lines = lines.withColumnsRenamed({c: f"_p_{c}" for c in keep})
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in keep], F.col(row) == F.col("_r"))
+        flag = F.coalesce(F.exists("_spans", lambda s: (lon >= s["_lo"]) & (lon < s["_hi"])), F.lit(False))
+        return near.join(lines, same, "left").withColumn(mark, flag).drop("_r", "_spans", *[f"_p_{c}" for c in keep])
+    # a column more on each side, so that rounding cannot lose a cell
+    first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("_lo") - grid.tie_lon) / grid.px - 0.5))
+    last = F.ceil((F.col("_hi") - grid.tie_lon) / grid.px - 0.5)
+    last = last if grid.width is None else F.least(last, F.lit(grid.width - 1).cast("bigint"))
+    tiled = spans.withColumn("_tc", F.explode(F.when(first <= last, F.sequence(F.floor(first / tile), F.floor(last / tile)))))
+    keyed = cells.withColumn("_r", F.col(row).cast("bigint")).withColumn("_tc", F.floor(F.col(column) / tile))
+    return keyed.join(tiled, ["_r", "_tc"]).filter((lon >= F.col("_lo")) & (lon < F.col("_hi"))).drop("_r", "_tc", "_lo", "_hi")
+
+
+def area_in_boxes(edges: DataFrame, key: list[str], box: tuple) -> DataFrame:
+    """Planar area of each polygon inside its box, as a sum over edge rows that carry the box (w, s, e, n).
+
+    Each edge gives its own signed area inside the box; outer rings and holes must run in opposite senses.
+    """
+    share = geo.edge_area_in_box("x1", "y1", "x2", "y2", *box)
+    return edges.groupBy(*key).agg(F.abs(F.sum(share)).alias("area"))
 
 
 def windows_meeting_polygons(windows: DataFrame, polygons: DataFrame, grid: Grid, rings: str = "rings",
                              tile: int = 64) -> DataFrame:
-    """Window-polygon pairs whose bounding windows share a cell, each pair once.
+    """Window-polygon pairs whose bounding windows share a cell, each pair once; polygons come without their rings.
 
     Both sides are keyed by tiles; a pair sharing several tiles is kept in its first one.
     """
@@ -162,37 +204,16 @@ def windows_meeting_polygons(windows: DataFrame, polygons: DataFrame, grid: Grid
         "_tr", "_tc", "_r0", "_r1", "_c0", "_c1")
 
 
-def edge_rows(polygons: DataFrame, rings: str = "rings") -> DataFrame:
-    """One row for each edge (x1, y1, x2, y2) of each polygon, holes included, so that no later step holds a whole polygon."""
-    keep = [c for c in polygons.columns if c != rings]
-    return polygons.select(*keep, F.explode(geo.polygon_edges(F.col(rings))).alias("_e")).select(*keep, "_e.*")
-
-
-def area_in_boxes(edges: DataFrame, key: list[str], box: tuple) -> DataFrame:
-    """Planar area of each polygon inside its box, as a sum over edge rows that carry the box (w, s, e, n).
-
-    Each edge gives its own signed area inside the box; outer rings and holes must run in opposite senses.
-    """
-    share = geo.edge_area_in_box("x1", "y1", "x2", "y2", *box)
-    return edges.groupBy(*key).agg(F.abs(F.sum(share)).alias("area"))
-
-
 def windows_on_polygons(windows: DataFrame, zone: str, polygons: DataFrame, polygon: list[str], grid: Grid,
                         rings: str = "rings", tile: int = 64) -> DataFrame:
     """(zone, polygon columns, area) of the window-polygon pairs whose bounding windows share a cell.
 
     ``windows`` has index bounds r0, r1, c0, c1. Pairs are found on boxes alone; edges join the pairs afterwards, as rows.
     """
-    edges = edge_rows(polygons.select(*polygon, rings), rings)
-    boxes = edges.groupBy(*polygon).agg(F.min("x1").alias("_w"), F.max("x1").alias("_e"), F.min("y1").alias("_s"), F.max("y1").alias("_n"))
-    bounds = geo.index_window(grid, "_w", "_s", "_e", "_n")
-    boxes = boxes.select(*polygon, *[b.alias(n) for b, n in zip(bounds, ("_r0", "_r1", "_c0", "_c1"))])
-    first = lambda a, b, key: F.col(key) == F.floor(F.greatest(a, b) / tile)
-    meet = (F.col("r0") < F.col("_r1")) & (F.col("_r0") < F.col("r1")) & (F.col("c0") < F.col("_c1")) & (F.col("_c0") < F.col("c1"))
-    pairs = _tiles(windows.select(zone, "r0", "r1", "c0", "c1"), ("r0", "r1", "c0", "c1"), tile).join(_tiles(boxes, ("_r0", "_r1", "_c0", "_c1"), tile), ["_tr", "_tc"])
-    pairs = pairs.filter(meet & first("r0", "_r0", "_tr") & first("c0", "_c0", "_tc")).select(
+    shapes = polygons.select(*polygon, rings)
+    pairs = windows_meeting_polygons(windows.select(zone, "r0", "r1", "c0", "c1"), shapes, grid, rings, tile).select(
         zone, *polygon, geo.west(grid, "c0").alias("w"), geo.north(grid, "r1").alias("s"), geo.west(grid, "c1").alias("e"), geo.north(grid, "r0").alias("n"))
-    return area_in_boxes(pairs.join(edges, polygon), [zone, *polygon], ("w", "s", "e", "n"))
+    return area_in_boxes(pairs.join(edge_rows(shapes, rings), polygon), [zone, *polygon], ("w", "s", "e", "n"))
 
 
 def cells_in_groups(cells: DataFrame, key: list[str], row: str, column: str, grid: Grid,
