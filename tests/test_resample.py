@@ -96,10 +96,23 @@ def test_monte_carlo_direct(spark):
     t = resample.monte_carlo(df, 30, 3, 7, (3.0, 8.0), (2, 5), (0.8, 1.2)).toPandas()
     assert len(t) == 30
     for r in t.itertuples():
-        hit = (f["vlm_mm_yr"] <= -(r.threshold_bin * 0.01) + 1e-9) & (f["n_obs"] < r.min_count)
+        hit = (f["vlm_mm_yr"] <= -r.threshold) & (f["n_obs"] < r.min_count)
         assert r.hidden_population == pytest.approx(f.loc[hit, "population"].sum() * r.scale)
 
 
+def test_monte_carlo_meets_thresholds_exactly(spark):
+    df, f = cells(spark)
+    # velocities on the very thresholds of the iterations, and next to them
+    t = resample.monte_carlo(df, 200, 3, 7, (3.0, 8.0), (2, 5), (1.0, 1.0)).select("threshold", "min_count").toPandas()
+    rows = [(True, -float(v), 1, 1.0, 1.0) for x in t["threshold"] for v in (x, np.nextafter(x, 0), np.nextafter(x, 9))]
+    at = spark.createDataFrame(rows, "base boolean, vlm_mm_yr double, n_obs int, population double, builtup_m2 double")
+    got = resample.monte_carlo(at, 200, 3, 7, (3.0, 8.0), (2, 5), (1.0, 1.0), bin_mm=0.3).toPandas()
+    falls = np.array([-r[1] for r in rows])
+    assert len(got) == 200
+    for r in got.itertuples():
+        assert r.hidden_population == (falls >= r.threshold).sum()
+
+
 def test_null_summary(spark):
     draws = spark.createDataFrame([(float(i), 100.0) for i in range(19)], "m double, o double")
     r = resample.null_summary(draws, "m", "o").first()

@@ -254,34 +254,41 @@ def monte_carlo(cells: DataFrame, iterations: int, seed: int, n_pairs: int, velo
                 builtup: str = "builtup_m2") -> DataFrame:
     """Hidden totals under random thresholds and exposure scales: one row per iteration.
 
-    Cells become a cube of (velocity bin, observation count); a running sum over bins turns each
-    scenario into an equi-join on (bin, count).
+    Each cell is placed between the neighbouring thresholds of all iterations, exactly: bins of ``bin_mm`` find the few
+    thresholds near its velocity, which are then compared one by one. Cells so become a cube of (place, observation
+    count), whose size follows the iterations, and a running sum over places answers every scenario.
     """
     lo, hi = velocity_range
     c_lo, c_hi = count_range
-    bin_of = lambda v: F.floor(v / bin_mm + 1e-6)
-    cube = support_cube(cells.filter(F.col(velocity) <= -lo), bin_of(-F.col(velocity)), count, population, builtup)
-    cuts = cube.withColumn("cut", F.explode(F.sequence(F.lit(c_lo), F.lit(c_hi)))).filter(F.col("n_obs") < F.col("cut"))
-    sums = cuts.groupBy("cut", F.least("vkey", F.lit(round(hi / bin_mm)).cast("bigint")).alias("bin")).agg(
-        F.sum("pop").alias("pop"), F.sum("built").alias("built")
-    )
-    # every bin of the threshold range, so that each scenario finds its place; a fixed number of rows
     spark = cells.sparkSession
-    bins = spark.range(round(lo / bin_mm), round(hi / bin_mm) + 1).select(
-        F.col("id").alias("bin"), F.explode(F.sequence(F.lit(c_lo), F.lit(c_hi))).alias("cut")
-    )
-    w = W.partitionBy("cut").orderBy(F.col("bin").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    at_least = bins.join(sums, ["cut", "bin"], "left").select(
-        "cut", "bin", *[F.sum(F.coalesce(F.col(c), F.lit(0.0))).over(w).alias(c) for c in ("pop", "built")]
-    )
     u = lambda name: draw_uniform(seed, name, F.col("iteration"))
     scen = spark.range(iterations).withColumnRenamed("id", "iteration").select(
-        "iteration", bin_of(F.lit(lo) + u("threshold") * (hi - lo)).alias("bin"),
+        "iteration", (F.lit(lo) + u("threshold") * (hi - lo)).alias("threshold"),
         (F.lit(c_lo) + F.floor(u("count") * (c_hi - c_lo + 1))).cast("int").alias("cut"),
         (F.lit(scale_range[0]) + u("scale") * (scale_range[1] - scale_range[0])).alias("scale"),
     )
-    return scen.join(at_least, ["cut", "bin"]).select(
-        "iteration", F.col("bin").alias("threshold_bin"), F.col("cut").alias("min_count"), "scale",
+    # place = number of thresholds at or under a value; these windows hold ``iterations`` rows, a parameter
+    everything = W.partitionBy(F.lit(0)).orderBy("threshold")
+    scen = cut(scen.withColumn("place", F.count(F.lit(1)).over(everything.rangeBetween(W.unboundedPreceding, W.currentRow))))
+    bin_of = lambda v: F.floor(v / bin_mm)
+    bins = scen.groupBy(bin_of(F.col("threshold")).alias("bin")).agg(F.collect_list("threshold").alias("_near"), F.count(F.lit(1)).alias("_m"))
+    bins = spark.range(math.floor(lo / bin_mm), math.floor(hi / bin_mm) + 2).withColumnRenamed("id", "bin").join(bins, "bin", "left")
+    under = F.coalesce(F.sum("_m").over(W.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.select("bin", under.alias("_under"), F.coalesce("_near", F.array().cast("array<double>")).alias("_near"))
+    fast = cells.filter(F.col("base") & (F.col(velocity) <= -lo)).select(
+        (-F.col(velocity)).alias("_a"), F.lit(True).alias("base"), count, population, builtup)
+    keyed = fast.withColumn("bin", F.least(bin_of(F.col("_a")), F.lit(math.floor(hi / bin_mm) + 1).cast("bigint")))
+    placed = keyed.join(F.broadcast(bins), "bin")  # a row a bin and the thresholds, both set by parameters
+    place = F.col("_under") + F.size(F.filter("_near", lambda t: t <= F.col("_a")))
+    cube = support_cube(placed, place, count, population, builtup)
+    cuts = cube.withColumn("cut", F.explode(F.sequence(F.lit(c_lo), F.lit(c_hi)))).filter(F.col("n_obs") < F.col("cut"))
+    sums = cuts.groupBy("cut", F.col("vkey").alias("place")).agg(F.sum("pop").alias("pop"), F.sum("built").alias("built"))
+    # scenarios and places in one order, highest first: a scenario sees all places at or over its own
+    rows = scen.unionByName(sums, allowMissingColumns=True)
+    w = W.partitionBy("cut").orderBy(F.col("place").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
+    seen = rows.select("iteration", "threshold", "cut", "scale", *[F.coalesce(F.sum(c).over(w), F.lit(0.0)).alias(c) for c in ("pop", "built")])
+    return seen.filter("iteration is not null").select(
+        "iteration", "threshold", F.col("cut").alias("min_count"), "scale",
         (F.col("pop") * F.col("scale")).alias("hidden_population"),
         (F.col("built") * F.col("scale") / 1e6).alias("hidden_builtup_km2"),
     )

@@ -174,9 +174,9 @@ _MC = 5000
 @query("monte_carlo_scenarios", f"""with u as (select i, cast('0x' || substr(md5(concat_ws('|', '{SEED}', 'threshold', cast(i as varchar))), 1, 8) as bigint) / 4294967296e0 as a,
          cast('0x' || substr(md5(concat_ws('|', '{SEED}', 'count', cast(i as varchar))), 1, 8) as bigint) / 4294967296e0 as b,
          cast('0x' || substr(md5(concat_ws('|', '{SEED}', 'scale', cast(i as varchar))), 1, 8) as bigint) / 4294967296e0 as c from (select unnest(range({_MC})) as i)),
-       s as (select i, cast(floor((3e0 + a * 5e0) / 0.01e0 + 1e-6) as bigint) as bin, 2 + cast(floor(b * 4e0) as int) as cnt, 0.8e0 + c * 0.4e0 as scale from u),
-       k as (select cast(floor(-vlm_mm_yr / 0.01e0 + 1e-6) as bigint) as bin, n_obs, sum(population) as pop, sum(builtup_m2) as built from fx_flags where base group by 1, 2),
-       r as (select s.i, coalesce(sum(pop), 0e0) * any_value(scale) as pop, coalesce(sum(built), 0e0) * any_value(scale) / 1e6 as built from s left join k on k.bin >= s.bin and k.n_obs < s.cnt group by s.i),
+       s as (select i, 3e0 + a * 5e0 as threshold, 2 + cast(floor(b * 4e0) as int) as cnt, 0.8e0 + c * 0.4e0 as scale from u),
+       k as (select -vlm_mm_yr as fall, n_obs, sum(population) as pop, sum(builtup_m2) as built from fx_flags where base group by 1, 2),
+       r as (select s.i, coalesce(sum(pop), 0e0) * any_value(scale) as pop, coalesce(sum(built), 0e0) * any_value(scale) / 1e6 as built from s left join k on k.fall >= s.threshold and k.n_obs < s.cnt group by s.i),
        l as (unpivot (select i, pop as hidden_population, built as hidden_builtup_km2 from r) on hidden_population, hidden_builtup_km2 into name metric value v)
        select metric, quantile_cont(v, 0.05e0) as p05, quantile_cont(v, 0.5e0) as p50, quantile_cont(v, 0.95e0) as p95 from l group by metric""", "fx_flags", "p05:4 p50:4 p95:4")
 def monte_carlo_scenarios(spark, d):
