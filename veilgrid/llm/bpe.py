@@ -12,6 +12,7 @@ share it, so output lags by a few of the longest tokens.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -301,6 +302,27 @@ class Decoder:
         yield machine.finish()
 
 
+#: Machines of this worker, which serves many tasks; their tables of pieces stay warm and are bounded.
+_READY: dict[tuple, object] = {}
+
+
+def _encoder(name: str, content, pattern: str, usual_pattern: str | None):
+    key = ("encode", name, pattern, usual_pattern)
+    if key not in _READY:
+        machine, split = Transducer(read_ranks(content.value)), Splitter(pattern, usual_pattern)
+        look = Pieces(lambda piece: machine.encode(piece.encode())).__getitem__
+        _READY[key] = lambda text: b"".join(map(look, split(text))) if text else b""
+    return _READY[key]
+
+
+def _decoder(name: str, content):
+    key = ("decode", name)
+    if key not in _READY:
+        decoder = Decoder(read_ranks(content.value))
+        _READY[key] = lambda cell: b"".join(decoder.stream(np.frombuffer(cell, "<u4"))) if cell else b""
+    return _READY[key]
+
+
 def _mapped(df: DataFrame, column: str, keep: list[str], name: str, make) -> DataFrame:
     """``keep`` and a binary column ``name`` that ``make()``'s function computes from ``column``."""
 
@@ -326,20 +348,13 @@ def encode(df: DataFrame, text: str, keep: list[str], ranks_file: bytes, pattern
     """
     content = df.sparkSession.sparkContext.broadcast(ranks_file)  # one vocabulary file
 
-    def make():
-        machine, split = Transducer(read_ranks(content.value)), Splitter(pattern, usual_pattern)
-        look = Pieces(lambda piece: machine.encode(piece.encode())).__getitem__
-        return lambda text: b"".join(map(look, split(text))) if text else b""
-
-    return _mapped(df, text, keep, name, make)
+    digest = hashlib.sha256(ranks_file).hexdigest()
+    return _mapped(df, text, keep, name, lambda: _encoder(digest, content, pattern, usual_pattern))
 
 
 def decode(df: DataFrame, ids: str, keep: list[str], ranks_file: bytes, name: str = "decoded") -> DataFrame:
     """``keep`` and the decoded bytes of ids in the form that ``encode`` gives; null ids give no bytes."""
     content = df.sparkSession.sparkContext.broadcast(ranks_file)
 
-    def make():
-        decoder = Decoder(read_ranks(content.value))
-        return lambda cell: b"".join(decoder.stream(np.frombuffer(cell, "<u4"))) if cell else b""
-
-    return _mapped(df, ids, keep, name, make)
+    digest = hashlib.sha256(ranks_file).hexdigest()
+    return _mapped(df, ids, keep, name, lambda: _decoder(digest, content))

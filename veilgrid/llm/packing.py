@@ -10,6 +10,7 @@ rest of it seeds the next window, so only the last window of a partition is shor
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
 from collections.abc import Iterator
@@ -56,6 +57,17 @@ class TokenCutter:
         return np.concatenate([np.asarray(self.encoding.encode_to_numpy(text, allowed_special="all"), np.uint32), self.end])
 
 
+#: Cutters of this worker, which serves many tasks.
+_READY: dict[tuple, TokenCutter] = {}
+
+
+def _cutter(name: str, content, pattern: str, end_id: int) -> TokenCutter:
+    key = (name, pattern, end_id)
+    if key not in _READY:
+        _READY[key] = TokenCutter(content.value, pattern, end_id)
+    return _READY[key]
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -73,9 +85,10 @@ def content_key(ids: np.ndarray) -> int:
 def cut_windows(df: DataFrame, id_col: str, text_col: str, tokenizer_json: str, pattern: str, window: int, end_id: int) -> DataFrame:
     """Rows of three kinds from one pass: full windows (``ids`` null), units with their ids, and each task's document frequencies."""
     content = df.sparkSession.sparkContext.broadcast(tokenizer_json)  # one vocabulary file
+    digest = hashlib.sha256(tokenizer_json.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = TokenCutter(content.value, pattern, end_id)
+        cutter = _cutter(digest, content, pattern, end_id)
         df_counts = np.zeros(1 << 16, np.int64)
         names = ["doc_id", "doc_tokens", "start", "length", "ids_crc32", "ids", "content_key", "df"]
         kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64(), pa.list_(pa.struct([("token", pa.int32()), ("n", pa.int64())]))]
