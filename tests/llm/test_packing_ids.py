@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from tokenizers import Tokenizer
 
 from veilgrid.llm import packing, queries
@@ -16,3 +17,10 @@ def test_ids_equal_the_library():
     for t in texts:
         assert cutter(t).tolist() == [*own.encode(t, add_special_tokens=False).ids, 0]
     assert cutter("hello <|endoftext|> world").tolist() == [31373, 220, 50256, 995, 0]
+
+
+def test_order_by_score_is_the_whole_order():
+    rng = np.random.default_rng(1)
+    for n in (0, 5, 129, 1000):
+        score = rng.integers(-1, 6, n).astype(float) + (rng.random(n) < 0.2) * rng.random(n)
+        assert list(packing.by_score(score)) == np.argsort(-score, kind="stable").tolist()

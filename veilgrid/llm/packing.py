@@ -146,6 +146,18 @@ class Shard:
         return np.bincount(self.unit[rows], weights=self.weight[rows], minlength=self.size)
 
 
+def by_score(score: np.ndarray, few: int = 32) -> Iterator[int]:
+    """Places by falling score, ties by position; the few best are found without sorting the rest."""
+    done = 0
+    if len(score) > 4 * few:
+        least = np.partition(score, len(score) - few)[len(score) - few]
+        best = np.flatnonzero(score >= least)
+        best = best[np.argsort(-score[best], kind="stable")].tolist()
+        yield from best
+        done = len(best)
+    yield from np.argsort(-score, kind="stable")[done:].tolist()
+
+
 def fill(units: list[np.ndarray], shard: Shard, window: int, room: int, rest: tuple[int, int] | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Windows as lists of (unit, from, to). The first window has ``room`` tokens left.
 
@@ -169,7 +181,7 @@ def fill(units: list[np.ndarray], shard: Shard, window: int, room: int, rest: tu
         if left:
             score = shard.scores(units[seed])
             score[used] = -1
-            for unit in np.argsort(-score, kind="stable").tolist():
+            for unit in by_score(score):
                 if not left or used[unit]:
                     break
                 used[unit] = True
