@@ -112,6 +112,24 @@ def test_license_places(spark):
     assert got[len(ODD) + 2]["labels"] == "cc-by,cc-by-nc" and got[len(ODD) + 3]["labels"] == "mit"
 
 
+def test_license_spans_are_verified(spark):
+    bsd = next(t for t, v in licenses.TEMPLATES.items() if v == "bsd").split()
+    texts = ["bsd 3 clause bsd 3 clause", "permission is hereby " * 14, " ".join(bsd[10:] + bsd[:10]), " ".join(bsd[:9] + ["own"] + bsd[9:]), "BSD-3 Clause,\n license",
+             "bsd 3 clause license " * 20_000, "x " * 300_000 + " ".join(bsd), " ".join(bsd[:6]) + " z" * 40 + " " + " ".join(bsd[6:12])]
+    got = [r["labels"] for r in licenses.scan(docs(spark, texts), "doc_id", "text").orderBy("doc_id").collect()]
+    assert got == ["", "", "", "bsd", "bsd", "bsd", "bsd", ""]
+
+
+def test_longest_span_equals_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        hits = sorted({(rng.randrange(30), rng.randrange(8)) for _ in range(rng.randrange(1, 25))})
+        best = {}
+        for i, (p, a) in enumerate(hits):
+            best[i] = 1 + max([best[j] for j, (q, b) in enumerate(hits[:i]) if q < p and b < a and abs(p - a - q + b) <= 3], default=0)
+        assert licenses.longest_span([{"place": p, "at": a} for p, a in hits], 3, 8)[0] == max(best.values())
+
+
 def test_languages(spark):
     rng = random.Random(4)
     parts = {"xx": ["kor", "tav", "mel", "zin"], "yy": ["ouè", "ché", "rea", "ent"]}
