@@ -360,12 +360,9 @@ def weigh(docs: DataFrame, text: str, keep: list[str], scorer: Scorer, with_text
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Texts with their label; several labels of one id count as toxic if one is.
-
-    The labels grow with the documents, so both sides are shuffled at every size and neither is broadcast.
-    """
+    """Texts with their label; several labels of one id count as toxic if one is. Spark picks the join by measured size."""
     known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("id_")).agg(F.max("toxic").alias("toxic"))
-    return docs.select(F.col(id_col).alias("id_"), text).join(known.hint("merge"), "id_").select(text, "toxic")
+    return docs.select(F.col(id_col).alias("id_"), text).join(known, "id_").select(text, "toxic")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, keep: list[str], learn_from=None, with_text: bool = False) -> DataFrame:
