@@ -74,10 +74,12 @@ def test_sandwich(spark, data):
 
 def test_leave_block_out(spark, data):
     x, y, t, block = data
-    blocks, fit = B.leave_block_out(rows(spark, data), 4, ["block"])
-    for r in blocks.collect():
+    got = B.leave_block_out(rows(spark, data), 4, ["block"], at_once=3).collect()
+    assert sorted(r.block for r in got) == sorted(set(block.tolist())) and all(r.converged for r in got)
+    for r in got:
         keep = block != r.block
-        assert fit.beta[r.fit] == pytest.approx(newton(x[keep], y[keep], t[keep])[0], abs=1e-7)
+        beta, cov, _ = newton(x[keep], y[keep], t[keep])
+        assert r.beta == pytest.approx(beta, abs=1e-7) and r.cov == pytest.approx(cov.ravel(), abs=1e-7)
         assert r.n_cells_left_out == (~keep).sum()
 
 
@@ -92,6 +94,25 @@ def test_bootstrap_uses_draw_counts(spark, data):
         assert fit.beta[r] == pytest.approx(newton(x, y, t, counts[r][block])[0], abs=1e-7)
 
 
+def test_left_out_of_nothing(spark, data):
+    assert B.leave_block_out(rows(spark, data).limit(0), 4, ["block"]).count() == 0
+
+
+def test_replicate_effect_weights(spark, data):
+    block = data[3]
+    base = rows(spark, data).withColumns({"region": F.when(F.col("block") % 2 == 0, "a").otherwise("b"), "pop_z": F.col("x")[1], "built_z": F.col("x")[2],
+                                          "lc": F.when(F.col("y") > 1, "wet").otherwise("dry")})
+    tagged = B.with_draws(base, ["block"], ["region"], 5, 3)
+    terms = ["intercept", "strong_subsidence", "strong_x_b", "strong_x_lc_wet", "strong_x_population_z", "strong_x_builtup_z"]
+    got = B.replicate_effect_weights(tagged, ["block"], "region", ["a", "b"], "lc", terms, 5)
+    cells = tagged.toPandas()
+    for rep in range(5):
+        drawn = np.repeat(np.arange(len(cells)), [list(m).count(rep) for m in cells["m"]])
+        for name, own in (("a", cells.iloc[drawn][lambda f: f["region"] == "a"]), ("b", cells.iloc[drawn][lambda f: f["region"] == "b"]), ("ALL", cells.iloc[drawn])):
+            want = [0, 1, (own["region"] == "b").mean(), (own["lc"] == "wet").mean(), own["pop_z"].mean(), own["built_z"].mean()]
+            assert got[name][rep] == pytest.approx(want)
+
+
 def test_infer_trials(spark):
     df = spark.createDataFrame([(3, 3 / 7), (0, 0.0), (5, 5 / 7)], "n int, f double")
     assert B.infer_trials(df, "n", "f").first().n_pairs == 7

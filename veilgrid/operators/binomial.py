@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import Z95, expit
-from ..runtime import cut, small_side, spread
+from ..runtime import cut, scratch, small_side, spread
 from .ordering import bounded_quantiles, zscore
 from .resample import block_draws
 
@@ -327,14 +327,115 @@ def summarize_draws(spark, estimates: dict[str, np.ndarray], ok: np.ndarray, nam
     )
 
 
-def leave_block_out(rows: DataFrame, p: int, block: list[str], ridge: float = 1e-6,
-                    start: np.ndarray | None = None) -> tuple[DataFrame, Fit]:
-    """Refit without each block. Returns (block, fit number, rows left out) and the fits."""
+def replicate_effect_weights(tagged: DataFrame, block: list[str], region: str, regions: list, landcover: str, terms: list[str],
+                             reps: int) -> dict[str, np.ndarray]:
+    """Mean gradient of the strong effect over the cells each replicate drew, by region and over ALL: (reps, terms) each.
+
+    Cells are summed to blocks once; a replicate sums the blocks it drew. ``tagged`` comes from
+    ``with_draws``. The driver holds a row for each replicate and region. A region whose blocks a replicate did not draw is NaN there.
+    """
+    prefix = "strong_x_lc_"
+    cols = {"n_": F.lit(1.0), "strong_x_population_z": F.col("pop_z"), "strong_x_builtup_z": F.col("built_z")}
+    cols |= {t: (F.col(landcover) == t[len(prefix):]).cast("double") for t in terms if t.startswith(prefix)}
+    sums = tagged.groupBy(region, *block, "m").agg(*[F.sum(c).alias(n) for n, c in cols.items()])
+    drawn = sums.withColumn("rep", F.explode("m")).groupBy(region, "rep").agg(*[F.sum(n).alias(n) for n in cols]).toPandas()
+    out, everything, total = {}, np.zeros((reps, len(terms))), np.zeros((reps, 1))
+    for level in regions:
+        own = drawn[drawn[region] == level]
+        w = np.zeros((reps, len(terms)))
+        n = np.zeros((reps, 1))
+        rep = own["rep"].to_numpy(int)
+        n[rep, 0] = own["n_"]
+        slug = f"strong_x_{str(level).lower().replace(' ', '_')}"
+        for i, t in enumerate(terms):
+            if t in ("strong_subsidence", slug):
+                w[:, i] = n[:, 0]
+            elif t in cols:
+                w[rep, i] = own[t]
+        everything += w
+        total += n
+        out[str(level)] = np.divide(w, n, out=np.full_like(w, np.nan), where=n > 0)
+    out["ALL"] = np.divide(everything, total, out=np.full_like(everything, np.nan), where=total > 0)
+    return out
+
+
+_LEFT_OUT = "fit long, beta array<double>, cov array<double>, converged boolean, n_iter int, log_likelihood double"
+
+
+def _block_step(tagged: DataFrame, p: int, beta: np.ndarray, ridge: float) -> DataFrame:
+    """(fit, beta): one Newton step from ``beta`` for the fit without each block.
+
+    The sums of all cells less those of the block give the step, so the cells are read once, however many blocks.
+    """
+    width, pen = p * p + p, _penalty(p, ridge)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch, "x", p)
+            y, t = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in "yt")
+            prob = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -700, 700)))
+            var = np.clip(t * prob * (1.0 - prob), 1e-12, None)
+            one = np.hstack([(x[:, :, None] * x[:, None, :]).reshape(len(x), p * p) * var[:, None], x * (y - t * prob)[:, None]])
+            fits, at = np.unique(batch.column("m").to_numpy(zero_copy_only=False), return_inverse=True)
+            acc = np.zeros((len(fits), width))
+            np.add.at(acc, at, one)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(fits, width).astype(np.int64)), pa.array(np.tile(np.arange(width, dtype=np.int32), len(fits))), pa.array(acc.ravel())],
+                names=["fit", "position", "value"])
+
+    sums = cut(tagged.select("x", "y", "t", "m").mapInArrow(own, "fit long, position int, value double").groupBy("fit", "position").agg(F.sum("value").alias("value")))
+    total = np.zeros(width)
+    for r in sums.groupBy("position").agg(F.sum("value").alias("value")).collect():  # p*p + p numbers
+        total[r["position"]] = r["value"]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = total - _matrix(batch, "own", width)
+            h, score = rest[:, : p * p].reshape(-1, p, p) + pen, rest[:, p * p :] - beta @ pen
+            stepped = [(beta + _solve_one(a, b)).tolist() for a, b in zip(h, score)]
+            yield pa.RecordBatch.from_arrays([batch.column("fit"), pa.array(stepped, pa.list_(pa.float64()))], names=["fit", "beta"])
+
+    one = F.transform(F.sort_array(F.collect_list(F.struct("position", "value"))), lambda v: v["value"])
+    return sums.groupBy("fit").agg(one.alias("own")).mapInArrow(solve, "fit long, beta array<double>")
+
+
+def leave_block_out(rows: DataFrame, p: int, block: list[str], ridge: float = 1e-6, tol: float = 1e-9, max_iter: int = 100,
+                    start: np.ndarray | None = None, at_once: int = _FITS_PER_PASS) -> DataFrame:
+    """Refit without each block: block, n_cells_left_out, fit, beta, cov (row by row), converged, n_iter, log_likelihood.
+
+    The first step of every fit comes from sums by block. Fits then pass over the cells ``at_once`` at a time until they
+    converge, and each such span is written to the shared folder, so no list on the driver grows with the blocks; the work
+    is blocks times cells. The covariance and likelihood are those of the last pass. No rows give no fits.
+    """
     from .ordering import global_rank
 
+    spark = rows.sparkSession
     sizes = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("n_cells_left_out"))
     numbered = cut(global_rank(sizes, list(block), out="_i"))
     count = numbered.count()
-    tagged = cut(rows.join(small_side(numbered.drop("n_cells_left_out"), count), block).withColumn("m", F.col("_i") - 1))
-    fit = fit_binomial(tagged, p, count, "omit", ridge, start=start)
-    return numbered.withColumn("fit", (F.col("_i") - 1).cast("int")).drop("_i"), fit
+    where, pen = scratch(spark, "left-out"), _penalty(p, ridge)
+    spark.createDataFrame([], _LEFT_OUT).write.parquet(where)
+    if count:
+        tagged = cut(rows.join(small_side(numbered.drop("n_cells_left_out"), count), block).withColumn("m", F.col("_i") - 1))
+        begin = start if start is not None else fit_binomial(rows, p, ridge=ridge).beta[0]
+        state = cut(_block_step(tagged, p, np.asarray(begin, float), ridge))
+    for first in range(0, count, at_once):
+        span = state.where(F.col("fit").between(first, first + at_once - 1)).toPandas().sort_values("fit")
+        beta = np.stack(span["beta"].to_numpy())
+        n = len(beta)
+        done, n_iter, cov, ll = np.zeros(n, bool), np.ones(n, int), np.zeros((n, p, p)), np.zeros(n)
+        for _ in range(max_iter):
+            todo = np.flatnonzero(~done & np.isfinite(beta).all(axis=1))
+            if not len(todo):
+                break
+            sums = _sums(tagged, beta[todo], "omit", first, first + todo)
+            h = sums[:, : p * p].reshape(-1, p, p) + pen
+            score = sums[:, p * p : -1] - beta[todo] @ pen
+            step = np.stack([_solve_one(a, b) for a, b in zip(h, score)])
+            beta[todo], n_iter[todo] = beta[todo] + step, n_iter[todo] + 1
+            cov[todo], ll[todo] = [_invert(a) for a in h], sums[:, -1]
+            done[todo] = np.abs(step).max(axis=1) < tol
+        made = [(first + i, beta[i].tolist(), cov[i].ravel().tolist(), bool(done[i]), int(n_iter[i]), float(ll[i])) for i in range(n)]
+        spark.createDataFrame(made, _LEFT_OUT).coalesce(1).write.mode("append").parquet(where)
+    fits = spark.read.schema(_LEFT_OUT).parquet(where)
+    return numbered.withColumn("fit", F.col("_i") - 1).drop("_i").join(fits, "fit")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sources", "predicates", "text", "geometry", "spatial", "lookups", "aggregates", "ordered", "resampling", "models"]
+MODULES = ["sources", "predicates", "text", "geometry", "spatial", "lookups", "aggregates", "ordered", "resampling", "models", "saturated"]
 
 
 def load():

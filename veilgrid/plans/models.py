@@ -22,12 +22,15 @@ _ZSQL = ", ".join(f"{_STD.format(x=e)} as {n}" for n, e in _Z.items())
 
 _MODEL_COLS = ["cell_id", "cell_row", "cell_col", "region_id", "landcover_group", "strong", "majority", "n_obs", "n_pairs", "failure_count", "population", "builtup_m2"]
 
+#: Cells on a side of the blocks of the single-region and of the multi-region model.
+_LEAD_BLOCK, _MULTI_BLOCK = 5, 10
+
 
 def lead_design(spark, d):
     cells = cut(V.model_cells(spark, d).select(*_MODEL_COLS))  # read for the scores, then for the features
     carry = ["cell_id", "n_obs", "n_pairs", "majority", "strong_sub_5mm", "block_row", "block_col", "region_id"]
     cells = cells.withColumn("strong_sub_5mm", F.col("strong").cast("int"))
-    cells = cells.withColumn("block_row", block_row("cell_row", 16)).withColumn("block_col", block_row("cell_col", 16))
+    cells = cells.withColumn("block_row", block_row("cell_row", _LEAD_BLOCK)).withColumn("block_col", block_row("cell_col", _LEAD_BLOCK))
     return B.design_lead(cells, "strong_sub_5mm", "population", "builtup_m2", "cell_row", "cell_col", carry)
 
 
@@ -42,7 +45,7 @@ _GROUPS = list(labels.LANDCOVER_CODES)
 
 def multi_design(spark, d, strong_landcover: bool = False, identified: bool = True):
     cells = cut(V.model_cells(spark, d).select(*_MODEL_COLS))
-    cells = cells.withColumn("block_row", block_row("cell_row", 16)).withColumn("block_col", block_row("cell_col", 16))
+    cells = cells.withColumn("block_row", block_row("cell_row", _MULTI_BLOCK)).withColumn("block_col", block_row("cell_col", _MULTI_BLOCK))
     regions = sorted(r[0] for r in V.table(spark, d, "region").select("r_regionkey").collect())  # levels of the model
     groups = B.identified_groups(cells, "landcover_group", _GROUPS) if identified else _GROUPS
     design, terms = B.design_multi(
@@ -146,13 +149,16 @@ def bootstrap_glm(spark, d):
 
 @query("bootstrap_glm_stratified", rnd="odds_ratio_boot_mean odds_ratio_boot_q025 odds_ratio_boot_q50 odds_ratio_boot_q975")
 def bootstrap_glm_stratified(spark, d):
-    """Blocks resampled inside each region; the marginal strong effects of the regions."""
+    """Blocks resampled inside each region: strong effects at mean exposure, and averaged over the cells drawn."""
     rows, terms, regions, base = _multi_fit(spark, d)
-    fit = B.bootstrap_fits(rows, len(terms), ["block_row", "block_col"], ["region_id"], _STRATA_REPS, 20260709, start=base.beta[0])
+    block = ["block_row", "block_col"]
+    tagged = B.with_draws(rows, block, ["region_id"], _STRATA_REPS, 20260709)
+    fit = B.fit_binomial(tagged, len(terms), _STRATA_REPS, "draws", start=base.beta[0])
     ok = fit.converged & np.isfinite(fit.beta).all(axis=1)
-    weights = B.marginal_weights(regions, terms)
-    draws = {str(k): np.exp(fit.beta @ w) for k, w in weights.items()}
+    draws = {str(k): np.exp(fit.beta @ w) for k, w in B.marginal_weights(regions, terms).items()}
     draws |= {t: np.exp(fit.beta[:, terms.index(t)]) for t in ("strong_x_population_z", "strong_x_builtup_z")}
+    averaged = B.replicate_effect_weights(tagged, block, "region_id", regions, "landcover_group", terms, _STRATA_REPS)
+    draws |= {f"avg_strong_effect:{k}": np.exp((fit.beta * w).sum(axis=1)) for k, w in averaged.items()}
     return B.summarize_draws(spark, draws, ok, "effect")
 
 
@@ -162,12 +168,14 @@ def leave_block_out(spark, d):
     rows = B.prepare(lead_design(spark, d), "n_obs", "n_pairs", ["block_row", "block_col"])
     p = len(B.LEAD_TERMS)
     base = B.fit_binomial(rows, p)
-    blocks, fit = B.leave_block_out(rows, p, ["block_row", "block_col"], start=base.beta[0])
-    i = B.LEAD_TERMS.index("strong_sub_5mm")
-    est = [(k, float(b[i]), float(np.sqrt(max(c[i, i], 0.0))), bool(ok)) for k, (b, c, ok) in enumerate(zip(fit.beta, fit.cov, fit.converged))]
-    table = spark.createDataFrame(est, "fit int, strong_beta double, se double, converged boolean")
-    b, s = F.col("strong_beta"), F.col("se")
-    return blocks.join(table, "fit").select(
+    fits = B.leave_block_out(rows, p, ["block_row", "block_col"], start=base.beta[0])
+    return left_out_effect(fits, B.LEAD_TERMS.index("strong_sub_5mm"), p)
+
+
+def left_out_effect(fits, i: int, p: int):
+    """Estimate ``i`` of each left-out fit as an odds ratio with its interval."""
+    b, s = F.col("strong_beta"), F.sqrt(F.greatest(F.col("cov")[i * p + i], F.lit(0.0)))
+    return fits.withColumn("strong_beta", F.col("beta")[i]).select(
         "block_row", "block_col", "n_cells_left_out", "converged", "strong_beta", F.exp(b).alias("strong_odds_ratio"),
         F.exp(b - 1.96 * s).alias("strong_ci_low"), F.exp(b + 1.96 * s).alias("strong_ci_high"))
 
