@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 CORE = """hidden_exposure_summary multi_region_summary threshold_closure network_exposure landcover_rollup region_rollup zonal_polygon_stats
 join_area_weighted join_native_pixel join_observation_stack join_polygon_cells src_points src_raster_window sink_ledger_append
 json_flatten_hits json_extract_urls html_table_rows region_evidence budget_ranking rank_first segment_lead bootstrap_blocks robustness_sweep
-threshold_surface placebo_permutation monte_carlo_scenarios design_multi meta_fixed_random meta_loo wls_loo_predict dedupe_ordered
+threshold_surface placebo_permutation monte_carlo_scenarios design_multi meta_fixed_random meta_loo src_preflight_files wls_loo_predict dedupe_ordered
 irls_saturated cluster_cov_saturated leave_block_out_saturated avg_effects_saturated""".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")

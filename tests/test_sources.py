@@ -1,5 +1,6 @@
 """Readers and sinks on files, with the odd names and formats they must take."""
 
+import gzip
 import hashlib
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veilgrid.functions import labels, text
 from veilgrid.functions import numeric as N
-from veilgrid.sources import readers, sinks
+from veilgrid.sources import files, readers, sinks
 
 POINTS = [(-120.50, 36.50, -6.0, 0.8, 0.1), (-120.49, 36.51, -2.0, 0.7, 0.2), (-120.48, 36.52, -0.1, 0.9, 0.1), (-120.47, 36.53, 1.2, 0.6, 0.3), (-120.46, 36.54, -10.5, 0.5, 0.2)]
 NAMES = ["Lon Deg", "Lat Deg", "V_UP mm yr", "Temp Coh", "Amp Dispersion"]
@@ -43,10 +44,10 @@ def test_bom(spark, tmp_path):
 def test_hash(spark, tmp_path):
     (tmp_path / "f.bin").write_bytes(b"abc")
     path = str(tmp_path / "f.bin")
-    rows = readers.file_hashes(spark, [path, path]).collect()
+    rows = files.file_hashes(spark, [path, path]).collect()
     assert [r.sha256 for r in rows] == [hashlib.sha256(b"abc").hexdigest().upper()]
     with pytest.raises(Exception):
-        readers.file_hashes(spark, [str(tmp_path / "absent")]).collect()
+        files.file_hashes(spark, [str(tmp_path / "absent")]).collect()
 
 
 def test_preflight_files(spark, tmp_path):
@@ -56,11 +57,28 @@ def test_preflight_files(spark, tmp_path):
     (tmp_path / "note.doc").write_text("-")
     (tmp_path / "bad.parquet").write_bytes(b"no parquet")
     (tmp_path / "DOWNLOAD_HERE.txt").write_text("-")
-    heads = readers.file_headers(spark, [str(p) for p in sorted(tmp_path.iterdir())])
+    heads = files.file_headers(spark, [str(p) for p in sorted(tmp_path.iterdir())])
     got = {r.file_name: r.status for r in heads.select("file_name", text.preflight_status("file_name", "suffix", F.col("header"), F.col("readable")).alias("status")).collect()}
     assert got == {"good.csv": "candidate", "odd.csv": "inspect_columns", "pack.zip": "needs_conversion", "note.doc": "unsupported_suffix", "bad.parquet": "unreadable", "DOWNLOAD_HERE.txt": "placeholder"}
 
 
+def test_files_are_streamed(spark, tmp_path):
+    big = bytes(range(256)) * 40_000
+    (tmp_path / "t.parquet").mkdir()
+    for name in ("part-0", "part-1", "_SUCCESS"):
+        (tmp_path / "t.parquet" / name).write_bytes(big + name.encode())
+    (tmp_path / "empty.csv").write_bytes(b"")
+    (tmp_path / "long.csv").write_text("\ufeff" + ",".join(f'"c, {i}"' for i in range(9000)) + "\r\n1\n")
+    with gzip.open(tmp_path / "z.csv.gz", "wt") as out:
+        out.write("lon,lat,vel\n1,2,3\n")
+    table = spark.createDataFrame([(str(tmp_path / "t.parquet"),), (f"file://{tmp_path}/empty.csv",), (None,), (str(tmp_path / "t.parquet"),)], "path string")
+    got = {r.path.rsplit("/", 1)[-1]: (r.bytes, r.sha256) for r in files.file_hashes(spark, table).collect()}
+    want = {n: big + n.encode() for n in ("part-0", "part-1")} | {"empty.csv": b""}
+    assert got == {n: (len(b), hashlib.sha256(b).hexdigest().upper()) for n, b in want.items()}
+    heads = {r.file_name: (r.header, r.readable) for r in files.file_headers(spark, [str(tmp_path / n) for n in ("empty.csv", "long.csv", "z.csv.gz", "gone.csv")]).collect()}
+    assert heads == {"empty.csv": ([], False), "gone.csv": ([], False), "long.csv": ([f"c, {i}" for i in range(9000)], True), "z.csv.gz": (["lon", "lat", "vel"], True)}
+
+
 def test_banded_raster_prunes(spark, tmp_path):
     df = spark.range(4000).select((F.col("id") / 40).cast("bigint").alias("row"), (F.col("id") % 40).alias("col"), F.col("id").alias("v"))
     path = str(tmp_path / "r")

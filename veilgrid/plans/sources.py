@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, text
 from ..operators.ordering import union_all
 from ..runtime import scratch
-from ..sources import readers, sinks
+from ..sources import files, readers, sinks
 from . import views as V
 from .registry import query
 
@@ -108,6 +108,20 @@ def src_preflight(spark, d):
     return files.select("doc_id", text.preflight_status("file_name", "suffix", F.col("header"), readable).alias("status"))
 
 
+_FILES = [*V.SCHEMAS, "embeddings", "benchmark", "conversations"]
+
+
+@query("src_preflight_files", f"""with h as (select table_name, list(column_name) as header from information_schema.columns where table_name in {tuple(dict.fromkeys(_FILES))!r} group by table_name),
+       c as (select *, len(list_filter(header, lambda c: list_bool_or(list_transform({text.COORD_HINTS!r}, lambda h: contains(lower(trim(c)), h))))) > 0 as coord,
+         len(list_filter(header, lambda c: list_bool_or(list_transform({text.VELOCITY_HINTS!r}, lambda h: contains(lower(trim(c)), h))))) > 0 as vel from h)
+       select concat(table_name, '.parquet') as file_name, len(header) as n_columns, case when coord and vel then 'candidate' else 'inspect_columns' end as status from c""", ints="n_columns")
+def src_preflight_files(spark, d):
+    """The table files themselves as uploads: their headers are read by tasks."""
+    heads = files.file_headers(spark, [f"{d}/{n}.parquet" for n in _FILES])
+    status = text.preflight_status("file_name", "suffix", F.col("header"), F.col("readable"))
+    return heads.select("file_name", F.size("header").alias("n_columns"), status.alias("status"))
+
+
 @query("src_key_listing", """with k as (select case when len(split_part(url, '/', 4)) = 2 then split_part(url, '/', 4) else 'ROOT_OR_AGGREGATE' end as country_or_group from pages)
        select country_or_group, count(*) as n_keys from k group by country_or_group""")
 def src_key_listing(spark, d):
@@ -146,7 +160,7 @@ def src_archive_inventory(spark, d):
 def src_file_hash(spark, d):
     """Hashes of the table files themselves; the list holds a repeat on purpose."""
     names = [*V.SCHEMAS, "embeddings", "benchmark", "conversations", "region"]
-    out = readers.file_hashes(spark, [f"{d}/{n}.parquet" for n in names])
+    out = files.file_hashes(spark, [f"{d}/{n}.parquet" for n in names])
     return out.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "bytes", "sha256")
 
 

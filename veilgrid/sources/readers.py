@@ -103,29 +103,3 @@ def manifest_pairs(manifest: DataFrame, frame_id: str, rasters: DataFrame, path:
     same = (F.col("frame_id") == frame_id) | F.col("frame_id").isNull() | (F.col("frame_id") == "")
     kept = manifest.filter((F.col("download_status") == "ok") & same)
     return kept.join(rasters.select(path).distinct(), path, "left_semi").orderBy("pair")
-
-
-def file_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Upper-case SHA-256 of each distinct file; a missing file fails the read."""
-    distinct = list(dict.fromkeys(paths))
-    files = spark.read.format("binaryFile").load(distinct)
-    return files.select("path", F.col("length").alias("bytes"), F.upper(F.sha2("content", 256)).alias("sha256"))
-
-
-def file_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, file_name, suffix, header, readable) of uploaded files.
-
-    Only the header line or the Parquet footer of each file is read.
-    """
-    rows = []
-    for path in paths:
-        name = path.rstrip("/").rsplit("/", 1)[-1]
-        suffix = "." + name.rsplit(".", 1)[1].lower() if "." in name else ""
-        header: list[str] | None = []
-        if suffix in (".csv", ".gz", ".parquet", ".pq"):
-            try:
-                header = read_points(spark, path).columns or None
-            except Exception:  # any unreadable file is a finding, not a failure
-                header = None
-        rows.append((path, name, suffix, header or [], header is not None))
-    return spark.createDataFrame(rows, "path string, file_name string, suffix string, header array<string>, readable boolean")
