@@ -1,7 +1,7 @@
 """MinHash near-duplicates by tensored banding.
 
 Two small collections of minhash groups are kept, and every pair of a left and a right group keys one
-table: GROUPS**2 tables from 2 * GROUPS groups of ROWS minhashes. Texts with equal shingle sets form one class.
+table: GROUPS**2 tables from 2 * GROUPS groups of ROWS minhashes. Keys are formed of those groups alone that a class shares with another one. Texts with equal shingle sets form one class.
 Classes that meet in a table are compared with the table's least class first; where a bucket still holds several
 components, its members outside the largest one are compared with all the others, in blocks of sets that
 give only links, so that a group of thousands of copies never yields all its pairs. Links are confirmed on
@@ -167,12 +167,16 @@ def link(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     classes = stored(named.groupBy(*sets).agg(F.min("doc_id").alias("cls"), F.first("mins").alias("mins")), "classes")
     texts = base.withColumnRenamed("doc_id", "cls")
 
-    spots = F.expr(
-        f"explode(transform(sequence(0, {GROUPS * GROUPS - 1}), t -> xxhash64(t, slice(mins, (t div {GROUPS}) * {ROWS} + 1, {ROWS}), "
-        f"slice(mins, {GROUPS * ROWS} + (t % {GROUPS}) * {ROWS} + 1, {ROWS}))))"
-    )
+    # a table can match only where its left and its right group both meet another class, so groups are counted first
+    groups = F.expr(f"explode(transform(sequence(0, {2 * GROUPS - 1}), g -> struct(g, xxhash64(g, slice(mins, g * {ROWS} + 1, {ROWS})) as value)))")
+    grouped = classes.select("cls", groups.alias("group")).select("cls", "group.g", "group.value")
+    shared = stored(grouped.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value"), "shared")
+    side = lambda left: F.collect_list(F.when((F.col("g") < GROUPS) == F.lit(left), F.col("value")))
+    alive = grouped.join(shared, "value").groupBy("cls").agg(side(True).alias("left"), side(False).alias("right"))
+    alive = stored(alive, "alive")
     # combined before the shuffle, and written, so that the join can split a large bucket
-    keyed = classes.select(spots.alias("spot"), "cls")
+    spots = F.explode(F.flatten(F.transform("left", lambda x: F.transform("right", lambda y: F.xxhash64(x, y)))))
+    keyed = alive.select(spots.alias("spot"), "cls")
     heads = stored(keyed.groupBy("spot").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1"), "heads")
     members = stored(keyed.join(heads, "spot").select("spot", "cls", "head", "n"), "members")
     stars = members.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
