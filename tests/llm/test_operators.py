@@ -361,3 +361,56 @@ def test_toxic_words_behind_trailing_doubled_and_spaced_disguise():
         rows, hashes = toxicity.features(texts, 0, 2, model, {})
         assert rows[hashes == toxicity.hash_words([word])[0]].tolist().count(0) >= 1
     assert toxicity.restored("12 345 moral. 1 2 3 4", model, {}) == []
+
+
+def test_chain_scores_by_brute_force():
+    rng = random.Random(15)
+    for _ in range(200):
+        span = rng.choice((60, 400))
+        found = sorted({(rng.randrange(span), rng.randrange(span), rng.randrange(6, 30)) for _ in range(rng.randrange(1, 80))})
+        left = sorted(rng.sample(range(len(found)), rng.randrange(1, len(found) + 1)))
+        score, before = substrings._scored(found, left)
+        for i in left:
+            x, y, n = found[i]
+            gains = [0.0]
+            for j in left:
+                gap_x, gap_y = x - found[j][0] - found[j][2], y - found[j][1] - found[j][2]
+                if found[j][0] < x and -substrings.K < gap_x <= substrings.MAX_GAP and -substrings.K < gap_y <= substrings.MAX_GAP:
+                    gains.append(score[j] - substrings.GAP_COST * (gap_x + gap_y))
+                    if j == before[i]:
+                        assert abs(score[i] - n - gains[-1]) < 1e-9
+            assert abs(score[i] - n - max(gains)) < 1e-9 and (before[i] >= 0) == (max(gains) > 0)
+
+
+def test_tree_of_maxima_by_brute_force():
+    rng = random.Random(16)
+    for n in (1, 2, 7, 64, 100):
+        tree, plain = substrings.MaxTree(n), [substrings.MaxTree.NONE] * n
+        for _ in range(400):
+            p = rng.randrange(n)
+            plain[p] = rng.choice([substrings.MaxTree.NONE, (float(rng.randrange(9)), -rng.randrange(3))])
+            tree.put(p, plain[p])
+            lo, hi = sorted((rng.randrange(n + 1), rng.randrange(n + 1)))
+            assert tree.most(lo, hi) == max(plain[lo:hi], default=substrings.MaxTree.NONE)
+
+
+def test_text_that_repeats_one_word_is_one_passage(spark):
+    rng = random.Random(17)
+    own = lambda n: prose(rng, n, 10**6).split()
+    first = [*own(50), *["z"] * 40, *own(50)]
+    later = [*own(30), *["z"] * 3000, *first[90:], *own(20)]
+    got = substrings.repeats(docs(spark, [" ".join(first), " ".join(later), "z " * 2000]), "doc_id", "text").collect()
+    mine = {r["doc_id"]: (r["from_word"], r["to_word"], r["equal_words"]) for r in got}
+    assert mine[1] == (30, 3080, 3050) and mine[2] == (0, 2000, 2000) and len(got) == 2
+    x = np.arange(0, 1000, 4)
+    assert substrings.runs_of(x, np.zeros_like(x)) == [(0, 996, 0)] and substrings.runs_of(x * 10, np.zeros_like(x)) == []
+
+
+def test_fuzzy_passage_whose_seeds_stand_in_many_earlier_texts(spark):
+    rng = random.Random(18)
+    own = lambda: prose(rng, 40, 10**6)
+    whole = [f"q{i}" for i in range(80)]
+    pieces = [" ".join([own(), *whole[a : a + 12], own()]) for a in range(0, 70, 6) for _ in range(2)]
+    pair = [" ".join([own(), *edited(whole, rng), own()]) for _ in range(2)]
+    got = [r for r in substrings.repeats(docs(spark, pieces + pair), "doc_id", "text").collect() if r["doc_id"] == len(pieces) + 1]
+    assert any(len(pieces) in r["source_ids"] and r["to_word"] - r["from_word"] >= 70 for r in got)
