@@ -30,6 +30,9 @@ EPOCHS, BATCH, RATE = 12, 64, 0.5
 #: Share of the calibration documents that the threshold may reject.
 REJECT = 0.001
 
+#: Bytes of text handled at once; all n-grams of a block are held together, about 200 bytes for each byte of text.
+BLOCK = 1 << 18
+
 #: ASCII letters and all bytes from 0x80 make words.
 _LETTERS = byte_table(bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
@@ -159,7 +162,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int
         chosen = F.when(F.col("lang_") == r["lang_"], F.lit(sample / len(counts) / r["count"])).otherwise(chosen)
     draw = F.pmod(F.xxhash64("id_", "text_"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = known.where(draw < chosen).limit(2 * sample)
-    rows = map_blocks(picked, "text_", ["lang_", "id_"], "buckets binary, shares binary", _features).where(F.octet_length("buckets") > 0)
+    rows = map_blocks(picked, "text_", ["lang_", "id_"], "buckets binary, shares binary", _features, limit=BLOCK).where(F.octet_length("buckets") > 0)
     got = sorted(rows.toLocalIterator(), key=lambda r: (str(r["id_"]), r["lang_"]))  # sparse vectors of the sample
     if not got:
         return None
@@ -204,7 +207,7 @@ def predict(docs: DataFrame, text_col: str, keep: list[str], model: Model | None
             "score": pa.array(np.where(seen, top, 0.0)), "accepted": pa.array(seen & (top >= m.threshold)),
         }
 
-    return map_blocks(docs, text_col, keep, "lang_pred string, score double, accepted boolean", run, with_text=with_text)
+    return map_blocks(docs, text_col, keep, "lang_pred string, score double, accepted boolean", run, limit=BLOCK, with_text=with_text)
 
 
 def identify(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: list[str], learn_from: Column | None = None, with_text: bool = False) -> DataFrame:
