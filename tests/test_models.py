@@ -167,3 +167,18 @@ def test_standardized_leave_one_out(spark, studies):
         x = np.column_stack([np.ones(14), z])
         beta, _ = wls(x[k], y[k], w[k], 1e-3)
         assert got.loc[i, "predicted_log_or"] == pytest.approx(x[i] @ beta, rel=1e-8)
+
+
+def test_bootstrap_cells_stand_side_by_side(spark, data):
+    """More replicates than are worked out at once and a block longer than a pack, whose cells carry no list of draws each."""
+    x, y, t, block = data
+    block = np.where(np.arange(len(y)) < 600, 0, block)
+    base = rows(spark, (x, y, t, block)).withColumn("s", F.lit("all"))
+    drawn = B.drawn_blocks(base, ["block"], ["s"], 300, 5)
+    assert B._packed(base, 4, drawn, ["s", "block"], 300).count() < len(y) / 4
+    fit = B.bootstrap_fits(base, 4, ["block"], ["s"], 300, 5, drawn=drawn)
+    counts = {r["block"]: np.frombuffer(r["drawn"], np.uint8) for r in drawn.collect()}
+    for r in (0, 255, 256, 299):
+        m = np.array([counts[b][r] for b in block.tolist()], float)
+        beta, cov, _ = newton(x, y, t, m)
+        assert fit.beta[r] == pytest.approx(beta, abs=1e-7) and fit.cov[r] == pytest.approx(cov, abs=1e-7)

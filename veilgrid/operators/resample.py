@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw_index, draw_uniform, hash32
+from ..functions.draws import draw_uniform, hash32
 from ..functions.geo import block_row
 from ..functions.numeric import exposure_sum, haldane_or, ratio0, wsum
 from ..runtime import attach, cut, explode_specs, small_side, spread, with_scalars
-from .ordering import bounded_quantiles, global_rank
+from . import blockdraws
+from .ordering import bounded_quantiles
 
 STATS = ["strong_cells", "strong_not_majority", "strong_majority", "nonstrong_cells", "nonstrong_not_majority",
          "nonstrong_majority", "strong_pop", "strong_pop_not_majority", "strong_built", "strong_built_not_majority"]
@@ -65,28 +66,15 @@ def metrics(totals: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def block_draws(blocks: DataFrame, order: list, group: list[str], reps: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Number the blocks of each group and draw as many, with replacement, per replicate.
-
-    Returns (numbered blocks, draws). Draw ``pos`` of replicate ``rep`` picks block ``idx``; the
-    draws are generated from the block rows themselves, wherever those are.
-    """
-    numbered = global_rank(blocks, order, group, out="idx", total="n_blocks")
-    prefix = F.concat_ws("|", F.lit(str(seed)), *[F.col(g).cast("string") for g in group])
-    draws = spread(numbered.select(*group, F.col("idx").alias("pos"), "n_blocks", prefix.alias("_key"))).withColumn(
-        "rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
-    )
-    pick = draw_index(F.col("n_blocks"), F.col("_key"), F.col("rep"), F.col("pos")) + 1
-    return numbered, draws.select(*group, "rep", pick.alias("idx"))
-
-
 def bootstrap_blocks(stats: DataFrame, group: list[str], reps: int, seed: int,
                      order: list | None = None) -> DataFrame:
-    """Block bootstrap of the four metrics: one row per (group, rep)."""
-    numbered, draws = block_draws(stats, order or ["block_row", "block_col"], group, reps, seed)
-    lookup = numbered.select(*group, "idx", *STATS)
-    picked = draws.join(small_side(lookup, lookup.count()), [*group, "idx"])
-    return metrics(resum(picked, [*group, "rep"]), [*group, "rep"])
+    """Block bootstrap of the four metrics: one row per (group, rep).
+
+    A replicate draws as many blocks as its group has, with replacement; draws are counted by block and never become rows.
+    """
+    blocks, groups = blockdraws.numbered(stats, order or ["block_row", "block_col"], group, seed)
+    drawn = blockdraws.sums(blocks, groups, reps, STATS).withColumnRenamed("_rep", "rep")
+    return metrics(drawn.join(small_side(groups, groups.count()), "_gid"), [*group, "rep"])
 
 
 def interval_columns(names: list[str]) -> list[Column]:
@@ -113,25 +101,29 @@ def robustness_sweep(cells: DataFrame, counts: dict[float, str], strong_threshol
     """Coherence x strong threshold x block size, each with its own block bootstrap.
 
     Cells are summed once to blocks of the greatest common size; larger blocks are sums of those.
-    ``counts`` names the count column of each coherence threshold.
+    ``counts`` names the count column of each coherence threshold. Cells are shuffled once, by squares that
+    hold whole blocks of every size if those are not much larger than the largest block, before they are repeated.
     """
-    unit = reduce(math.gcd, block_sizes)
+    unit, home = reduce(math.gcd, block_sizes), math.lcm(*block_sizes)
+    whole = home <= 4 * max(block_sizes)
     need = math.ceil(n_pairs / 2)
     base = cells.filter("base").withColumn("_br", block_row(row, unit)).withColumn("_bc", block_row(column, unit))
     hits = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), (F.col(c) >= need).alias("_maj")) for t, c in counts.items()])
-    long = base.withColumn("_h", F.explode(hits)).select("_br", "_bc", "_h.*", velocity, population, builtup)
+    near = ["_hr", "_hc"] if whole else ["_br", "_bc"]
+    base = base.withColumn("_h", hits).withColumn("_hr", block_row(row, home)).withColumn("_hc", block_row(column, home))
+    base = base.select(*dict.fromkeys([*near, "_br", "_bc"]), "_h", velocity, population, builtup).repartition(*near)
+    long = base.withColumn("_h", F.explode("_h")).select(*dict.fromkeys([*near, "_br", "_bc"]), "_h.*", velocity, population, builtup)
     long = explode_specs(long, [{"strong_threshold": float(s)} for s in strong_thresholds])
     keys = ["threshold", "strong_threshold"]
-    small = long.groupBy(*keys, "_br", "_bc").agg(
+    small = long.groupBy(*keys, *dict.fromkeys([*near, "_br", "_bc"])).agg(
         *stat_columns(F.col(velocity) <= -F.col("strong_threshold"), F.col("_maj"), population, builtup)
     )
     sized = explode_specs(small, [{"block_size": int(b)} for b in block_sizes])
     step = F.col("block_size") / F.lit(float(unit))
     sized = sized.withColumn("block_row", F.floor(F.col("_br") / step)).withColumn("block_col", F.floor(F.col("_bc") / step))
     group = [*keys, "block_size"]
-    return bootstrap_table(resum(sized, [*group, "block_row", "block_col"]), group, reps, seed).withColumn(
-        "n_pairs", F.lit(n_pairs)
-    )
+    blocks = resum(sized, [*group, *(near if whole else []), "block_row", "block_col"]).drop(*near)
+    return bootstrap_table(blocks, group, reps, seed).withColumn("n_pairs", F.lit(n_pairs))
 
 
 def support_cube(cells: DataFrame, velocity_key: Column, count: str, population: str, builtup: str) -> DataFrame:
