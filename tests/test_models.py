@@ -182,3 +182,22 @@ def test_bootstrap_cells_stand_side_by_side(spark, data):
         m = np.array([counts[b][r] for b in block.tolist()], float)
         beta, cov, _ = newton(x, y, t, m)
         assert fit.beta[r] == pytest.approx(beta, abs=1e-7) and fit.cov[r] == pytest.approx(cov, abs=1e-7)
+
+
+def test_left_out_blocks_without_passes_over_all_cells(spark, monkeypatch):
+    """Many small blocks settle on their own cells; the one that weighs much goes over all cells."""
+    rng = np.random.default_rng(12)
+    n = 40_000
+    x = np.column_stack([np.ones(n), rng.random(n) < 0.4, rng.normal(size=(n, 2)).clip(-2, 2)]).astype(float)
+    t = np.full(n, 5.0)
+    y = rng.binomial(5, 1 / (1 + np.exp(-(x @ [0.2, 0.8, -0.5, 0.1])))).astype(float)
+    block = np.where(np.arange(n) < 15_000, 0, np.arange(n) // 25)
+    passed, sums = [], B._sums
+    monkeypatch.setattr(B, "_sums", lambda r, betas, omit=None: passed.extend([] if omit is None else omit.tolist()) or sums(r, betas, omit))
+    got = {r["block"]: r for r in B.leave_block_out(rows(spark, (x, y, t, block)), 4, ["block"]).collect()}
+    assert len(got) == 1001 and all(r["converged"] for r in got.values()) and set(passed) == {0}
+    for b in (0, 600, 1111, 1599):
+        beta, cov, p = newton(x[block != b], y[block != b], t[block != b])
+        assert got[b]["beta"] == pytest.approx(beta, abs=1e-8) and got[b]["cov"] == pytest.approx(cov.ravel(), rel=1e-7, abs=1e-12)
+        keep = block != b
+        assert got[b]["log_likelihood"] == pytest.approx((y[keep] * np.log(p) + (t - y)[keep] * np.log(1 - p)).sum(), rel=1e-10)
