@@ -406,6 +406,16 @@ def test_text_that_repeats_one_word_is_one_passage(spark):
     assert substrings.runs_of(x, np.zeros_like(x)) == [(0, 996, 0)] and substrings.runs_of(x * 10, np.zeros_like(x)) == []
 
 
+def test_a_passage_whose_pieces_meet_its_source_in_different_rounds(spark):
+    """Three pieces, too short for a passage, stand alone in 5, 15 and 40 earlier texts; rounds without gain come before the source is met."""
+    rng = random.Random(23)
+    pieces = [[f"{c}{i}" for i in range(20)] for c in "abc"]
+    alone = [f"{prose(rng, 30, 10**6)} {' '.join(p)} {prose(rng, 30, 10**6)}" for p, n in zip(pieces, (5, 15, 40)) for _ in range(n)]
+    whole = [" ".join([prose(rng, 20, 10**6), *pieces[0], f"x{i}", *pieces[1], f"y{i}", *pieces[2], prose(rng, 20, 10**6)]) for i in range(2)]
+    got = substrings.repeats(docs(spark, alone + whole), "doc_id", "text").collect()
+    assert [(r["doc_id"], r["from_word"], r["to_word"], r["source_ids"], r["equal_words"]) for r in got] == [(61, 20, 82, [60], 60)]
+
+
 def test_fuzzy_passage_whose_seeds_stand_in_many_earlier_texts(spark):
     rng = random.Random(18)
     own = lambda: prose(rng, 40, 10**6)
