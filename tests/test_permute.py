@@ -16,6 +16,14 @@ def test_each_shuffle_is_a_permutation(n):
     assert (np.sort(places, axis=0) == np.arange(n)[:, None]).all()
 
 
+@pytest.mark.parametrize("n", [1, 3, 64, 65, 154, 1000, 3_000_000])
+def test_chosen_is_a_place_below_k(n):
+    keys = permute.round_keys(5, np.arange(60))
+    for at in (np.arange(min(n, 300)), np.arange(max(0, n - 300), n)):
+        for k in (0, 1, n // 3, n * 7 // 10, n - 1, n):
+            assert (permute.chosen(at, n, k, keys) == (permute.permuted(at, n, keys) < k)).all()
+
+
 def test_places_are_even():
     places = permute.permuted(np.arange(40), 40, permute.round_keys(7, np.arange(4000)))
     chosen = places < 10

@@ -10,6 +10,7 @@ table of (shuffle, sums); only that table leaves the task. All arithmetic is on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,44 @@ def permuted(at: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
         out[row, column] = _step(out[row, column], [k[column] for k in keys], a, b)
 
 
+def _lead(left: np.ndarray, right: np.ndarray, keys: list[np.ndarray], a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves before the last half round, which moves only the right one."""
+    distinct, at = np.unique(right, return_inverse=True)
+    if 2 * len(distinct) <= right.size:  # cells of few columns share the hashes of the first half round
+        left = left + _move(np.zeros((1, 1), _U), distinct[:, None], keys[0], a)[at.ravel()]
+        left = np.minimum(left, left - _U(a), out=left)
+    else:
+        left = _move(left, right, keys[0], a)
+    for i in range(1, ROUNDS - 1, 2):
+        right = _move(right, left, keys[i], b)
+        left = _move(left, right, keys[i + 1], a)
+    return left, right
+
+
+def chosen(at: np.ndarray, n: int, k: int, keys: np.ndarray) -> np.ndarray:
+    """Whether ``permuted`` sends each position below ``k``.
+
+    The last half round moves places within a row of the grid, so only the row that holds place k and those that reach over n need it.
+    """
+    a = int(np.ceil(np.sqrt(n)))
+    b = -(-n // a)
+    if a < 8 or (a * b == n and a < 32):  # most rows would be at the edge, or no place lies outside
+        return permuted(at, n, keys) < k
+    left, right = _lead(*np.divmod(at.astype(_U)[:, None], _U(b)), [x[None, :] for x in keys], a, b)
+    whole = k // b
+    out = left < _U(whole)
+    edge = left >= _U(n // b)
+    edge |= left == _U(whole)
+    row, column = np.divmod(np.flatnonzero(edge), edge.shape[1])
+    if len(row):
+        halves = left[row, column]
+        place = halves * _U(b) + _move(right[row, column], halves, keys[-1][column], b)
+        while (outside := np.flatnonzero(place >= n)).size:
+            place[outside] = _step(place[outside], [x[column[outside]] for x in keys], a, b)
+        out[row, column] = place < k
+    return out
+
+
 def _add(reps: int, by: list[str], names: list[str]):
     """Sums of the chosen cells of a task's slice, one row for each (by, shuffle)."""
 
@@ -102,7 +141,7 @@ def _add(reps: int, by: list[str], names: list[str]):
                     keys = round_keys(start, np.arange(r, min(r + width, reps)))
                     for i in range(lo, hi, cells):
                         j = min(i + cells, hi)
-                        sums[:, r : r + keys.shape[1]] += values[:, i:j] @ (permuted(at[i:j], n, keys) < k).astype(np.float64)
+                        sums[:, r : r + keys.shape[1]] += values[:, i:j] @ chosen(at[i:j], n, k, keys).astype(np.float64)
         for group, sums in totals.items():
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array([g] * reps, pa.string()) for g in group], pa.array(np.arange(reps)), *[pa.array(s) for s in sums]], names=[*by, "rep", *names])
@@ -115,7 +154,7 @@ def shuffled_sums(rows: DataFrame, key: str, label: str, sums: dict[str, Column]
     """Shuffle a label inside strata and sum columns over the cells that get it: one row for each (by, rep).
 
     ``by`` names separate null models (text columns), each with its own strata. Positions follow ``key``, which is unique in a
-    stratum; a stratum has under 2**32 cells. Values that are NULL count as 0. A stratum is spread over as many tasks
+    stratum; a stratum has under 2**32 cells. Values that are NULL count as 0, and cells whose values are all 0 are numbered but not shuffled. A stratum is spread over as many tasks
     as its cells fill, and a task sends ``reps`` rows for each model it meets.
     """
     strata = [*by, stratum]
@@ -126,7 +165,8 @@ def shuffled_sums(rows: DataFrame, key: str, label: str, sums: dict[str, Column]
     session = rows.sparkSession
     tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
     # equal slices of cells in order of strata: every task has the same work and few strata
-    dealt = ranked.join(small_side(need, need.count()), strata).repartitionByRange(tasks, "_sid", "_i").sortWithinPartitions("_sid", "_i")
+    some = reduce(lambda x, y: x | y, [F.col(n) != 0 for n in sums])
+    dealt = ranked.where(some).join(small_side(need, need.count()), strata).repartitionByRange(tasks, "_sid", "_i").sortWithinPartitions("_sid", "_i")
     names = list(sums)
     schema = ", ".join([*[f"{c} string" for c in by], "rep long", *[f"{n} double" for n in names]])
     parts = dealt.select(*by, "_sid", "_i", "_n", "_k", "_start", *names).mapInArrow(_add(reps, by, names), schema)

@@ -149,9 +149,11 @@ def placebo_permutation(spark, d):
     )
     rows = ranked.withColumn("m", F.explode(F.filter(models, lambda x: x.isNotNull()))).select("cell_id", "hidden", "population", "builtup_m2", "m.*")
     hid = hidden.cast("bigint")
-    sums = {"hid": hid, "pop": F.col("population"), "built": F.col("builtup_m2")}
+    # a model sums what its metrics read: labels the strong cells that are seen (the others are hidden), masks the exposure
+    of_labels = F.col("null_model").startswith("strong_label")
+    sums = {"seen": F.when(of_labels, 1 - hid), "pop": F.when(~of_labels, F.col("population")), "built": F.when(~of_labels, F.col("builtup_m2"))}
     draws = permute.shuffled_sums(rows, "cell_id", "label", sums, _REPS, SEED, "stratum", ["null_model"])
-    draws = draws.withColumn("hid", F.round("hid").cast("bigint"))
+    draws = draws.withColumn("shown", F.round("seen").cast("bigint")).drop("seen")
     both = strong & hidden
     tot = ranked.agg(
         F.count(F.lit(1)).alias("nb"), F.count_if(strong).alias("ns"), F.sum(hid).alias("nh"), F.count_if(both).alias("sh"),
@@ -159,7 +161,7 @@ def placebo_permutation(spark, d):
     ns, nh, nb = F.col("ns"), F.col("nh"), F.col("nb")
     odds = lambda h: F.round(haldane_or(h, ns - h, nh - h, nb - ns - (nh - h)), 9)
     entry = lambda name, value, observed: F.struct(F.lit(name).alias("metric"), value.alias("value"), observed.alias("seen"))
-    of_label = F.array(entry("strong_notmajority_or", odds(F.col("hid")), odds(F.col("sh"))))
+    of_label = F.array(entry("strong_notmajority_or", odds(ns - F.col("shown")), odds(F.col("sh"))))
     of_mask = F.array(
         entry("hidden_population_in_strong", F.round("pop", 4), F.round("sp", 4)),
         entry("hidden_builtup_in_strong_km2", F.round(F.col("built") / 1e6, 6), F.round(F.col("sb") / 1e6, 6)))
