@@ -424,3 +424,48 @@ def test_fuzzy_passage_whose_seeds_stand_in_many_earlier_texts(spark):
     pair = [" ".join([own(), *edited(whole, rng), own()]) for _ in range(2)]
     got = [r for r in substrings.repeats(docs(spark, pieces + pair), "doc_id", "text").collect() if r["doc_id"] == len(pieces) + 1]
     assert any(len(pieces) in r["source_ids"] and r["to_word"] - r["from_word"] >= 70 for r in got)
+
+
+def test_a_frequent_short_sentence_joins_no_texts(spark, monkeypatch):
+    rnd, sentence = random.Random(3), " ".join(f"s{i}" for i in range(13))
+    own = lambda n: " ".join(f"w{rnd.randrange(10**9)}" for _ in range(n))
+    chained = []
+    passages = substrings._passages
+    monkeypatch.setattr(substrings, "_passages", lambda base, matches: chained.append(matches.count()) or passages(base, matches))
+    assert substrings.repeats(docs(spark, [f"{own(90)} {sentence} {own(90)}" for _ in range(40)]), "doc_id", "text").count() == 0
+    assert chained[0] and not sum(chained[1:])  # each with the first text that has it, and no others
+
+
+def test_seeds_of_two_rounds_near_each_other_are_chained(spark):
+    # text 1 has the first half and the fuzzy rest that stands in others too, so a seed of the rest meets text 1 in a later round than the first half
+    rnd = random.Random(5)
+    half, rest = [[f"{c}{i}" for i in range(40)] for c in "ab"]
+    own = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts = [own(80) + rest[10 * i : 10 * i + 10] + own(80) for i in range(4)] + [own(60) + half + own(3) + rest + own(60), own(90) + half + own(2) + rest + own(9)]
+    got = substrings.repeats(docs(spark, [" ".join(t) for t in texts]), "doc_id", "text").collect()
+    assert [(r["doc_id"], r["from_word"], r["to_word"]) for r in got if 4 in r["source_ids"]] == [(5, 90, 172)]
+
+
+def _moved(plan: str) -> list[str]:
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_few_labels_and_few_ids_move_no_texts(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i // 2, i % 3 % 2) for i in range(60)] + [(None, 1), (7, None), (99, 1)], "doc_id long, toxic int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = toxicity.labelled_rows(frame, labels, "doc_id", "text")
+        assert "BroadcastHashJoin" in (plan := rows._jdf.queryExecution().toString()) and not _moved(plan)
+        want = {}
+        for i in range(60):
+            want[i // 2] = max(want.get(i // 2, 0), i % 3 % 2)
+        assert {(r["text"], r["toxic"]) for r in rows.collect()} == {(f"text {i}", t) for i, t in want.items()}
+        plans, stored = [], neardup.stored
+        monkeypatch.setattr(neardup, "stored", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or stored(df, name))
+        sets = neardup.sets_of(frame.selectExpr("doc_id as cls", "text as text_"), spark.range(0, 50, 5).toDF("cls"))
+        assert sorted((r["cls"], len(r["grams"])) for r in sets.collect()) == [(i, 1) for i in range(0, 50, 5)]
+        assert "BroadcastHashJoin" in plans[-1] and not _moved(plans[-1])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import small_side
 from .neardup import stored
 from .scan import Texts, Words, byte_table, hash_words, longs, map_blocks, nested
 
@@ -360,9 +361,12 @@ def weigh(docs: DataFrame, text: str, keep: list[str], scorer: Scorer, with_text
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Texts with their label; several labels of one id count as toxic if one is. Spark picks the join by measured size."""
-    known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("id_")).agg(F.max("toxic").alias("toxic"))
-    return docs.select(F.col(id_col).alias("id_"), text).join(known, "id_").select(text, "toxic")
+    """Texts with their label; several labels of one id count as toxic if one is.
+
+    Labels are narrow: up to BROADCAST_ROWS of them go to the texts, so that no text is shuffled. Of more, Spark picks the join by measured size.
+    """
+    known = stored(labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("id_")).agg(F.max("toxic").alias("toxic")), "known")
+    return docs.select(F.col(id_col).alias("id_"), text).join(small_side(known, known.count()), "id_").select(text, "toxic")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, keep: list[str], learn_from=None, with_text: bool = False) -> DataFrame:
