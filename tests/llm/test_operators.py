@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from veilgrid.llm import blockknn, bpe, components, imatch, langid, licenses, neardup, packing, queries, roles, substrings, toxicity
@@ -446,6 +447,64 @@ def test_seeds_of_two_rounds_near_each_other_are_chained(spark):
     assert [(r["doc_id"], r["from_word"], r["to_word"]) for r in got if 4 in r["source_ids"]] == [(5, 90, 172)]
 
 
+def test_common_words_in_a_band_by_brute_force():
+    rng = random.Random(33)
+    for _ in range(300):
+        x, y = ([rng.randrange(rng.choice((3, 30))) for _ in range(rng.randrange(0, 25))] for _ in range(2))
+        band = abs(len(x) - len(y)) + rng.randrange(0, 6)
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, j in itertools.product(range(len(x)), range(len(y))):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (x[i] == y[j] and abs(i - j) <= band))
+        assert substrings.common(np.array(x, "<u4"), np.array(y, "<u4"), band) == best[-1][-1]
+
+
+def test_rows_are_made_of_repeated_seeds_alone(spark):
+    rng = random.Random(31)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [prose(rng, 200, 10**9) for _ in range(40)] + [f"{prose(rng, 40, 10**9)} {passage}" for _ in range(3)] + [None, "", "one two"]
+    base = docs(spark, texts).selectExpr("doc_id", "text as text_")
+    seeds = substrings.map_blocks(base, "text_", ["doc_id"], "seed long, new boolean, place int, size tinyint", substrings._seeds, rows="of_row")
+    shared = seeds.groupBy("seed").agg(F.countDistinct("doc_id").alias("n")).where("n > 1")
+    want = {tuple(r) for r in seeds.join(shared.select("seed"), "seed").select(*seeds.columns).collect()}
+    got = {tuple(r) for r in substrings._repeated(base).collect()}
+    assert want and want <= got and len(got) < len(want) + 40
+
+
+def test_rounds_done_together_give_the_rows_of_rounds_done_alone(spark, monkeypatch):
+    rng = random.Random(32)
+    own = lambda n=30: prose(rng, n, 10**6)
+    whole, other = [f"q{i}" for i in range(80)], [f"r{i}" for i in range(30)]
+    texts = [" ".join([own(), *whole[a : a + 20], own()]) for a in range(0, 61, 20) for _ in range(1 + a // 2)]
+    texts += [" ".join([own(), *edited(whole, rng), own(), *other, own()]) for _ in range(8)] + [" ".join([own(), *edited(other, rng), own()]) for _ in range(25)]
+    joins, stopped, rows = [], [], []
+    matches, stops = substrings._matches, substrings._stops
+    monkeypatch.setattr(substrings, "_matches", lambda *a: joins.append(1) or matches(*a))
+
+    def counted(*a):
+        found = stops(*a)
+        stopped.append(found.count())
+        return found
+
+    monkeypatch.setattr(substrings, "_stops", counted)
+    for most in (0, 10**6):
+        monkeypatch.setattr(substrings, "TOGETHER", most)
+        joins.clear()
+        found = substrings.repeats(docs(spark, texts), "doc_id", "text").collect()
+        rows.append((len(joins), sorted((r["doc_id"], r["from_word"], r["to_word"], r["source_ids"], r["equal_words"]) for r in found)))
+    assert rows[0][1] == rows[1][1] and rows[1][1] and rows[1][0] < rows[0][0] and sum(stopped)
+
+
+def test_pairs_are_not_dealt_by_a_join_before_they_are_chained(spark, monkeypatch):
+    rng = random.Random(23)
+    pieces = [[f"{c}{i}" for i in range(20)] for c in "abc"]
+    alone = [f"{prose(rng, 30, 10**6)} {' '.join(p)} {prose(rng, 30, 10**6)}" for p, n in zip(pieces, (5, 15, 40)) for _ in range(n)]
+    whole = [" ".join([prose(rng, 20, 10**6), *pieces[0], f"x{i}", *pieces[1], f"y{i}", *pieces[2], prose(rng, 20, 10**6)]) for i in range(2)]
+    plans, passages = [], substrings._passages
+    monkeypatch.setattr(substrings, "_passages", lambda base, matches: plans.append(matches._jdf.queryExecution().toString()) or passages(base, matches))
+    substrings.repeats(docs(spark, alone + whole), "doc_id", "text").count()
+    assert len(plans) > 2 and not any("Join" in p for p in plans)
+
+
 def _moved(plan: str) -> list[str]:
     return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
 
