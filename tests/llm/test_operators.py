@@ -528,3 +528,38 @@ def test_few_labels_and_few_ids_move_no_texts(spark, monkeypatch):
         assert "BroadcastHashJoin" in plans[-1] and not _moved(plans[-1])
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_sentences_too_short_for_a_passage_are_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(27)
+    sentence, seen, matches = prose(rng, 35, 10**6), [], substrings._matches
+    own = lambda n: prose(rng, n, 10**6)
+    monkeypatch.setattr(substrings, "_matches", lambda *a: seen.append(matches(*a)) or seen[-1])
+    texts = [f"{own(90)} {sentence} {own(90)}" for _ in range(30)] + [" ".join([own(90), *["z"] * 40, own(90)]) for _ in range(30)]
+    assert substrings.repeats(docs(spark, texts), "doc_id", "text").count() == 0
+    assert sum(m.count() for m in seen) == 0
+
+
+def test_passages_without_the_comparisons_left_out_are_the_same(spark, monkeypatch):
+    rng = random.Random(28)
+    own = lambda n: prose(rng, n, 10**6).split()
+    lines = [own(n) for n in (26, 30, 34, 40, 44, 48)]
+
+    def piece():
+        kind = rng.randrange(4)
+        if kind == 0:  # junk: a word many times over
+            return [f"z{rng.randrange(4)}"] * rng.randrange(15, 49)
+        line = rng.choice(lines)
+        if kind == 1:
+            return line
+        if kind == 2:
+            a = rng.randrange(len(line) - 20)
+            return line[a : a + rng.randrange(20, 49)]
+        return [w if rng.random() > 0.08 else own(1)[0] for w in line]
+
+    texts = [" ".join(w for _ in range(rng.randrange(1, 4)) for w in [*piece(), *own(rng.choice((0, 0, 3, 12, 40)))]) for _ in range(24)]
+    found = lambda: sorted(map(tuple, substrings.repeats(docs(spark, texts), "doc_id", "text").collect()))
+    some = found()
+    monkeypatch.setattr(substrings, "_open", lambda rows, long, least: substrings._uncovered(rows, long))
+    monkeypatch.setattr(substrings, "_hopeful", lambda base, keys, *a: keys.drop("lo", "hi", "earlier"))
+    assert some and some == found()
